@@ -39,8 +39,50 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, of_page.join(toxic, "_n", "left_semi").select("key"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.factorisation import quality_scores
+
+    held_out = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)")
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    scores = quality_scores(table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.secret_scan import scan
+
+    spans = scan(table(spark, sf_dir, "documents"))
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op6_mixing, op7_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
