@@ -1,13 +1,10 @@
-"""Subword ids of texts by a byte-level BPE vocabulary, in tasks.
-
-Such a tokenizer cuts a text at single spaces and line feeds before it merges bytes, so ids can be kept per
-chunk between them. Texts with any other white space, or with its doubles, are encoded as a whole.
-"""
+"""Subword ids of texts by a byte-level BPE vocabulary, in tasks."""
 
 from __future__ import annotations
 
 import base64
 import functools
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -17,44 +14,27 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 
 
-class _Chunks(dict):
-    """Ids of chunks as bytes; bounded, as invented words never end."""
-
-    def __init__(self, encode, prefix: str, dtype: str, limit: int):
-        self.encode, self.prefix, self.dtype, self.limit = encode, prefix, dtype, limit
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(self.prefix + chunk), self.dtype).tobytes()
-        if len(chunk) <= 32:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 class Encoder:
-    def __init__(self, dtype: str = "<u4", limit: int = 300_000):
+    """Ids as the JSON vocabulary's tokenizer gives them; texts without its special token go the faster way, by the ranks."""
+
+    def __init__(self, dtype: str = "<u4"):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(RANKS), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.whole = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
-        self.dtype = dtype
-        self.spaced = _Chunks(self.encode, " ", dtype, limit)
-        self.first = _Chunks(self.encode, "", dtype, limit)
-        self.newline = np.array(self.encode("\n"), dtype).tobytes()
+        self.code = np.dtype(dtype).char
+
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
 
     def __call__(self, text: str) -> bytes:
         """The text's ids as little-endian bytes of the encoder's dtype."""
-        if SPECIAL in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        lines = [line.split(" ") for line in text.split("\n")]
-        if sum(map(len, lines)) != len(text.split()) or not all(map(all, lines)):
-            return np.array(self.encode(text), self.dtype).tobytes()
-        get = self.spaced.__getitem__
-        return self.newline.join([b"".join([self.first[line[0]], *map(get, line[1:])]) for line in lines])
+        ids = self.whole.encode(text, add_special_tokens=False).ids if SPECIAL in text else self.encode(text)
+        return array(self.code, ids).tobytes()
 
 
 @functools.cache
