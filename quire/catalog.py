@@ -1,11 +1,487 @@
-"""The registered queries of the document operators and their SQL."""
+"""The registered queries of the document operators, each with SQL for the same rows.
+
+Queries named dec_* run on decorated texts: the same expression in both engines puts in what the tables lack.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import mathtext, predicates, text
+from quire.operators import migrate, ordered, quality, segment, votes
+from quire.registry import QUERIES, SQL, query
+from quire.sources.tables import table
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+#: White space and paragraphs as SQL.
+W = r"[ \t\n\x0B\f\r\x{00A0}]"
+NORMAL = rf"regexp_replace(regexp_replace(line, '{W}+', ' ', 'g'), '^ | $', '', 'g')"
+PARAGRAPHS = f"""paragraphs AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos, t AS text
+  FROM (SELECT doc_id, n, {NORMAL} AS t
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents))
+  WHERE t <> '')"""
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.paragraphs(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {PARAGRAPHS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, printf('p%04d', pos) AS id, text FROM paragraphs")
+def segment_paragraphs(spark, sf_dir):
+    return _paragraphs(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {PARAGRAPHS}, walk AS (
+  SELECT doc_id, pos, 1 AS batch, 1 AS n, length(text) AS chars FROM paragraphs WHERE pos = 1
+  UNION ALL
+  SELECT p.doc_id, p.pos, CASE WHEN w.n >= 8 OR w.chars + length(p.text) > 3500 THEN w.batch + 1 ELSE w.batch END,
+    CASE WHEN w.n >= 8 OR w.chars + length(p.text) > 3500 THEN 1 ELSE w.n + 1 END,
+    CASE WHEN w.n >= 8 OR w.chars + length(p.text) > 3500 THEN length(p.text) ELSE w.chars + length(p.text) END
+  FROM walk w JOIN paragraphs p ON p.doc_id = w.doc_id AND p.pos = w.pos + 1)
+SELECT doc_id, CAST(batch AS INTEGER) AS batch, CAST(max(n) AS INTEGER) AS n, CAST(max(chars) AS INTEGER) AS chars FROM walk GROUP BY doc_id, batch""")
+def greedy_batches(spark, sf_dir):
+    return segment.greedy_batches(table(spark, sf_dir, "documents"))
+
+
+@query("""WITH RECURSIVE turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(length(text), 0)) AS pos, coalesce(length(text), 0) AS len FROM conversations),
+walk AS (
+  SELECT conv_id, pos, 1 AS batch, 1 AS n, len AS chars FROM turns WHERE pos = 1
+  UNION ALL
+  SELECT t.conv_id, t.pos, CASE WHEN w.n >= 4 OR w.chars + len > 800 THEN batch + 1 ELSE batch END, CASE WHEN w.n >= 4 OR w.chars + len > 800 THEN 1 ELSE n + 1 END,
+    CASE WHEN w.n >= 4 OR w.chars + len > 800 THEN len ELSE chars + len END
+  FROM walk w JOIN turns t ON t.conv_id = w.conv_id AND t.pos = w.pos + 1)
+SELECT conv_id, CAST(batch AS INTEGER) AS batch, CAST(max(n) AS INTEGER) AS n, CAST(max(chars) AS INTEGER) AS chars FROM walk GROUP BY conv_id, batch""")
+def greedy_batches_turns(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce(F.length("text"), F.lit(0)).alias("len")))).alias("turns"))
+    t = t.select("conv_id", F.posexplode(segment.batches_of(F.transform("turns", lambda x: x["len"]), 4, 800)).alias("_i", "b"))
+    return t.select("conv_id", (F.col("_i") + 1).alias("batch"), "b.n", "b.chars")
+
+
+KEY = rf"regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '{W}+', ' ', 'g')"
+
+
+@query(f"""WITH {PARAGRAPHS}, k AS (SELECT doc_id, {KEY} AS key FROM paragraphs)
+SELECT key, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k GROUP BY key HAVING count(*) >= 3""")
+def furniture_repeats(spark, sf_dir):
+    k = _paragraphs(spark, sf_dir).select("doc_id", text.furniture_key(F.col("text")).alias("key"))
+    per_doc = k.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).filter("n >= 3")
+
+
+@query(f"""WITH {PARAGRAPHS}, k AS (SELECT doc_id, pos, text, {KEY} AS key, max(pos) OVER (PARTITION BY doc_id) AS last FROM paragraphs),
+r AS (SELECT key FROM k GROUP BY key HAVING count(*) >= 3)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(text) AS chars FROM k
+WHERE NOT ((pos = 1 OR pos = last) AND (regexp_matches(text, '^(?i)(arxiv:|https?://|www\\.|doi:|©|copyright|[0-9]{{1,4}}$|[0-9]+\\s*\\|\\s*page|proceedings of|downloaded from)') OR key IN (SELECT key FROM r)))""")
+def strip_furniture(spark, sf_dir):
+    k = _paragraphs(spark, sf_dir).withColumn("key", text.furniture_key(F.col("text")))
+    repeated = k.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 3").select("key")
+    k = k.withColumn("edge", (F.col("pos") == 1) | (F.col("pos") == F.max("pos").over(Window.partitionBy("doc_id"))))
+    gone = k.filter("edge").select("doc_id", "pos", "key", "text").join(repeated.withColumn("_r", F.lit(True)), "key", "left").filter(F.col("_r").isNotNull() | predicates.is_furniture(F.col("text")))
+    return k.join(gone, ["doc_id", "pos"], "left_anti").select("doc_id", "pos", F.length("text").cast("long").alias("chars"))
+
+
+@query(f"""WITH {PARAGRAPHS} SELECT substr(text, 1, 48) AS anchor, count(*) AS n, min(doc_id) AS first_doc FROM paragraphs GROUP BY 1 HAVING count(*) > 1""")
+def content_anchor_dups(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).select(text.anchor(F.col("text")).alias("anchor"), "doc_id")
+    return p.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+#: A new segmentation: the first paragraph goes, pairs of the others are joined, one in five keeps its own row.
+SHIFTED = """shifted AS (SELECT doc_id, min(pos) AS pos, string_agg(text, ' ' ORDER BY pos) AS text FROM paragraphs WHERE pos > 1 GROUP BY doc_id, CASE WHEN pos % 5 = 0 THEN -pos ELSE pos // 2 END)"""
+
+
+def _shifted(p: DataFrame) -> DataFrame:
+    slot = F.when(F.col("pos") % 5 == 0, -F.col("pos")).otherwise(F.floor(F.col("pos") / 2))
+    g = p.filter("pos > 1").groupBy("doc_id", slot.alias("_slot")).agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_t"))
+    return g.select("doc_id", "pos", F.array_join(F.transform("_t", lambda x: x["text"]), " ").alias("text"))
+
+
+REMATCH = f"""{PARAGRAPHS}, {SHIFTED},
+o AS (SELECT doc_id, pos AS old_pos, substr(text, 1, 48) AS a FROM paragraphs),
+e AS (SELECT o.*, (SELECT min(s.pos) FROM shifted s WHERE s.doc_id = o.doc_id AND substr(s.text, 1, 48) = o.a) AS x FROM o),
+f AS (SELECT e.*, CASE WHEN x IS NULL AND length(a) >= 32 THEN (SELECT min(s.pos) FROM shifted s WHERE s.doc_id = e.doc_id AND substr(s.text, 1, 32) = substr(e.a, 1, 32)) END AS y FROM e),
+g AS (SELECT f.*, CASE WHEN x IS NULL AND y IS NULL THEN (SELECT min(s.pos) FROM shifted s WHERE s.doc_id = f.doc_id AND contains(s.text, substr(f.a, 1, 24))) END AS z FROM f),
+matches AS (SELECT doc_id, old_pos, coalesce(x, y, z) AS new_pos, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'prefix' WHEN z IS NOT NULL THEN 'contained' ELSE 'orphan' END AS how FROM g)"""
+
+
+@query(f"WITH {REMATCH} SELECT doc_id, CAST(old_pos AS INTEGER) AS old_pos, CAST(coalesce(new_pos, 0) AS INTEGER) AS new_pos, how FROM matches")
+def anchor_rematch(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).select("doc_id", "pos", "text")
+    return migrate.rematch(p, _shifted(p)).select("doc_id", "old_pos", F.coalesce("new_pos", F.lit(0)).alias("new_pos"), "how")
+
+
+@query(f"""WITH {REMATCH}, m AS (SELECT doc_id, old_pos, new_pos, 'zh:' || old_pos AS zh FROM matches WHERE new_pos IS NOT NULL)
+SELECT doc_id, CAST(new_pos AS INTEGER) AS pos, string_agg(zh, chr(10) ORDER BY old_pos) AS zh, count(*) AS merged, min(old_pos) <> new_pos AS moved FROM m GROUP BY doc_id, new_pos""")
+def anchor_migrate(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).select("doc_id", "pos", "text")
+    records = p.select("doc_id", "pos", F.concat(F.lit("zh:"), F.col("pos").cast("string")).alias("zh"))
+    return migrate.migrate(records, migrate.rematch(p, _shifted(p)))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def incremental_todo(spark, sf_dir):
+    records = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit("done").alias("zh"))
+    return migrate.todo(table(spark, sf_dir, "documents").select("doc_id", "source"), records, ["doc_id"], "zh")
+
+
+@query("""SELECT source, count(*) AS paragraphs, count(l.doc_id) AS translated, count(CASE WHEN quality = 1 THEN 1 END) AS rebuilt,
+CASE WHEN count(l.doc_id) = count(*) THEN 'ready' WHEN count(l.doc_id) = 0 THEN 'extracted' ELSE 'partial' END AS status
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
+def coverage_status(spark, sf_dir):
+    j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(1).alias("_l")), "doc_id", "left")
+    g = j.groupBy("source").agg(F.count("*").alias("paragraphs"), F.count("_l").alias("translated"), F.count_if(F.col("quality") == 1).alias("rebuilt"))
+    return g.withColumn("status", F.when(F.col("translated") == F.col("paragraphs"), "ready").when(F.col("translated") == 0, "extracted").otherwise("partial"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_latest(spark, sf_dir):
+    return migrate.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+#: Terms for the votes: a part's brand as the term, its type as the rendering.
+VOTES = "counts AS (SELECT lower(p_brand) AS term, p_type AS zh, count(*) AS n, min(p_partkey) AS first FROM part WHERE trim(p_brand) <> '' AND trim(p_type) <> '' GROUP BY 1, 2), best AS (SELECT term, zh AS best, c AS renderings FROM (SELECT *, count(*) OVER (PARTITION BY term) AS c, row_number() OVER (PARTITION BY term ORDER BY n DESC, length(zh) DESC, first) AS k FROM counts) WHERE k = 1)"
+
+
+def _votes(spark, sf_dir):
+    return votes.variants(table(spark, sf_dir, "part").select(F.col("p_brand").alias("en"), F.col("p_type").alias("zh"), F.col("p_partkey").alias("pos")))
+
+
+@query(f"WITH {VOTES} SELECT * FROM best")
+def majority_vote(spark, sf_dir):
+    return votes.majority(_votes(spark, sf_dir))
+
+
+PLAN = VOTES + ", plan AS (SELECT zh, max(best) AS best FROM counts JOIN best USING (term) WHERE renderings > 1 AND zh <> best AND length(zh) >= 2 GROUP BY zh), kept AS (SELECT * FROM plan p WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.renderings > 1 AND b.best <> p.zh AND contains(b.best, p.zh)))"
+
+
+@query(f"WITH {PLAN} SELECT * FROM kept")
+def vote_conflicts(spark, sf_dir):
+    return votes.replacement_plan(_votes(spark, sf_dir))
+
+
+@query(f"WITH {PLAN} SELECT p_partkey, coalesce(best, p_type) AS unified, best IS NOT NULL AS changed FROM part LEFT JOIN kept ON p_type = zh")
+def apply_unify(spark, sf_dir):
+    plan = votes.replacement_plan(_votes(spark, sf_dir))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    j = parts.join(plan, F.col("p_type") == F.col("zh"), "left")
+    return j.select("p_partkey", F.coalesce("best", "p_type").alias("unified"), F.col("best").isNotNull().alias("changed"))
+
+
+@query("""WITH t AS (SELECT conv_id AS doc_id, turn AS pos, split_part(text, ' ', 1) AS en, role AS zh FROM conversations),
+f AS (SELECT doc_id, lower(en) AS term, zh, pos, row_number() OVER (PARTITION BY doc_id, lower(en) ORDER BY pos, zh) AS k FROM t WHERE trim(en) <> '' AND length(en) <= 40),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, term) AS rank, term, zh FROM f WHERE k = 1)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, zh FROM r WHERE rank <= 80""")
+def glossary_first_wins(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.get(F.split("text", " "), F.lit(0)).alias("en"), F.col("role").alias("zh"))
+    return votes.glossary(t)
+
+
+@query(f"""WITH {PARAGRAPHS}, w AS (SELECT doc_id, pos, unnest(list_distinct(string_split(lower(text), ' '))) AS term FROM paragraphs)
+SELECT doc_id, term, CAST(min(pos) AS INTEGER) AS pos FROM w WHERE length(term) >= 12 GROUP BY doc_id, term""")
+def first_occurrence(spark, sf_dir):
+    w = _paragraphs(spark, sf_dir).select("doc_id", "pos", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term"))
+    return w.filter(F.length("term") >= 12).groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
+
+
+@query("""SELECT conv_id, turn, role, substr(text, 1, 4000) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC NULLS LAST) AS k FROM conversations)
+WHERE k <= 6 AND role IN ('user', 'assistant') AND text <> ''""")
+def history_window(spark, sf_dir):
+    return ordered.history(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), chr(10)) AS context FROM conversations""")
+def ask_context(spark, sf_dir):
+    return ordered.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2).select("conv_id", "turn", "context")
+
+
+SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH n AS (SELECT item_id, substr({SQUASH.format("text")}, 1, 40) AS needle FROM benchmark), d AS (SELECT doc_id, {SQUASH.format("text")} AS t FROM documents)
+SELECT item_id, doc_id FROM n JOIN d ON contains(t, needle) WHERE length(needle) >= 40""")
+def fidelity_prefix(spark, sf_dir):
+    return quality.fidelity(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}([ \t\n/][^>]*)?>')) = len(regexp_extract_all(html, '</{t}[ \t\n]*>')) AS {t}_ok" for t in quality.TAGS) + " FROM pages")
+def tag_balance(spark, sf_dir):
+    odd = quality.tag_balance(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", odd.alias("_odd")).select("page_id", *[(~F.array_contains("_odd", t)).alias(f"{t}_ok") for t in quality.TAGS])
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g')) AS bare FROM pages")
+def strip_inline(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_inline(F.col("html"))).alias("bare"))
+
+
+BLOCKS = (("fence", "^```"), ("display math", r"^\$\$"), ("heading", "^#{1,6} "), ("list", "^([-*+]|[0-9]+[.)]) "), ("quote", "^>"), ("table", r"\|"), ("paragraph", ""))
+
+
+@query(f"WITH {PARAGRAPHS} SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in BLOCKS[:-1]) + " ELSE 'paragraph' END AS block, count(*) AS n FROM paragraphs GROUP BY ALL")
+def block_grammar(spark, sf_dir):
+    kind = F.lit("paragraph")
+    for k, p in reversed(BLOCKS[:-1]):
+        kind = F.when(F.col("text").rlike(p), k).otherwise(kind)
+    return _paragraphs(spark, sf_dir).groupBy("doc_id", kind.alias("block")).agg(F.count("*").alias("n"))
+
+
+DOLLARS = "length({0}) - length(replace({0}, '$', '')) - (length({0}) - length(replace({0}, '\\$', ''))) // 2"
+
+
+@query(f"SELECT doc_id, {DOLLARS.format('text')} AS dollars, ({DOLLARS.format('text')}) % 2 = 1 AS odd FROM documents WHERE contains(text, '$')")
+def dollar_parity(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").contains("$")).select("doc_id", mathtext.unescaped_dollars(F.col("text")).alias("dollars"))
+    return d.withColumn("odd", F.col("dollars") % 2 == 1)
+
+
+#: Paragraphs with an amount put before every fifth of them.
+PRICED = "priced AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN 'About $4.06 of ' || text ELSE text END AS t FROM paragraphs)"
+
+
+@query(f"""WITH {PARAGRAPHS}, {PRICED} SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(CASE WHEN ({DOLLARS.format("t")}) % 2 = 1 AND starts_with(t, 'About $4.06 of ') THEN replace(t, 'About $4.06', 'About \\$4.06') ELSE t END) AS balanced
+FROM priced WHERE pos % 5 = 0 OR NOT contains(t, '$')""")
+def dec_balance_dollars(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).withColumn("t", F.when(F.col("pos") % 5 == 0, F.concat(F.lit("About $4.06 of "), "text")).otherwise(F.col("text")))
+    p = p.filter((F.col("pos") % 5 == 0) | ~F.col("t").contains("$"))
+    return p.select("doc_id", "pos", F.md5(mathtext.balance_dollars(F.col("t"))).alias("balanced"))
+
+
+@query(f"""SELECT doc_id, len(regexp_extract_all(text, '{mathtext.MATH_CLASS}')) AS math_chars, coalesce(len(regexp_extract_all(text, '{mathtext.MATH_CLASS}')) / nullif(length(regexp_replace(text, '{W}', '', 'g')), 0), 0) AS ratio FROM documents""")
+def math_density(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", mathtext.math_chars(F.col("text")).alias("math_chars"), mathtext.math_ratio(F.col("text")).alias("ratio"))
+
+
+@query(f"WITH {PARAGRAPHS} SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM paragraphs WHERE length(text) BETWEEN 1 AND 180 AND NOT regexp_matches(text, '[.!?] +[A-Z]')")
+def label_like(spark, sf_dir):
+    return _paragraphs(spark, sf_dir).filter(predicates.figure_label(F.col("text"))).select("doc_id", "pos")
+
+
+@query(f"WITH {PARAGRAPHS}, w AS (SELECT doc_id, pos, string_split(text, ' ') AS w FROM paragraphs) SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM w WHERE 2 * len(list_filter(w, lambda x: regexp_matches(x, '^[0-9.,%+-]+$'))) >= len(w)")
+def numeric_dominant(spark, sf_dir):
+    return _paragraphs(spark, sf_dir).filter(predicates.numeric_dominant(F.col("text"))).select("doc_id", "pos")
+
+
+#: Every third event's value as a line that an axis could have.
+@query(r"""WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN printf('%d.%d (%d)', event_id % 7, event_id % 10, event_id % 5) ELSE event_type || ' ' || event_id END AS line FROM events)
+SELECT event_id, line FROM t WHERE NOT regexp_matches(line, '[A-Za-z]') AND regexp_matches(line, '^[0-9. \t,\x{2013}\x{2014}:/()-]+$')""")
+def dec_tick_junk(spark, sf_dir):
+    e, c = table(spark, sf_dir, "events"), F.col("event_id")
+    line = F.when(c % 3 == 0, F.format_string("%d.%d (%d)", c % 7, c % 10, c % 5)).otherwise(F.concat_ws(" ", "event_type", c.cast("string")))
+    return e.select("event_id", line.alias("line")).filter(predicates.tick_junk(F.col("line")))
+
+
+#: One paragraph in seven becomes a numbered heading, in eleven a caption, in thirteen the references heading.
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, CASE WHEN pos % 13 = 0 THEN 'References' WHEN pos % 7 = 0 THEN '2.1 ' || substr(text, 1, 20) || 'x' WHEN pos % 11 = 0 THEN 'Figure 3: ' || text ELSE text END AS text FROM paragraphs),
+r AS (SELECT *, coalesce(max(CASE WHEN regexp_matches(text, '^(?i)(references|bibliography|参考文献)$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS refs FROM d)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN refs = 1 AND NOT regexp_matches(text, '^(?i)(references|bibliography|参考文献)$') THEN 'reference' WHEN regexp_matches(text, '^(?i)(references|bibliography|参考文献)$') THEN 'heading'
+ WHEN regexp_matches(text, '^(?i)(abstract|摘要)([^A-Za-z0-9_]|$)') THEN 'abstract' WHEN regexp_matches(text, '^(?i)(figure|fig\\.|table|algorithm|listing|scheme|eq\\.)[ \\t]*[0-9]+') THEN 'caption'
+ WHEN length(text) < 90 AND regexp_matches(text, '^([0-9]+(\\.[0-9]+)*\\.?|[A-Z]\\.)[ \\t]+[^ \\t]') AND NOT regexp_matches(text, '[.。:]$') THEN 'heading' ELSE 'text' END AS kind FROM r""")
+def dec_classify_lines(spark, sf_dir):
+    c = F.col("pos")
+    d = F.when(c % 13 == 0, "References").when(c % 7 == 0, F.concat(F.lit("2.1 "), F.substring("text", 1, 20), F.lit("x"))).when(c % 11 == 0, F.concat(F.lit("Figure 3: "), "text")).otherwise(F.col("text"))
+    return ordered.classified(_paragraphs(spark, sf_dir).withColumn("text", d)).select("doc_id", "pos", "kind")
+
+
+@query(f"""WITH {PARAGRAPHS}, t AS (SELECT doc_id, min(pos) AS pos FROM paragraphs WHERE length(text) > 12 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(substr(regexp_replace(p.text, '\\$[^$]*\\$', '', 'g'), 1, 120), d.source) AS title FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN paragraphs p ON p.doc_id = t.doc_id AND p.pos = t.pos""")
+def title_pick(spark, sf_dir):
+    first = F.get(F.filter(segment.paragraph_texts(F.col("text")), lambda x: F.length(x) > 12), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.substring(text.strip_math(first), 1, 120), F.col("source")).alias("title"))
+
+
+@query(f"""WITH {PARAGRAPHS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(text, 1, 120) AS head FROM paragraphs WHERE pos <= 260
+UNION ALL SELECT doc_id, 261, '… ' || (count(*) - 260) || ' more' FROM paragraphs GROUP BY doc_id HAVING count(*) > 260""")
+def outline_digest(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", segment.paragraph_texts(F.col("text")).alias("_p"))
+    rest = F.when(F.size("_p") > 260, F.array(F.concat(F.lit("… "), (F.size("_p") - 260).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    heads = F.concat(F.transform(F.slice("_p", 1, 260), lambda x: F.substring(x, 1, 120)), rest)
+    return d.select("doc_id", F.posexplode(heads).alias("_i", "head")).select("doc_id", (F.col("_i") + 1).alias("pos"), "head")
+
+
+@query(f"""WITH {PARAGRAPHS}, s AS (SELECT doc_id, pos, text, unnest(range(0, (length(text) - 1) // 900 + 1)) AS slice FROM paragraphs)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(slice AS INTEGER) AS slice, substr(text, slice * 900 + 1, 900) AS text FROM s""")
+def ocr_slices(spark, sf_dir):
+    return segment.ocr_slices(table(spark, sf_dir, "documents"))
+
+
+@query(rf"""WITH r AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[^A-Za-z'' \t\n\x0B\f\r-]+'), lambda line: {NORMAL}) AS runs FROM documents),
+p AS (SELECT doc_id, list_filter(runs, lambda x: length(x) > 24 AND len(string_split(x, ' ')) >= 4)[1] AS phrase FROM r)
+SELECT doc_id, md5(phrase) AS phrase, len(list_filter(string_split(phrase, ' '), lambda w: regexp_matches(w, '^[a-z]'))) >= 2 AS sentence FROM p WHERE phrase IS NOT NULL""")
+def residual_phrase(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", quality.first_phrase(F.col("text")).alias("_p")).filter("_p IS NOT NULL")
+    return d.select("doc_id", F.md5("_p").alias("phrase"), (quality.lower_words(F.col("_p")) >= 2).alias("sentence"))
+
+
+NUMBERS = r"regexp_extract_all({}, '[0-9]+(?:\.[0-9]+)?')"
+
+
+@query(f"""SELECT a.doc_id, len(list_filter(list_distinct({NUMBERS.format("a.text")}), lambda x: NOT list_contains({NUMBERS.format("b.text")}, x))) AS lost FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+def number_loss(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", quality.numbers(F.col("text")).alias("a"))
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return d.join(b, "doc_id").select("doc_id", F.size(F.array_except("a", "b")).cast("long").alias("lost"))
+
+
+@query("""SELECT o_custkey, count(*) AS orders, count(CASE WHEN o_orderdate < before THEN 1 END) AS breaks FROM
+(SELECT o_custkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) GROUP BY o_custkey""")
+def page_monotonic(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return o.withColumn("_b", F.col("o_orderdate") < before).groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if("_b").alias("breaks"))
+
+
+@query("""WITH s AS (SELECT conv_id, unnest(range(min(turn), max(turn) + 1)) AS missing FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id)
+SELECT s.conv_id, missing FROM s WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = s.conv_id AND c.turn = s.missing AND turn % 3 <> 1)""")
+def id_holes(spark, sf_dir):
+    return quality.id_holes(table(spark, sf_dir, "conversations").filter("turn % 3 <> 1"), "conv_id", "turn")
+
+
+@query(f"""WITH {PARAGRAPHS}, p AS (SELECT doc_id, pos, (pos - 1) // 6 + 1 AS page FROM paragraphs) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(page AS INTEGER) AS page FROM (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM p) WHERE page > before""")
+def page_breaks(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).withColumn("page", (F.floor((F.col("pos") - 1) / 6) + 1).cast("int"))
+    before = F.lag("page").over(Window.partitionBy("doc_id").orderBy("pos"))
+    return p.withColumn("_b", before).filter("page > _b").select("doc_id", "pos", "page")
+
+
+@query("""SELECT conv_id, turn, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY conv_id) AS progress FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)""")
+def running_progress(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()
+    done = F.sum((F.col("role") == "assistant").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return t.select("conv_id", "turn", (done / F.count("*").over(Window.partitionBy("conv_id"))).alias("progress"))
+
+
+@query("""WITH c AS (SELECT 'p_name' AS col, p_name AS v FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 's_name', s_name FROM supplier),
+s AS (SELECT col, avg(CASE WHEN length(v) > 12 AND contains(v, ' ') THEN 1.0 ELSE 0 END) AS longish, avg(CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9]{0,4}$') THEN 1.0 ELSE 0 END) AS symbols FROM c WHERE trim(v) <> '' GROUP BY col)
+SELECT col, CASE WHEN longish >= 0.5 THEN 'text' WHEN symbols >= 0.6 THEN 'symbol' ELSE 'plain' END AS role FROM s""")
+def column_roles(spark, sf_dir):
+    part, customer, supplier = (table(spark, sf_dir, t) for t in ("part", "customer", "supplier"))
+    long = part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in ("p_name", "p_brand", "p_type")])).alias("x")).select("x.col", "x.v")
+    long = long.unionByName(customer.select(F.lit("c_mktsegment").alias("col"), F.col("c_mktsegment").alias("v"))).unionByName(supplier.select(F.lit("s_name").alias("col"), F.col("s_name").alias("v")))
+    v = F.col("v")
+    s = long.filter(F.trim(v) != "").groupBy("col").agg(F.avg(((F.length(v) > 12) & v.contains(" ")).cast("double")).alias("a"), F.avg(v.rlike("^[A-Za-z][A-Za-z0-9]{0,4}$").cast("double")).alias("b"))
+    return s.select("col", F.when(F.col("a") >= 0.5, "text").when(F.col("b") >= 0.6, "symbol").otherwise("plain").alias("role"))
+
+
+@query("SELECT p_partkey, CASE WHEN s = '' THEN 'doc' ELSE s END || '-' || substr(md5(p_name), 1, 4) AS slug FROM (SELECT *, substr(lower(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 40) AS s FROM part)")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name"), 40, "doc", 4).alias("slug"))
+
+
+@query(r"""SELECT page_id, substr(regexp_replace(url, '[\\/:*?"<>|\x00-\x1F]+', '_', 'g'), 1, 60) AS name FROM pages""")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 6) || repeat('*', greatest(4, length(c_name) - 10)) || right(c_name, 4) AS masked FROM customer")
+def masked_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.mask(F.col("c_name")).alias("masked"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped FROM pages""")
+def html_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_escape(F.col("html"))).alias("escaped"))
+
+
+@query("SELECT event_id, coalesce(len(json_keys(TRY_CAST(CASE WHEN event_id % 9 = 0 THEN substr(props, 2) ELSE props END AS JSON))), -1) AS fields FROM events")
+def dec_tolerant_json(spark, sf_dir):
+    props = F.when(F.col("event_id") % 9 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.size(F.json_object_keys(props)).alias("_n")).select("event_id", F.coalesce("_n", F.lit(-1)).cast("long").alias("fields"))
+
+
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(replace(text, 'e', chr(16)), 'q', chr(63743)) AS t FROM paragraphs WHERE pos % 4 = 0)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, len(regexp_extract_all(t, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{E000}}-\\x{{F8FF}}]')) AS missing FROM d""")
+def dec_glyphs(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).filter("pos % 4 = 0")
+    t = F.translate("text", "eq", "\x10")
+    return p.select("doc_id", "pos", mathtext.missing_glyphs(mathtext.mark_unrenderable(t)).alias("missing"))
+
+
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, regexp_replace(text, '([a-z]+) ([a-z]+)', '$\\1$ \\2', 'g') AS t FROM paragraphs WHERE NOT contains(text, '$')),
+s AS (SELECT *, list_sum(list_transform(regexp_extract_all(t, '\\$[^$]+\\$'), lambda m: length(regexp_replace(m, '[ \\x{{00A0}}$]', '', 'g')))) AS inside, length(regexp_replace(t, '[ \\x{{00A0}}$]', '', 'g')) AS size FROM d)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN size = 0 THEN 0.0 ELSE coalesce(inside, 0) / size END AS coverage FROM s""")
+def dec_math_coverage(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).filter(~F.col("text").contains("$"))
+    return p.select("doc_id", "pos", mathtext.math_coverage(F.regexp_replace("text", "([a-z]+) ([a-z]+)", r"\$$1\$ $2")).alias("coverage"))
+
+
+@query(f"""WITH {PARAGRAPHS}, p AS (SELECT doc_id, pos, pos AS page, CASE WHEN pos % 3 = 0 THEN lower(text) ELSE rtrim(text, '.') END AS text FROM paragraphs),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(regexp_replace(regexp_replace(lag(text) OVER w, '\\s+$', ''), '\\$+$', ''), '([.?!:;。？！：；…]|^)$') AND regexp_matches(text, '^[a-z(\\x{{201c}}\\[]') THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, CAST(min(page) AS INTEGER) AS page, CAST(max(page) AS INTEGER) AS page_end, count(*) AS members, md5(string_agg(text, ' ' ORDER BY pos)) AS text FROM i GROUP BY doc_id, island""")
+def dec_cross_merge(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).select("doc_id", "pos", F.col("pos").alias("page"), F.lit("text").alias("kind"), F.when(F.col("pos") % 3 == 0, F.lower("text")).otherwise(F.regexp_replace("text", r"\.+$", "")).alias("text"))
+    return ordered.merge_across_pages(p).withColumn("text", F.md5("text"))
+
+
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(text, ', ', ' • ') AS t FROM paragraphs WHERE pos % 2 = 0), s AS (SELECT *, length(t) - length(replace(t, '•', '')) >= 2 AND trim(split_part(t, '•', 1)) <> '' AS two FROM d)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(unnest([0, 1]) AS INTEGER) AS part, md5(unnest([trim(split_part(t, '•', 1)), '• ' || trim(substr(t, strpos(t, '•') + 1))])) AS text FROM s WHERE two
+UNION ALL SELECT doc_id, CAST(pos AS INTEGER), 0, md5(t) FROM s WHERE NOT two""")
+def dec_bullets(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).filter("pos % 2 = 0").withColumn("t", F.replace(F.col("text"), F.lit(", "), F.lit(" • ")))
+    return p.select("doc_id", "pos", F.posexplode(text.split_bullets(F.col("t"))).alias("part", "t")).select("doc_id", "pos", "part", F.md5("t").alias("text"))
+
+
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '0.12 Table 1: ' WHEN 1 THEN 'Fig. 2 shows ' WHEN 2 THEN 'Figure 3. ' ELSE '' END || text AS t FROM paragraphs)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 4 = 0 THEN 'table' ELSE 'figure' END AS caption FROM d WHERE pos % 4 IN (0, 2)""")
+def dec_captions(spark, sf_dir):
+    c = F.col("pos") % 4
+    t = F.concat(F.when(c == 0, "0.12 Table 1: ").when(c == 1, "Fig. 2 shows ").when(c == 2, "Figure 3. ").otherwise(""), "text")
+    return _paragraphs(spark, sf_dir).select("doc_id", "pos", predicates.caption_kind(t).alias("caption")).filter("caption IS NOT NULL")
+
+
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, '$' || regexp_replace(text, '[<>$]', '', 'g') || ' < b$ and a > c' AS t FROM paragraphs WHERE pos % 3 = 0)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(CASE WHEN strpos(substr(t, 2), '$') - 1 <= 300 THEN replace(t, ' < b$', ' \\lt{{}} b$') ELSE t END) AS text FROM d""")
+def dec_angles(spark, sf_dir):
+    t = F.concat(F.lit("$"), F.regexp_replace("text", "[<>$]", ""), F.lit(" < b$ and a > c"))
+    return _paragraphs(spark, sf_dir).filter("pos % 3 = 0").select("doc_id", "pos", F.md5(mathtext.escape_math_angles(t)).alias("text"))
+
+
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(substr(text, 1, 60), '\\', '') AS s FROM paragraphs WHERE pos % 6 = 0)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, s || ' $\\sqrt{{N}}$ and $\\frac{{a}}{{\\ }} + \\hat{{\\ }}$' AS text FROM d""")
+def dec_bare_commands(spark, sf_dir):
+    t = F.concat(F.replace(F.substring("text", 1, 60), F.lit("\\"), F.lit("")), F.lit(r" $\sqrt$ N and $\frac{a} + \hat$"))
+    return _paragraphs(spark, sf_dir).filter("pos % 6 = 0").select("doc_id", "pos", mathtext.repair_bare_commands(t).alias("text"))
+
+
+#: Lines that end inside a compound and inside a word, around each document's source.
+@query("""WITH d AS (SELECT doc_id, regexp_replace(source, '[^a-z0-9]', '', 'g') AS s FROM documents)
+SELECT doc_id, 'a trade-off of ' || s || ' access and state-of-the-art' AS text FROM d""")
+def dec_hyphen(spark, sf_dir):
+    s = F.regexp_replace("source", "[^a-z0-9]", "")
+    lines = F.array(F.lit("a trade-"), F.concat(F.lit("off of "), s, F.lit(" ac-")), F.lit("cess and state-"), F.lit("of-"), F.lit("the-art"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.join_lines(lines, F.array().cast("array<string>")).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '[zh] ' || substr(text, 1, 40) END AS zh, lang = 'en' AS done FROM documents")
+def mock_records(spark, sf_dir):
+    from quire.operators.provider import MockProvider, run_batches
+
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    out = run_batches(p, MockProvider())
+    return out.select(F.col("id").alias("doc_id"), "zh", F.col("zh").isNotNull().alias("done"))
+
+
+@query()
+def physical_lines(spark, sf_dir):
+    """Lines found again from words laid out on pages; rows are tested against the paragraphs that were laid out."""
+    from quire.operators import layout
+
+    return layout.physical_lines(layout.laid_out(_paragraphs(spark, sf_dir)))
+
+
+@query()
+def glossary_stream(spark, sf_dir):
+    """The glossary of conversations as a stream in batches; tested to equal glossary_first_wins."""
+    from quire.streaming.incremental import glossary_by_stream
+
+    return glossary_by_stream(spark, f"{sf_dir}/conversations.parquet")
