@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     Size counts words; null texts have none. A null source is a source of its own. Empty documents have one
     copy where the rate is 1 or more and else follow their class like others. The same rows give the same copies
-    in every run, and equal rows (of one doc_id and text) get equal copies.
+    in every run; equal rows (of one doc_id and text) get equal copies, by which a source can miss its target.
     """
     d = docs.select("doc_id", "source", row_key(F.col("doc_id"), F.col("text")).alias("_row"), F.size(words(F.col("text"))).cast("long").alias("size"))
     d = d.withColumns({"_class": size_class(F.col("size")), "_h": F.xxhash64(F.lit("mix"), "doc_id", "size")})

@@ -170,7 +170,7 @@ def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, cutof
     for k in range(steps):
         best = written(_estimate(_nearest(_distances(vectors, best), share), consistency(share)), f"step{k}")
     first = Window.partitionBy("_group").orderBy("_det", "_start")
-    best = best.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    best = written(best.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"), "best")
     near = (F.col("_d2") <= chi2_quantile(0.975, P)).cast("double")
     final = written(_estimate(_cells(_distances(vectors, best), "_group", "_start", weight=near), consistency(0.975)), "final")
     judged = _distances(vectors, final).groupBy("doc_id", "_row").agg(F.max("_d2").alias("distance2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import LOWER, UPPER, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +85,33 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k)}
 
 
+OP2 = rf"""WITH l AS (SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)),
+f AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key),
+d AS (SELECT l.*, coalesce(l.doc_id > f.first, false) AS gone FROM l LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id"""
+
+_FITS = "((host = '{1}' OR ends_with(host, '.{1}')) AND starts_with(path, '{2}'))"
+
+
+def _op7() -> str:
+    from quire.llm.url_filters import RULES
+
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    pick = lambda f: "CASE " + " ".join(f"WHEN {_FITS.format(*r)} THEN '{f(r)}'" for r in longest) + " END"
+    canonical = "regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|\\.html)$', '')"
+    return f"""WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+listed AS (SELECT DISTINCT {canonical} AS key FROM p WHERE TRY_CAST(nullif(regexp_extract(url, '/([0-9]{{1,18}})(?:[/.?#].*)?$', 1), '') AS BIGINT) IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT page_id, host, path, {pick(lambda r: r[1] + r[2])} AS rule, coalesce({pick(lambda r: r[0])}, CASE WHEN host <> '' AND {canonical} IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict,
+  {pick(lambda r: r[0])} IS NULL AND host <> '' AND {canonical} IN (SELECT key FROM listed) AS listed FROM p"""
+
+
+OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2, "op7_url_filters": _op7(), "op10_exact_top_k": OP10}
