@@ -27,6 +27,11 @@ PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 FLOORS = (0.30, 0.08, 0.035, 0.08, 0.12)
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table of a row or two for each group, in one file: its size on disk shows that it is small, so joins with it don't deal rows out by group."""
+    return written(df.repartition(1), name)
+
+
 def chi2_cdf(x: float, k: int) -> float:
     """Of k degrees of freedom, by the series of the incomplete gamma function."""
     a, x = k / 2, x / 2
@@ -162,17 +167,17 @@ def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, cutof
     group = F.when(F.col("_size") >= min_group, F.to_json(F.array("_lang", "_source"))).when(F.col("_lang_size") >= min_group, F.to_json(F.array("_lang"))).otherwise(F.lit("[]"))
     pools = pools.select("_lang", "_source", group.alias("_group"))
     totals = pools.join(sizes, ["_lang", "_source"]).groupBy("_group").agg(F.sum("_size").alias("_total"))
-    pools = written(pools.join(totals.filter(F.col("_total") >= min_group).select("_group"), "_group"), "groups")
+    pools = _small(pools.join(totals.filter(F.col("_total") >= min_group).select("_group"), "_group"), "groups")
     vectors = passed.withColumns({"_lang": name("lang"), "_source": name("source")}).join(pools, ["_lang", "_source"])
     vectors = written(vectors.select("doc_id", "_row", "_group", *[c.alias(x) for c, x in zip(vector(), X, strict=True)]), "vectors")
     plain = _estimate(_cells(vectors, "_group").withColumn("_start", F.lit(0)), 1.0)
-    best = written(plain.unionByName(_medians(vectors)), "start")
+    best = _small(plain.unionByName(_medians(vectors)), "start")
     for k in range(steps):
-        best = written(_estimate(_nearest(_distances(vectors, best), share), consistency(share)), f"step{k}")
+        best = _small(_estimate(_nearest(_distances(vectors, best), share), consistency(share)), f"step{k}")
     first = Window.partitionBy("_group").orderBy("_det", "_start")
-    best = written(best.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"), "best")
+    best = _small(best.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"), "best")
     near = (F.col("_d2") <= chi2_quantile(0.975, P)).cast("double")
-    final = written(_estimate(_cells(_distances(vectors, best), "_group", "_start", weight=near), consistency(0.975)), "final")
+    final = _small(_estimate(_cells(_distances(vectors, best), "_group", "_start", weight=near), consistency(0.975)), "final")
     judged = _distances(vectors, final).groupBy("doc_id", "_row").agg(F.max("_d2").alias("distance2"))
     same = stats["doc_id"].eqNullSafe(judged["doc_id"]) & (stats["_row"] == judged["_row"])
     out = stats.join(judged, same, "left").select(*[stats[c] for c in stats.columns], "distance2")
