@@ -15,10 +15,14 @@ from quire.sources.tables import table
 
 
 def queries() -> dict:
+    from quire import catalog_shapes  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quire import catalog_shapes  # noqa: F401 - registers its queries
+
     return dict(SQL)
 
 
@@ -398,10 +402,10 @@ def dec_tolerant_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.size(F.json_object_keys(props)).alias("_n")).select("event_id", F.coalesce("_n", F.lit(-1)).cast("long").alias("fields"))
 
 
-@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(replace(text, 'e', chr(16)), 'q', chr(63743)) AS t FROM paragraphs WHERE pos % 4 = 0)
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(replace(text, 'e', chr(16)), 'q', chr(63743)) AS t FROM paragraphs)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, len(regexp_extract_all(t, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{E000}}-\\x{{F8FF}}]')) AS missing FROM d""")
 def dec_glyphs(spark, sf_dir):
-    p = _paragraphs(spark, sf_dir).filter("pos % 4 = 0")
+    p = _paragraphs(spark, sf_dir)
     t = F.translate("text", "eq", "\x10")
     return p.select("doc_id", "pos", mathtext.missing_glyphs(mathtext.mark_unrenderable(t)).alias("missing"))
 
@@ -423,11 +427,11 @@ def dec_cross_merge(spark, sf_dir):
     return ordered.merge_across_pages(p).withColumn("text", F.md5("text"))
 
 
-@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(text, ', ', ' • ') AS t FROM paragraphs WHERE pos % 2 = 0), s AS (SELECT *, length(t) - length(replace(t, '•', '')) >= 2 AND trim(split_part(t, '•', 1)) <> '' AS two FROM d)
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(text, ', ', ' • ') AS t FROM paragraphs), s AS (SELECT *, length(t) - length(replace(t, '•', '')) >= 2 AND trim(split_part(t, '•', 1)) <> '' AS two FROM d)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(unnest([0, 1]) AS INTEGER) AS part, md5(unnest([trim(split_part(t, '•', 1)), '• ' || trim(substr(t, strpos(t, '•') + 1))])) AS text FROM s WHERE two
 UNION ALL SELECT doc_id, CAST(pos AS INTEGER), 0, md5(t) FROM s WHERE NOT two""")
 def dec_bullets(spark, sf_dir):
-    p = _paragraphs(spark, sf_dir).filter("pos % 2 = 0").withColumn("t", F.replace(F.col("text"), F.lit(", "), F.lit(" • ")))
+    p = _paragraphs(spark, sf_dir).withColumn("t", F.replace(F.col("text"), F.lit(", "), F.lit(" • ")))
     return p.select("doc_id", "pos", F.posexplode(text.split_bullets(F.col("t"))).alias("part", "t")).select("doc_id", "pos", "part", F.md5("t").alias("text"))
 
 
@@ -439,18 +443,18 @@ def dec_captions(spark, sf_dir):
     return _paragraphs(spark, sf_dir).select("doc_id", "pos", predicates.caption_kind(t).alias("caption")).filter("caption IS NOT NULL")
 
 
-@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, '$' || regexp_replace(text, '[<>$]', '', 'g') || ' < b$ and a > c' AS t FROM paragraphs WHERE pos % 3 = 0)
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, '$' || regexp_replace(text, '[<>$]', '', 'g') || ' < b$ and a > c' AS t FROM paragraphs)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(CASE WHEN strpos(substr(t, 2), '$') - 1 <= 300 THEN replace(t, ' < b$', ' \\lt{{}} b$') ELSE t END) AS text FROM d""")
 def dec_angles(spark, sf_dir):
     t = F.concat(F.lit("$"), F.regexp_replace("text", "[<>$]", ""), F.lit(" < b$ and a > c"))
-    return _paragraphs(spark, sf_dir).filter("pos % 3 = 0").select("doc_id", "pos", F.md5(mathtext.escape_math_angles(t)).alias("text"))
+    return _paragraphs(spark, sf_dir).select("doc_id", "pos", F.md5(mathtext.escape_math_angles(t)).alias("text"))
 
 
-@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(substr(text, 1, 60), '\\', '') AS s FROM paragraphs WHERE pos % 6 = 0)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, s || ' $\\sqrt{{N}}$ and $\\frac{{a}}{{\\ }} + \\hat{{\\ }}$' AS text FROM d""")
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, regexp_replace(text, '[\\\\$]', '', 'g') AS s FROM paragraphs)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(s || ' $\\sqrt{{N}}$ and $\\frac{{a}}{{\\ }} + \\hat{{\\ }}$') AS text FROM d""")
 def dec_bare_commands(spark, sf_dir):
-    t = F.concat(F.replace(F.substring("text", 1, 60), F.lit("\\"), F.lit("")), F.lit(r" $\sqrt$ N and $\frac{a} + \hat$"))
-    return _paragraphs(spark, sf_dir).filter("pos % 6 = 0").select("doc_id", "pos", mathtext.repair_bare_commands(t).alias("text"))
+    t = F.concat(F.regexp_replace("text", r"[\\$]", ""), F.lit(r" $\sqrt$ N and $\frac{a} + \hat$"))
+    return _paragraphs(spark, sf_dir).select("doc_id", "pos", F.md5(mathtext.repair_bare_commands(t)).alias("text"))
 
 
 #: Lines that end inside a compound and inside a word, around each document's source.
