@@ -73,7 +73,7 @@ def snap_splits(spark, sf_dir):
 
 @query(f"""WITH {LETTERS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(rtrim(replace(replace(replace(t, 'a', '\\alpha '), 'e', '\\leq '), '  ', ' '), ' ')) AS tex FROM letters""")
 def dec_latex(spark, sf_dir):
-    return _letters(spark, sf_dir).select("doc_id", "pos", F.md5(glyphs.latex(F.translate("t", "ae", "α≤"))).alias("tex"))
+    return _letters(spark, sf_dir).select("doc_id", "pos", F.md5(glyphs.as_formula(F.translate("t", "ae", "α≤"))).alias("tex"))
 
 
 FONTS = ("CMMI10", "CMR10", "Times-Bold", "STIXMath-Regular", "CambriaMath", "ArialMT-Black", "LiberationSerif", "Euler-Medium")

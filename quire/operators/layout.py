@@ -6,9 +6,11 @@ distribution; steps that follow state from word to word run as Arrow functions p
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGE = ["doc_id", "page"]
 
@@ -77,39 +79,47 @@ def grids(words: DataFrame, regions: DataFrame, size: float = 10.0, share: float
     inside = inside.filter(F.col("y").between(F.col("top"), F.col("bottom")) & (F.col("x0") >= F.col("rx0") - 2) & (F.col("x1") <= F.col("rx1") + 2))
     slack = max(2.0, 0.35 * size)
 
-    def grid(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x0", "word"], kind="stable")
-        line, anchor, number = 0, None, []
-        for y in part["y"]:
-            if anchor is None or abs(y - anchor) > slack:
-                line, anchor = line + 1, y
-            number.append(line)
-        part = part.assign(line=number)
-        low, high = int(part["x0"].min()), int(part["x1"].max()) + 1
-        free = pd.Series(0, index=range(low, high))
-        for _, row in part.groupby("line"):
-            taken = pd.Series(False, index=free.index)
-            for a, b in zip(row["x0"], row["x1"], strict=True):
-                taken.loc[int(a) : int(b)] = True
-            free += ~taken
-        open_ = free >= share * line
-        edges, start = [], None
-        for x in range(low, high + 1):
-            if x < high and open_.loc[x]:
-                start = x if start is None else start
-            elif start is not None:
-                if x - start >= corridor:
-                    edges.append((start + x) / 2)
-                start = None
-        if not edges:
-            widest = part[part["line"] == part.groupby("line").size().idxmax()].sort_values("x0")
-            edges = [(a + b) / 2 for a, b in zip(widest["x1"], widest["x0"].iloc[1:])]  # noqa: B905
-        column = (part["x0"] + part["x1"]).div(2).apply(lambda x: sum(x > e for e in edges))
-        rows = [[" ".join(r.loc[column.loc[r.index] == c, "t"]) for c in range(len(edges) + 1)] for _, r in part.sort_values(["line", "x0"]).groupby("line")]
-        first = part.iloc[0]
-        return pd.DataFrame({"doc_id": first["doc_id"], "page": first["page"], "region": first["region"], "row": range(1, len(rows) + 1), "cells": rows})
-
-    return inside.groupBy("doc_id", "page", "region").applyInPandas(grid, "doc_id long, page int, region int, row int, cells array<string>")
+    words_of = F.sort_array(F.collect_list(F.struct("y", "x0", "word", "x1", "t")))
+    pages = inside.groupBy("doc_id", "page", "region").agg(words_of.alias("_w"))
+    part = {f"_{c}": F.col("_w")[c] for c in ("y", "x0", "x1", "t")}
+
+    # a region is a row, so an Arrow batch holds many of them
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def cells(y: pd.Series, x0: pd.Series, x1: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([_cells(list(zip(*region, strict=True)), slack, share, corridor) for region in zip(y, x0, x1, t, strict=True)])
+
+    pages = pages.select("doc_id", "page", "region", *[e.alias(c) for c, e in part.items()])
+    rows = pages.select("doc_id", "page", "region", F.posexplode(cells("_y", "_x0", "_x1", "_t")).alias("row", "cells"))
+    return rows.withColumn("row", F.col("row") + 1)
+
+
+def _cells(words: list[tuple], slack: float, share: float, corridor: int) -> list[list[str]]:
+    """Rows of cells of one region's words (y, x0, x1, t), which come in the order of y and x0."""
+    lines: list[list[tuple]] = []
+    for w in words:
+        if not lines or abs(w[0] - lines[-1][0][0]) > slack:
+            lines.append([])
+        lines[-1].append(w)
+    low, high = int(min(w[1] for w in words)), int(max(w[2] for w in words)) + 1
+    free = np.zeros(high - low, dtype=int)
+    for line in lines:
+        empty = np.ones(high - low, dtype=int)
+        for _, x0, x1, _ in line:
+            empty[int(x0) - low : int(x1) + 1 - low] = 0
+        free += empty
+    # runs of open places: where they start and where they end
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], free >= share * len(lines), [0]))))
+    edges = [low + (a + b) / 2 for a, b in zip(turns[::2], turns[1::2], strict=True) if b - a >= corridor]
+    if not edges:
+        widest = sorted(max(lines, key=len), key=lambda w: w[1])
+        edges = [(a[2] + b[1]) / 2 for a, b in zip(widest, widest[1:])]  # noqa: B905
+    rows = []
+    for line in lines:
+        cells: list[list[str]] = [[] for _ in range(len(edges) + 1)]
+        for _, x0, x1, t in sorted(line, key=lambda w: w[1]):
+            cells[int(np.searchsorted(edges, (x0 + x1) / 2))].append(t)
+        rows.append([" ".join(c) for c in cells])
+    return rows
 
 
 def laid_out(paragraphs: DataFrame, lines: int = 40, char: float = 6.0, leading: float = 12.0) -> DataFrame:
