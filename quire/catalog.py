@@ -15,13 +15,13 @@ from quire.sources.tables import table
 
 
 def queries() -> dict:
-    from quire import catalog_pages  # noqa: F401 - registers its queries
+    from quire import catalog_pages, catalog_review  # noqa: F401 - registers its queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire import catalog_pages  # noqa: F401 - registers its queries
+    from quire import catalog_pages, catalog_review  # noqa: F401 - registers its queries
 
     return dict(SQL)
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import dedupe_pair, normal, strip
 
-PROSE = r"([A-Za-z][A-Za-z'-]*[ \t]+){3,}[A-Za-z][A-Za-z'-]*"
+#: Four words; a search needs no more of them, and an open count would need a deep stack on long lines.
+PROSE = r"([A-Za-z][A-Za-z'-]*[ \t]+){3}[A-Za-z]"
 
 
 def apply_rows(rows: Column, translated: Column) -> Column:
