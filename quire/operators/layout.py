@@ -19,18 +19,14 @@ def physical_lines(words: DataFrame, size: float = 10.0) -> DataFrame:
     """doc_id, page, line from 1, y, x0, x1, text: a line ends where y leaves that of its first word by more than max(2, .35 size)."""
     slack = max(2.0, 0.35 * size)
 
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x0", "word"], kind="stable")
-        line, anchor, number = 0, None, []
-        for y in page["y"]:
-            if anchor is None or abs(y - anchor) > slack:
-                line, anchor = line + 1, y
-            number.append(line)
-        page = page.assign(line=number).sort_values(["line", "x0", "word"], kind="stable")
-        out = page.groupby("line", sort=True).agg(y=("y", "first"), x0=("x0", "min"), x1=("x1", "max"), text=("t", " ".join)).reset_index()
-        return out.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0])[["doc_id", "page", "line", "y", "x0", "x1", "text"]]
-
-    return words.groupBy(*PAGE).applyInPandas(lines, "doc_id long, page int, line int, y double, x0 double, x1 double, text string")
+    heights = words.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y")).alias("_ys"))
+    # the heights that begin a line; there are only as many as a page has lines
+    begins = F.aggregate("_ys", F.array().cast("array<double>"), lambda a, y: F.when((F.size(a) == 0) | (y - F.try_element_at(a, F.lit(-1)) > slack), F.concat(a, F.array(y))).otherwise(a))
+    w = words.join(heights.select(*PAGE, begins.alias("_begins")), PAGE)
+    w = w.withColumn("line", F.size(F.filter("_begins", lambda b: b <= F.col("y"))))
+    in_order = F.sort_array(F.collect_list(F.struct("x0", "word", "t")))
+    lines = w.groupBy(*PAGE, "line").agg(F.min_by("y", F.struct("x0", "word")).alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(in_order, lambda x: x["t"]), " ").alias("text"))
+    return lines.select("doc_id", "page", "line", "y", "x0", "x1", "text")
 
 
 def reading_order(blocks: DataFrame, width: float) -> DataFrame:
