@@ -475,15 +475,15 @@ def mock_records(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "zh", F.col("zh").isNotNull().alias("done"))
 
 
-@query()
+@query(f"""WITH {PARAGRAPHS} SELECT doc_id, CAST((pos - 1) // 40 + 1 AS INTEGER) AS page, CAST((pos - 1) % 40 + 1 AS INTEGER) AS line, CAST((pos - 1) % 40 * 12 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS x0, CAST(length(text) * 6 AS DOUBLE) AS x1, text FROM paragraphs""")
 def physical_lines(spark, sf_dir):
-    """Lines found again from words laid out on pages; rows are tested against the paragraphs that were laid out."""
+    """Lines found again from words laid out on pages; the rows are the paragraphs that were laid out."""
     from quire.operators import layout
 
     return layout.physical_lines(layout.laid_out(_paragraphs(spark, sf_dir)))
 
 
-@query()
+@query(SQL["glossary_first_wins"])
 def glossary_stream(spark, sf_dir):
     """The glossary of conversations as a stream in batches; tested to equal glossary_first_wins."""
     from quire.streaming.incremental import glossary_by_stream
