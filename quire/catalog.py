@@ -466,13 +466,13 @@ def dec_hyphen(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.join_lines(lines, F.array().cast("array<string>")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '[zh] ' || substr(text, 1, 40) END AS zh, lang = 'en' AS done FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN md5('[zh] ' || coalesce(text, '')) END AS zh, lang = 'en' AS done FROM documents")
 def mock_records(spark, sf_dir):
     from quire.operators.provider import MockProvider, run_batches
 
     p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
     out = run_batches(p, MockProvider())
-    return out.select(F.col("id").alias("doc_id"), "zh", F.col("zh").isNotNull().alias("done"))
+    return out.select(F.col("id").alias("doc_id"), F.md5("zh").alias("zh"), F.col("zh").isNotNull().alias("done"))
 
 
 @query(f"""WITH {PARAGRAPHS} SELECT doc_id, CAST((pos - 1) // 40 + 1 AS INTEGER) AS page, CAST((pos - 1) % 40 + 1 AS INTEGER) AS line, CAST((pos - 1) % 40 * 12 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS x0, CAST(length(text) * 6 AS DOUBLE) AS x1, text FROM paragraphs""")

@@ -22,7 +22,7 @@ class MockProvider:
 
     def translate(self, items: list[dict], strict: bool = False) -> list[dict]:
         gone = items[1]["id"] if self.drops and len(items) >= 3 else None
-        return [{"id": x["id"], "zh": "[zh] " + (x["text"] or "")[:40]} for x in items if x["lang"] == "en" and x["id"] != gone]
+        return [{"id": x["id"], "zh": "[zh] " + (x["text"] or "")} for x in items if x["lang"] == "en" and x["id"] != gone]
 
 
 def translate_batch(items: list[dict], provider: Provider) -> dict:
