@@ -1,6 +1,7 @@
 """LM scores, packing, the classifier, near duplicates, secret scans and top-k against plain versions."""
 
 import collections
+import inspect
 import math
 import random
 import re
@@ -236,6 +237,14 @@ def test_windows_score_each_token_once_and_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_how_much_is_learned_and_seen():
+    """A quarter of the windows teach the head in two rounds, and each scored token sees at least 17 positions."""
+    defaults = {k: p.default for k, p in inspect.signature(lm_score.lm_scores).parameters.items()}
+    assert defaults["one_in"] <= 4 * defaults["rounds"]
+    assert lm_score.CAUSAL.sum(1).min() >= 17
+    assert lm_score.CLASSES >= 128 and lm_score.SINGLE >= 96
+
+
 def test_gradient_and_training():
     rng = np.random.default_rng(5)
     model = {k: v.astype(np.float64) for k, v in lm_score.start().items()}
