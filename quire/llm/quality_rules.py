@@ -1,7 +1,7 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinants per language and source.
 
 Each document gets counts that need no other document; those with too few words or too much repetition
-fail at once. The rest become vectors of five transformed statistics. For each (lang, source) group a
+fail at once. The rest become vectors of seven transformed statistics. For each (lang, source) group a
 minimum-covariance-determinant estimate is found by concentration steps: every step is one aggregation
 of the vectors by group and by bin of distance, so no group meets in one task, and the share of the
 bin on the border of the half kept is weighed. Two starts are concentrated, the one with the lower
@@ -20,11 +20,16 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import row_key, words, written
 
-P = 5
+P = 7
 X = [f"_x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 #: Least standard deviation of each statistic: words, word length, shares of marks, capitals and repeats.
 FLOORS = (0.30, 0.08, 0.035, 0.08, 0.12)
+#: The same for the shares of symbols and of lines that repeat.
+SHARE_FLOORS = (0.035, 0.12)
+LEAST = FLOORS + SHARE_FLOORS
+#: A clean document of a normal sample lies beyond the cutoff once in so many.
+CLEAN_LOST = 1e-4
 
 
 def _small(df: DataFrame, name: str) -> DataFrame:
@@ -72,6 +77,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("_text", F.lit(r"[^\p{L}\x20\x09-\x0D]")).cast("long").alias("n_marks"),
         F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
@@ -88,7 +94,9 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 def vector() -> list[Column]:
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return [F.log1p("n_words"), F.log(chars / n), F.sqrt(F.col("n_marks") / chars), F.sqrt(F.col("n_capitals") / chars), F.sqrt(F.col("n_repeat_words") / n)]
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    shares = [F.sqrt(F.col("n_marks") / chars), F.sqrt(F.col("n_capitals") / chars), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / lines)]
+    return [F.log1p("n_words"), F.log(chars / n), *shares]
 
 
 def _sums(weight: Column) -> list[Column]:
@@ -104,7 +112,7 @@ def _cells(vectors: DataFrame, *by: str, weight: Column | None = None) -> DataFr
 def _estimate(sums: DataFrame, factor: float) -> DataFrame:
     """From sums to means _m and the Cholesky root _l of factor * covariance + floors."""
     d = sums.filter("_n > 0").withColumns({f"_m{i}": F.col(f"_s{i}") / F.col("_n") for i in range(P)})
-    d = d.withColumns({f"_c{i}{j}": F.lit(factor) * (F.col(f"_q{i}{j}") / F.col("_n") - F.col(f"_m{i}") * F.col(f"_m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
+    d = d.withColumns({f"_c{i}{j}": F.lit(factor) * (F.col(f"_q{i}{j}") / F.col("_n") - F.col(f"_m{i}") * F.col(f"_m{j}")) + (LEAST[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
     for j in range(P):
         left = lambda i, j=j: F.col(f"_c{i}{j}") - sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
         d = d.withColumn(f"_l{j}{j}", F.sqrt(F.greatest(left(j), F.lit(1e-9))))
@@ -144,20 +152,22 @@ def _medians(vectors: DataFrame) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("_b"))) / 64
     q = bins.groupBy("_group", "_k").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"))
     one = q.groupBy("_group").agg(*[F.max(F.when(F.col("_k") == i, F.col(c))).alias(f"_{c}_{i}") for i in range(P) for c in ("m", "s")])
-    root = {f"_l{i}{j}": F.sqrt(F.col(f"_s_{i}") ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS}
+    root = {f"_l{i}{j}": F.sqrt(F.col(f"_s_{i}") ** 2 + LEAST[i] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS}
     one = one.withColumns({f"_m{i}": F.col(f"_m_{i}") for i in range(P)} | root)
     return one.select("_group", F.lit(1).alias("_start"), F.lit(0.0).alias("_det"), *[f"_m{i}" for i in range(P)], *[f"_l{i}{j}" for i, j in PAIRS])
 
 
-def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 35.0, min_group: int = 50) -> DataFrame:
+def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float | None = None, min_group: int = 50) -> DataFrame:
     """A row for each row of docs (doc_id, text, lang, source; others are ignored): doc_id, lang, source, _row
-    (its key, of common.row_key), n_words, word_chars, n_symbols, n_dup_lines, n_marks, n_capitals,
-    n_repeat_words, base_failed, distance2 and kept.
+    (its key, of common.row_key), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_marks,
+    n_capitals, n_repeat_words, base_failed, distance2 and kept. Without a cutoff it is the chi-square quantile of
+    1 - CLEAN_LOST.
 
     Null texts count as empty, so base_failed. A null lang or source is a value of its own. Groups of under
     min_group documents are pooled by language, then over all; where even those are fewer, distance2 is null
     and the base rules decide alone. Repeated rows are judged alike; an empty table gives no rows.
     """
+    cutoff = chi2_quantile(1 - CLEAN_LOST, P) if cutoff is None else cutoff
     stats = written(base_statistics(docs), "statistics")
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     passed = stats.filter(~F.col("base_failed"))

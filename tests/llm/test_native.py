@@ -58,6 +58,19 @@ def test_quality_base(spark, rows):
             assert g.kept
 
 
+def test_symbols_and_repeated_lines_count(spark):
+    """Text cut up by bars, and text of repeated short lines, are outliers among plain documents; the cutoff is the chi-square law's."""
+    rng = random.Random(2)
+    plain = [(i, "\n".join(prose(rng, rng.randint(8, 20)) + "." for _ in range(6)), "en", "s") for i in range(300)]
+    bars = [(1000 + i, " | ".join(prose(rng, 3) for _ in range(25)), "en", "s") for i in range(8)]
+    again = [(2000 + i, "\n".join(x for k in range(9) for x in ("light walks", "seven stones", prose(rng, 10))), "en", "s") for i in range(8)]
+    got = {g.doc_id: g for g in quality_rules.quality_verdicts(frame(spark, plain + bars + again)).collect()}
+    assert all(got[i].kept for i in range(300))
+    junk = [got[i] for i in [*range(1000, 1008), *range(2000, 2008)]]
+    assert not any(g.kept for g in junk) and sum(not g.base_failed for g in junk) >= 14
+    assert quality_rules.chi2_cdf(quality_rules.chi2_quantile(1 - quality_rules.CLEAN_LOST, 7), 7) == pytest.approx(0.9999)
+
+
 def test_quality_distances_against_plain_estimates(spark):
     """One group, the same concentration without bins."""
     rng = random.Random(1)
