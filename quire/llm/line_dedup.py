@@ -1,10 +1,11 @@
 """Line dedup: the first holder of a line keeps it, later documents lose it.
 
 Lines become 128-bit hashes that are range-partitioned by hash, document and position and sorted so
-inside each partition; equal hashes stand together, a hash of very many lines spreads over several
-ranges, and streaming over a range gives its first occurrence of each hash. The few firsts per range
-meet by hash, and only hashes of two or more documents stay. The result holds bitmaps, not texts: per
-document the lengths of the runs of kept and dropped lines in turn, beginning with kept ones.
+inside each partition: equal hashes stand together, and a hash of very many lines spreads over several
+ranges. A sorted aggregation streams over each range and takes the first row of each hash, with the last
+document beside it. What the ranges found meets by hash, a row a range at most, and only hashes of two or
+more documents stay. The result holds bitmaps, not texts: per document the lengths of the runs of kept and
+dropped lines in turn, beginning with kept ones.
 
 Only DataFrame functions are used.
 """
@@ -21,6 +22,20 @@ def line_key(line: Column) -> Column:
     return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), UPPER, LOWER)
 
 
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """lines (h1, h2, doc_id, pos) to h1, h2, first (doc_id, pos) and last (doc_id), structs in document order, a row for each hash.
+
+    A null doc_id comes last. first() depends on the order of its rows, so the sort of the ranges stays in the plan, and as
+    its value is a struct, the aggregation is one that streams over sorted rows. The range's number is a key, so that one
+    task alone finds each first.
+    """
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = lines.select("h1", "h2", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos").alias("at"))
+    ranges = d.repartitionByRange(n, "h1", "h2", "at").withColumn("range", F.spark_partition_id()).sortWithinPartitions("h1", "h2", "range", "at")
+    of_range = ranges.groupBy("h1", "h2", "range").agg(F.first("at").alias("first"), F.last("at").alias("last"))
+    return of_range.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """Rows only for documents that lose lines: doc_id, _row (key of doc_id and text), n_dropped, runs.
 
@@ -28,15 +43,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     texts are one empty line. A null doc_id counts as the largest, and as one document; rows with the same
     doc_id are one document too, so they never take lines from each other.
     """
-    spark = docs.sparkSession
     d = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     d = d.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
     lines = written(d.select("doc_id", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = lines.select("h1", "h2", "doc_id", "pos").repartitionByRange(n, "h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    last = F.max(F.col("doc_id").isNull())
-    firsts = ranged.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_max"), last.alias("_null"))
-    firsts = written(firsts.filter((F.col("_max") > F.col("first")) | (F.col("_null") & F.col("first").isNotNull())).select("h1", "h2", "first"), "firsts")
+    firsts = first_occurrences(lines).filter(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")))
+    firsts = written(firsts.select("h1", "h2", F.col("first.doc_id").alias("first")), "firsts")
     lost = lines.join(firsts, ["h1", "h2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
     gone = lost.groupBy("doc_id", "_row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     # starts of runs of dropped lines, and what follows each
@@ -63,18 +74,23 @@ def kept_lines(lines: Column, runs: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with _lines, _kept (arrays of lines) and n_dropped; rows without a bitmap keep all lines."""
-    b = bitmaps.withColumnsRenamed({"doc_id": "_b_id", "_row": "_b_row", "n_dropped": "_b_dropped", "runs": "_b_runs"})
-    key = row_key(docs["doc_id"], docs["text"])
-    d = docs.join(b, docs["doc_id"].eqNullSafe(b["_b_id"]) & (key == b["_b_row"]), "left")
-    d = d.withColumn("_lines", F.split(F.coalesce(docs["text"], F.lit("")), "\n"))
-    return d.withColumns({"_kept": F.when(F.col("_b_runs").isNull(), F.col("_lines")).otherwise(kept_lines(F.col("_lines"), F.col("_b_runs"))), "n_dropped": F.coalesce("_b_dropped", F.lit(0).cast("long"))}).drop("_b_id", "_b_row", "_b_dropped", "_b_runs")
+    """A row for each row of docs: doc (a struct of its columns, whatever their names), lines, kept (arrays of lines), n_dropped.
+
+    Rows without a bitmap keep all lines.
+    """
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    of_row = d["doc.doc_id"].eqNullSafe(bitmaps["doc_id"]) & (row_key(d["doc.doc_id"], d["doc.text"]) == bitmaps["_row"])
+    d = d.join(bitmaps, of_row, "left").select("doc", F.split(F.coalesce("doc.text", F.lit("")), "\n").alias("lines"), "runs", F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"))
+    return d.select("doc", "lines", F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept_lines(F.col("lines"), F.col("runs"))).alias("kept"), "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """docs with the kept lines as text and n_chars to match; documents that lose every word go."""
+    """docs with the kept lines as text and n_chars to match; documents that lose every word go.
+
+    Rows that lose no line stay as they are, with their nulls, and so do all other columns. An empty table gives none.
+    """
     d = apply_bitmaps(docs, keep_bitmaps(docs, min_chars))
-    text = F.array_join("_kept", "\n")
-    d = d.withColumn("_new", F.when(F.col("n_dropped") > 0, text).otherwise(F.col("text")))
-    d = d.filter((F.col("n_dropped") == 0) | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    return d.select(*[F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else d[c] for c in docs.columns])
+    d = d.withColumn("new", F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("doc.text")))
+    d = d.filter((F.col("n_dropped") == 0) | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    length = F.when(F.col("n_dropped") > 0, F.length("new")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return d.select(*[F.col("new").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = apply_bitmaps(docs, keep_bitmaps(docs))
-    return d.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), "n_dropped", F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"))
+    return d.select("doc.doc_id", F.size("lines").cast("long").alias("n_lines"), "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

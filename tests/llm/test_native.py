@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import line_dedup, mixing, quality_rules, url_filters
 
@@ -115,7 +116,7 @@ def test_line_dedup(spark, rows):
                 first[key(line)] = min(first.get(key(line), last), last if i is None else i)
     docs = frame(spark, rows)
     bitmaps = line_dedup.keep_bitmaps(docs)
-    got = collections.Counter((g.doc_id, len(g._lines), g.n_dropped, "\n".join(g._kept)) for g in line_dedup.apply_bitmaps(docs, bitmaps).select(docs["doc_id"], "_lines", "n_dropped", "_kept").collect())
+    got = collections.Counter((g.doc_id, len(g.lines), g.n_dropped, "\n".join(g.kept)) for g in line_dedup.apply_bitmaps(docs, bitmaps).select("doc.doc_id", "lines", "n_dropped", "kept").collect())
     want = collections.Counter()
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
@@ -129,6 +130,27 @@ def test_line_dedup(spark, rows):
     kept = line_dedup.dedup_lines(docs)
     assert kept.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in kept.filter("text IS NOT NULL").collect())
+    clash = docs.withColumns({"n_dropped": F.lit(77), "lines": F.lit("l"), "runs": F.lit("r"), "kept": F.lit(8), "new": F.lit(9), "a.b": F.lit(1)})
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == clash.columns and {(r.n_dropped, r.lines, r.runs, r.kept, r.new, r["a.b"]) for r in out.collect()} == {(77, "l", "r", 8, 9, 1)}
+
+
+def test_first_lines_come_from_sorted_ranges(spark):
+    """The plan keeps the sort by hash, document and position, and a sorted aggregation reads it."""
+    rng = random.Random(4)
+    hot = [(1, 1, i, i % 3) for i in range(3000)]  # one hash fills several ranges
+    data = hot + [(rng.randrange(50), 2, rng.randrange(900), rng.randrange(5)) for _ in range(2000)] + [(1, 1, None, 0), (7, 7, None, 1)]
+    rng.shuffle(data)
+    found = line_dedup.first_occurrences(spark.createDataFrame(data, "h1 long, h2 long, doc_id long, pos int").repartition(7))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortAggregate\(key=\[h1#\d+L, h2#\d+L, range#\d+\], functions=\[partial_first", plan)
+    assert re.search(r"Sort \[h1#\d+L ASC NULLS FIRST, h2#\d+L ASC NULLS FIRST, range#\d+ ASC NULLS FIRST, at#\d+ ASC NULLS FIRST\], false", plan)
+    key = lambda r: (r[2] is None, r[2] or 0, r[3])
+    want = {}
+    for r in data:
+        want.setdefault(r[:2], []).append(r)
+    got = {(r.h1, r.h2): (r["first"].doc_id, r["first"].pos, r["last"].doc_id) for r in found.collect()}
+    assert got == {k: (*min(v, key=key)[2:], max(v, key=key)[2]) for k, v in want.items()}
 
 
 def test_mixing(spark, rows):
@@ -191,5 +213,5 @@ def test_bloom_filter_has_no_misses_and_the_join_no_false_hits(spark):
 def test_hashes_of_kept_lines(spark):
     docs = frame(spark, [(2, "one same line\nmine", "en", "s"), (1, "ONE same line \n\nother", "en", "s")])
     d = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    got = {r.doc_id: hashlib.sha256("\n".join(r._kept).encode()).hexdigest() for r in d.select(docs["doc_id"], "_kept").collect()}
+    got = {r.doc_id: hashlib.sha256("\n".join(r.kept).encode()).hexdigest() for r in d.select("doc.doc_id", "kept").collect()}
     assert got == {1: hashlib.sha256(b"ONE same line \n\nother").hexdigest(), 2: hashlib.sha256(b"mine").hexdigest()}
