@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -182,10 +183,38 @@ def test_mixing(spark, rows):
     assert out.columns == docs.columns and out.count() == sum(g.copies for g in got)
 
 
-def test_newton_meets_small_and_large_ratios(spark):
-    s = spark.createDataFrame([("a", 1_000_000), ("b", 10), ("c", 0)], "source string, source_size long")
-    for r in mixing.targets(s).collect():
-        assert r.rate == pytest.approx(r.target / r.source_size if r.source_size else 0, rel=1e-9)
+def test_newton_meets_targets_by_rates_that_differ_by_size(spark):
+    """Each step's sums come from all classes; the solved dual leaves under 1e-6 of any target, and rates fall or rise with size up to the cap."""
+    rng = np.random.default_rng(7)
+    ratio = {0: 0.3, 1: 1.0, 2: 1.7, 3: 2.0, 4: 0.001, 5: 1.999}
+    data = [(s, int(c), int(rng.integers(1, 9))) for s in ratio for c in np.unique(np.minimum(rng.lognormal(4, 1.5, 80).astype(int) + 1, 20_000))] + [(6, 0, 4)]
+    classes = spark.createDataFrame([(s, c, n, n * c) for s, c, n in data], "s long, class long, n long, tokens long")
+    tokens = collections.Counter()
+    for s, c, n in data:
+        tokens[s] += n * c
+    goals = spark.createDataFrame([(s, r * tokens[s]) for s, r in ratio.items()] + [(6, 0.0)], "s long, target double")
+    got = {r.s: r for r in mixing.balanced(classes, goals).collect()}
+    assert set(got) == set(range(7)) and got[3].multiplier == math.inf and got[6].multiplier == 0
+    for s, r in ratio.items():
+        if s != 3:
+            rate = {c: min(2.0, math.exp(got[s].multiplier * c / got[s].unit)) for k, c, _ in data if k == s}
+            assert abs(sum(n * c * rate[c] for k, c, n in data if k == s) - r * tokens[s]) < 1e-6 * r * tokens[s] and got[s].residual < 1e-6
+            assert r == 1.0 or len(set(rate.values())) > 5
+            by_size = [rate[c] for c in sorted(rate)]
+            assert by_size == sorted(by_size, reverse=r < 1)
+
+
+def test_mixing_rates_and_copies(spark):
+    rng = random.Random(8)
+    docs = frame(spark, [(i, prose(rng, rng.choice([5, 20, 60, 200])), "en", "abc"[min(2, i % 6)]) for i in range(900)])
+    got = mixing.mix(docs).collect()
+    for s in "abc":
+        rates = {g.size: g.rate for g in got if g.source == s}
+        target, size = next((g.target, g.source_size) for g in got if g.source == s)
+        assert len(set(rates.values())) == (1 if target >= 2 * size else 4)
+        assert all(abs(g.copies - g.rate) < 1 + 1e-9 for g in got if g.source == s)
+        assert abs(sum(g.taken for g in got if g.source == s) - target) <= 5
+    assert any(g.target < 2 * g.source_size for g in got)
 
 
 URLS = ["http://Example.ORG/es/1", "https://a.example.org/en/1x", "http://notexample.org/es/", "ftp://b.com/fr/x", "http://b.com/de/?q", "http://com/de/", "http://x.net/a?u=http://b.com/de/", "http://x.net", "nothing", None, "", "http://www.bad.net/page.html", "http://bad.net/page/#top", "://", "http://org/", "http://bad.net/page/other"]
