@@ -100,10 +100,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features and label of at most fit_rows documents; ids labelled both ways don't count."""
+    """Features and label of at most fit_rows documents; ids labelled both ways don't count, of rows with one doc_id the smallest text does."""
     agreed = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_y"), F.max(label).alias("_z")).filter("_y = _z")
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", "_y")
     rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # bounded by fit_rows
+    rows = rows.groupBy("doc_id", "_y").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "n_chars")).alias("_d")).select("doc_id", "_d.text", "_d.n_chars", "_y")
 
     def extract(batches):
         for batch in batches:

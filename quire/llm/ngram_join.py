@@ -2,10 +2,12 @@
 
 Documents are sets of five-word shingles. Bands and rows are chosen for a target recall at the threshold.
 Documents with equal sets become one node, so copies never pair up. Nodes that share a band hash are linked
-to the smallest node of the band, components of these links are the candidate groups, and each group's full
-sets are compared in pairs of blocks: a large group spreads over many tasks, and no pair is ever a row. Per
-block come the number of links of each node and a spanning forest of the links; components of the forests
-are the classes.
+to the smallest node of the band, and components of these links are the candidate groups. Groups of up to
+LARGE nodes are compared whole. Chains of chance links can make larger ones: these are split, and compared
+band by band, among the nodes that share the band's hash; a pair counts in the first band it shares. Full sets
+are compared in pairs of blocks of bounded numbers and bytes: a large group spreads over many tasks, and no
+pair is ever a row. Per block come the number of links of each node and a spanning forest of the links;
+components of the forests are the classes.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import row_key, written
 
 WORDS = 5
-BLOCK = 512
+#: Groups of copies that hold more than one row in so many are broadcast.
+MANY = 1000
+#: Sets and bytes of sets that a block holds, about; nodes of a group that is compared whole.
+BLOCK, BLOCK_BYTES, LARGE = 512, 1 << 24, 1 << 13
 
 
 def banding(threshold: float = 0.8, recall: float = 0.999, most: int = 128) -> tuple[int, int]:
@@ -121,8 +126,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def compare(ids: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, cross: bool, threshold: float):
-    """Links among the sets, or only between those of left and the others: (links of each, forest edges)."""
+def compare(ids: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, cross: bool, threshold: float, earlier: np.ndarray | None = None):
+    """Links among the sets, or only between those of left and the others: (links of each, forest edges).
+
+    Links of sets that share a value in a column of `earlier` are only edges: they are counted elsewhere.
+    """
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.float64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
@@ -146,7 +154,12 @@ def compare(ids: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, left:
     np.fill_diagonal(linked, False)
     if cross:
         linked &= left[:, None] != left[None, :]
-    links = linked.astype(np.float64) @ weights
+    new = linked
+    if earlier is not None and earlier.shape[1]:
+        new = linked.copy()
+        for column in earlier.T:
+            new &= column[:, None] != column[None, :]
+    links = new.astype(np.float64) @ weights
     edges, seen = [], np.zeros(n, bool)
     for root in range(n):
         if seen[root]:
@@ -189,29 +202,42 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     signed = written(d.mapInArrow(sign, f"doc_id {kind}, _row long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
     first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
-    same = signed.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.count("*").alias("n"), first.alias("f"))
-    nodes = written(same.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", F.col("f.doc_id").alias("first_id"), F.col("f._row").alias("first_row")), "nodes")
+    same = signed.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), first.alias("f"))
+    nodes = written(same.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "n_shingles", F.col("f.doc_id").alias("first_id"), F.col("f._row").alias("first_row")), "nodes")
     # candidates: nodes that share a band hash hang on the smallest of them
     firsts = nodes.select("node", "first_id", "first_row")
     of_first = signed["doc_id"].eqNullSafe(firsts["first_id"]) & (signed["_row"] == firsts["first_row"])
-    hashes = signed.filter("n_shingles > 0").join(firsts, of_first).select("node", F.explode("bands").alias("h")).distinct()
+    hashes = signed.filter("n_shingles > 0").join(firsts, of_first).select("node", F.posexplode("bands").alias("band", "h")).distinct()
     hashes = written(hashes, "bands")
     shared = hashes.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").select("h", "hub")
     stars = hashes.join(shared, "h").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = components(stars, "candidates")
     sizes = groups.groupBy("label").agg(F.count("*").alias("_size"))
-    members = groups.join(sizes, "label").join(nodes, "node")
-    members = members.select("node", "label", "n", "first_id", "first_row", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
-    members = members.withColumn("_block", F.pmod(F.hash("node"), F.col("_blocks")))
+    groups = written(groups.join(sizes, "label"), "groups")
+    large = groups.filter(F.col("_size") > LARGE).select("node")
+    # a group is a component, or what shares a band hash inside a large one; _band says how many bands count as earlier
+    whole = groups.filter(F.col("_size") <= LARGE).select("node", F.col("label").cast("string").alias("label"), F.lit(0).alias("_band"))
+    of_band = hashes.join(large, "node")
+    of_band = of_band.join(of_band.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1"), "h").select("node", F.concat(F.lit("h"), F.col("h").cast("string")).alias("label"), F.col("band").alias("_band"))
+    groups = written(whole.unionByName(of_band), "compared")
+    first_rows = nodes.select("node", "n", "n_shingles", "first_id", "first_row")
+    groups = groups.join(first_rows, "node")
+    room = groups.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES)).cast("int").alias("_blocks"))
+    members = groups.join(room, "label").withColumn("_block", F.pmod(F.hash("node"), F.col("_blocks")))
+    members = members.groupBy("node", "n", "first_id", "first_row").agg(F.collect_list(F.struct("label", "_band", "_blocks", "_block")).alias("_groups"))  # at most one a band
 
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([shingles(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1)], pa.binary())], [*batch.schema.names[:-1], "s"])
 
+    bands_of = signed.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), "bands")
+    kept_bands = members.filter(F.exists("_groups", lambda g: g["_band"] > 0)).join(bands_of, members["first_id"].eqNullSafe(F.col("_id")) & (members["first_row"] == F.col("_key")))
+    kept_bands = kept_bands.groupBy("node").agg(F.first("bands").alias("bands"))
+    members = members.join(kept_bands, "node", "left")
     here = d.join(members, d["doc_id"].eqNullSafe(members["first_id"]) & (d["_row"] == members["first_row"]))
-    here = here.select("node", "label", "n", "_blocks", "_block", "text").mapInArrow(sets, "node long, label long, n long, _blocks int, _block int, s binary")
-    spread = here.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    spread = spread.select("label", F.least("_block", "_other").alias("x"), F.greatest("_block", "_other").alias("y"), "_block", "node", "n", "s")
+    here = here.select("node", "n", "bands", "_groups", "text").mapInArrow(sets, "node long, n long, bands array<long>, _groups array<struct<label:string,_band:int,_blocks:int,_block:int>>, s binary")
+    spread = here.withColumn("g", F.explode("_groups")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("g._blocks") - 1)))
+    spread = spread.select("g.label", F.least("g._block", "_other").alias("x"), F.greatest("g._block", "_other").alias("y"), "g._block", "node", "n", F.slice("bands", F.lit(1), F.col("g._band")).alias("earlier"), "s")
     spread = spread.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y", "node")
 
     def pairs(batches):
@@ -222,7 +248,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
             at = list(seen.values())
             weights = np.array([rows_[k][2] for k in at], np.float64)
             left = np.array([rows_[k][0] == key[1] for k in at])
-            links, edges = compare(ids[at], [np.frombuffer(rows_[k][3], np.uint64) for k in at], weights, left, key[1] != key[2], threshold)
+            earlier = np.array([rows_[k][3] or [] for k in at], np.int64)
+            links, edges = compare(ids[at], [np.frombuffer(rows_[k][4], np.uint64) for k in at], weights, left, key[1] != key[2], threshold, earlier)
             return ids[at], links, edges
 
         def out(done):
@@ -232,12 +259,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         key, held = None, []
         for batch in batches:
             done = []
-            for label, x, y, block, node, n, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for label, x, y, block, node, n, earlier, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (label, x, y) != key:
                     if len(held) > 1:
                         done.append(work(key, held))
                     key, held = (label, x, y), []
-                held.append((block, node, n, s))
+                held.append((block, node, n, earlier, s))
             yield out(done)
         if len(held) > 1:
             yield out([work(key, held)])
@@ -248,14 +275,32 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     nodes = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("first_row"))
     heads = nodes.groupBy("label").agg(F.min_by(F.struct("first_id", "first_row"), order).alias("head"))
-    nodes = nodes.join(heads, "label").select("d1", "d2", "head", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    alone = signed["n_shingles"] == 0
-    out = signed.join(nodes, ["d1", "d2"], "left")
-    keep = alone | (F.col("doc_id").eqNullSafe(F.col("head.first_id")) & (F.col("_row") == F.col("head.first_row")))
-    return out.select("doc_id", "_row", F.when(alone, F.col("doc_id")).otherwise(F.col("head.first_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", keep.alias("keep"))
+    nodes = written(nodes.join(heads, "label").select("d1", "d2", "n", "head", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "heads")
+    # the largest groups of copies, under MANY of them, meet their rows by broadcast, the others by key; rows without words meet none
+    worded = signed.filter("n_shingles > 0").drop("bands")
+    total = signed.count()
+    few = F.broadcast(nodes.filter(F.col("n") * MANY > total).drop("n"))  # under MANY rows, as each holds more than a MANY-th
+    by_few = worded.join(few, ["d1", "d2"], "left")
+    rest = by_few.filter("head IS NULL").drop("head", "n_links").join(nodes.filter(F.col("n") * MANY <= total).drop("n"), ["d1", "d2"])
+    alone = signed.filter("n_shingles = 0").drop("bands").withColumns({"head": F.struct(F.col("doc_id").alias("first_id"), F.col("_row").alias("first_row")), "n_links": F.lit(0).cast("long")})
+    out = by_few.filter("head IS NOT NULL").unionByName(rest).unionByName(alone)
+    keep = (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("head.first_id")) & (F.col("_row") == F.col("head.first_row")))
+    return out.select("doc_id", "_row", F.col("head.first_id").alias("class_id"), F.col("n_links").cast("long"), "n_shingles", keep.alias("keep"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep."""
-    gone = near_duplicates(docs, threshold, recall).filter(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (row_key(docs["doc_id"], docs["text"]) == gone["_key"]), "left_anti")
+    """docs with one row of each group: without the rows that near_duplicates doesn't keep, and once where equal rows are kept.
+
+    Of rows that share doc_id and text, any one stays. Rows without a word are no copies and all stay; so does a row with a
+    null doc_id that is alone. All columns pass as they are; an empty table gives none.
+    """
+    found = near_duplicates(docs, threshold, recall)
+    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.count("*").alias("_times"), F.bool_or("keep").alias("_keep"), F.max("n_shingles").alias("_n"))
+    keys = keys.filter("NOT _keep OR (_times > 1 AND _n > 0)").select("_id", "_key", "_keep")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    of_key = lambda k: d["_doc.doc_id"].eqNullSafe(k["_id"]) & (row_key(d["_doc.doc_id"], d["_doc.text"]) == k["_key"])
+    again = keys.filter("_keep")
+    first = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    once = d.join(again, of_key(again)).withColumn("_k", first).filter("_k = 1")
+    kept = d.join(keys, of_key(keys), "left_anti").select("_doc").unionByName(once.select("_doc"))
+    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

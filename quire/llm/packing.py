@@ -6,7 +6,8 @@ it, large lengths are put in groups of equal cardinality and rounded up to their
 configurations of few sizes are chosen to fill sequences; actual lengths take the places of the rounded
 ones; small lengths go where they fit best. The plan is a short table of runs: so many pieces of one length,
 from one rank on, go to as many sequences, from one on, at one offset. Tasks look up each piece's run by its
-rank among the pieces of its length; ranks are counted in salted parts of a length.
+rank among the pieces of its length; ranks are counted in salted parts of a length, more of them the more
+pieces there are. A piece of the whole capacity is a sequence of its own and needs no rank.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import written
 
-SALTS = 128
+#: Parts of a length that are ranked apart: at least so many, and one for each so many pieces.
+SALTS, SALT_ROWS = 128, 1 << 22
 END = 2
 
 
@@ -179,8 +181,11 @@ def pack(docs: DataFrame, capacity: int = 1024, groups: int = 256) -> DataFrame:
     A null or empty text is the end alone. Repeated rows are packed as often as they stand; null doc_ids stay
     null. An empty table gives no rows. The driver holds the histogram and the plan, bounded by the capacity.
     """
-    pieces = pieces_of(docs, capacity).withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", "start"))
-    pieces = written(pieces.withColumn("_salt", F.pmod("_h", F.lit(SALTS))), "pieces")
+    pieces = written(pieces_of(docs, capacity).withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", "start")), "pieces")
+    salts = max(SALTS, pieces.count() // SALT_ROWS)
+    # whole sequences are numbered down from -1, as they stand in the written table
+    full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}).drop("_h")
+    pieces = pieces.filter(F.col("length") < capacity).withColumn("_salt", F.pmod("_h", F.lit(salts)))
     parts = written(pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "parts")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in parts.groupBy("length").agg(F.sum("_n")).collect():  # at most capacity rows
@@ -200,4 +205,5 @@ def pack(docs: DataFrame, capacity: int = 1024, groups: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(run[:, 4])], [*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.unionByName(full)

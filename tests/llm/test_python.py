@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import factorisation, lm_score, ngram_join, packing, secret_scan, topk
 from tests.llm.test_native import EDGES, WORD, frame, prose
@@ -53,7 +54,8 @@ def test_near_duplicates(spark, rows):
     want = collections.Counter((r[0], min(ids[find(k)], default=None), links[k]) for k, r in enumerate(rows))
     assert collections.Counter((g.doc_id, g.class_id, g.n_links) for g in got) == want
     kept = [r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect()]
-    assert set(kept) == {min(v) for v in ids.values() if v} | {None}
+    alone = {r[0] for r, x in zip(rows, sets, strict=True) if not x}
+    assert collections.Counter(kept) == collections.Counter([*{min(v) for v in ids.values() if v}, None]) and alone <= set(kept)
 
 
 def test_large_groups_span_blocks(spark, monkeypatch):
@@ -65,6 +67,25 @@ def test_large_groups_span_blocks(spark, monkeypatch):
     assert {(g.class_id, g.n_links) for g in got} == {(0, 39)} and sum(g.keep for g in got) == 1
 
 
+@pytest.mark.parametrize("blocks", [(512, 1 << 24), (4, 1 << 24), (512, 400)])
+def test_large_components_are_compared_by_band(spark, monkeypatch, rows, blocks):
+    """Links and classes as by whole components, each pair counted once though it shares many bands."""
+    want = collections.Counter((g.doc_id, g.class_id, g.n_links) for g in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    monkeypatch.setattr(ngram_join, "LARGE", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", blocks[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", blocks[1])
+    assert collections.Counter((g.doc_id, g.class_id, g.n_links) for g in ngram_join.near_duplicates(frame(spark, rows)).collect()) == want
+
+
+def test_one_row_stays_of_equal_rows(spark):
+    text = "the same nine words stand here in every single row"
+    docs = frame(spark, [(1, text, "en", "s")] * 3 + [(None, text + " twice", "en", "s")] * 2 + [(2, "", "en", "s")] * 2 + [(3, "alone", "en", "s")] * 2)
+    clash = docs.withColumns({"_doc": F.lit(1), "_id": F.lit(2), "_keep": F.lit(3), "a.b": F.lit(4)})
+    out = ngram_join.keep_one(clash)
+    assert out.columns == clash.columns and collections.Counter(r.doc_id for r in out.collect()) == {1: 1, 2: 2, 3: 1}
+    assert ngram_join.keep_one(clash.filter("false")).count() == 0
+
+
 def test_banding_meets_its_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, size = ngram_join.banding(threshold, 0.999)
@@ -229,6 +250,8 @@ def test_factorisation_machine(spark):
     got = {r.doc_id: r.score for r in factorisation.quality_scores(frame(spark, rows), labels).collect()}
     assert sum((got[i] >= 0.5) == (i % 3 > 0) for i in range(160, 240)) >= 76
     assert all(0 <= s <= 1 for s in got.values())
+    twice = factorisation.training_rows(frame(spark, rows + rows[:50] * 3), labels, "quality", 6000)
+    assert len(twice) == len(factorisation.training_rows(frame(spark, rows), labels, "quality", 6000)) == 160 - 1  # ids 5 and 7 count once or not
     none = factorisation.quality_scores(frame(spark, rows), labels.filter("false")).collect()
     assert {r.score for r in none} == {0.5}
 
