@@ -239,6 +239,8 @@ def best_of_block(axes: Axes, qids, q, floors, xids, x, k: int, seen: dict | Non
         scores = (f @ g.T)[rows, cols].astype(np.int64)
     else:
         scores = np.concatenate([np.einsum("ij,ij->i", f[rows[a : a + 65536]], g[cols[a : a + 65536]]) for a in range(0, len(rows), 65536)]).astype(np.int64)
+    hit = scores >= floors[rows]
+    rows, cols, scores = rows[hit], cols[hit], scores[hit]
     cuts = np.searchsorted(rows, np.arange(len(q) + 1))
     for i in np.flatnonzero(np.diff(cuts)):
         at, s = cols[cuts[i] : cuts[i + 1]], scores[cuts[i] : cuts[i + 1]]
