@@ -15,13 +15,13 @@ from quire.sources.tables import table
 
 
 def queries() -> dict:
-    from quire import catalog_pages, catalog_review  # noqa: F401 - registers its queries
+    from quire import catalog_pages, catalog_records, catalog_review  # noqa: F401 - registers its queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire import catalog_pages, catalog_review  # noqa: F401 - registers its queries
+    from quire import catalog_pages, catalog_records, catalog_review  # noqa: F401 - registers its queries
 
     return dict(SQL)
 
@@ -124,12 +124,19 @@ def anchor_rematch(spark, sf_dir):
     return migrate.rematch(p, _shifted(p)).select("doc_id", "old_pos", F.coalesce("new_pos", F.lit(0)).alias("new_pos"), "how")
 
 
-@query(f"""WITH {REMATCH}, m AS (SELECT doc_id, old_pos, new_pos, 'zh:' || old_pos AS zh FROM matches WHERE new_pos IS NOT NULL)
-SELECT doc_id, CAST(new_pos AS INTEGER) AS pos, string_agg(zh, chr(10) ORDER BY old_pos) AS zh, count(*) AS merged, min(old_pos) <> new_pos AS moved FROM m GROUP BY doc_id, new_pos""")
+@query(f"""WITH {REMATCH}, m AS (SELECT m.doc_id, old_pos, new_pos, substr(o.text, 1, 2) AS t, old_pos % 3 AS k FROM matches m JOIN paragraphs o ON o.doc_id = m.doc_id AND o.pos = m.old_pos JOIN shifted n ON n.doc_id = m.doc_id AND n.pos = m.new_pos WHERE NOT (n.text <> o.text AND starts_with(n.text, rtrim(o.text)))),
+t AS (SELECT doc_id, new_pos, lower(t) AS key, min(old_pos) AS first FROM m WHERE t <> '' GROUP BY ALL), u AS (SELECT doc_id, new_pos, string_agg(first || ':' || key, ',' ORDER BY first) AS terms FROM t GROUP BY ALL)
+SELECT m.doc_id, CAST(m.new_pos AS INTEGER) AS pos, coalesce(string_agg('zh:' || old_pos, ' ' ORDER BY old_pos) FILTER (k <> 0), '') AS zh, coalesce(string_agg('en:' || old_pos, ' ' ORDER BY old_pos) FILTER (k <> 1), '') AS en, coalesce(min(u.terms), '') AS terms, count(*) AS merged, min(old_pos) <> m.new_pos AS moved
+FROM m LEFT JOIN u ON u.doc_id = m.doc_id AND u.new_pos = m.new_pos GROUP BY m.doc_id, m.new_pos""")
 def anchor_migrate(spark, sf_dir):
+    """Records move with their paragraphs; those whose paragraph grew are left out. Each has a term, a text's first letters in either case."""
     p = _paragraphs(spark, sf_dir).select("doc_id", "pos", "text")
-    records = p.select("doc_id", "pos", F.concat(F.lit("zh:"), F.col("pos").cast("string")).alias("zh"))
-    return migrate.migrate(records, migrate.rematch(p, _shifted(p)))
+    n = F.col("pos").cast("string")
+    term = F.substring("text", 1, 2)
+    terms = F.array(F.struct(F.when(F.col("pos") % 2 == 0, F.upper(term)).otherwise(F.lower(term)).alias("en"), n.alias("zh")))
+    records = p.select("doc_id", "pos", F.when(F.col("pos") % 3 != 0, F.concat(F.lit("zh:"), n)).alias("zh"), F.when(F.col("pos") % 3 != 1, F.concat(F.lit("en:"), n)).alias("en"), terms.alias("terms"))
+    moved = migrate.migrate(records, migrate.rematch(p, _shifted(p)), p, _shifted(p))
+    return moved.withColumn("terms", F.array_join(F.transform("terms", lambda t: F.concat(t["zh"], F.lit(":"), F.lower(t["en"]))), ","))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -208,7 +215,7 @@ def ask_context(spark, sf_dir):
     return ordered.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2).select("conv_id", "turn", "context")
 
 
-SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+SQUASH = "regexp_replace(lower(regexp_replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\\\[A-Za-z]+', '', 'g')), '[^a-z0-9]', '', 'g')"
 
 
 @query(f"""WITH n AS (SELECT item_id, substr({SQUASH.format("text")}, 1, 40) AS needle FROM benchmark), d AS (SELECT doc_id, {SQUASH.format("text")} AS t FROM documents)
@@ -480,15 +487,6 @@ def dec_hyphen(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.join_lines(lines, F.array().cast("array<string>")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN md5('[zh] ' || coalesce(text, '')) END AS zh, lang = 'en' AS done FROM documents")
-def mock_records(spark, sf_dir):
-    from quire.operators.provider import MockProvider, run_batches
-
-    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
-    out = run_batches(p, MockProvider())
-    return out.select(F.col("id").alias("doc_id"), F.md5("zh").alias("zh"), F.col("zh").isNotNull().alias("done"))
-
-
 @query(f"""WITH {PARAGRAPHS} SELECT doc_id, CAST((pos - 1) // 40 + 1 AS INTEGER) AS page, CAST((pos - 1) % 40 + 1 AS INTEGER) AS line, CAST((pos - 1) % 40 * 12 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS x0, CAST(length(text) * 6 AS DOUBLE) AS x1, text FROM paragraphs""")
 def physical_lines(spark, sf_dir):
     """Lines found again from words laid out on pages; the rows are the paragraphs that were laid out."""

@@ -94,15 +94,14 @@ def dec_figure_areas(spark, sf_dir):
     return areas.join(figures.absorb_labels(areas, blocks), ["doc_id", "page", "caption"], "left").select("doc_id", "x0", "x1", "top", "bottom", F.array_join("labels", ",").alias("labels"))
 
 
-#: Customers as authors of their nation, three beside each other; names over affiliations.
-@query("""WITH c AS (SELECT c_nationkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)
-SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(n // 3 + 1 AS INTEGER) AS row, string_agg(c_name || ' (' || c_mktsegment || ')', ', ' ORDER BY n) AS text, CAST(count(*) AS INTEGER) AS blocks FROM c GROUP BY c_nationkey, n // 3""")
+#: Customers as authors, twelve to a document and three beside each other; names over affiliations, the row's third lower by up to four.
+@query("""WITH c AS (SELECT c_custkey // 12 AS doc_id, c_custkey % 12 AS n, c_name, c_mktsegment FROM customer), d AS (SELECT *, n % 3 * 110 AS x0, n // 3 * 12 + CASE WHEN n % 3 = 2 THEN doc_id % 5 ELSE 0 END AS y0, CASE WHEN n % 3 = 2 AND doc_id % 5 > 3 THEN n // 3 * 2 + 1 ELSE n // 3 * 2 END AS r FROM c),
+e AS (SELECT doc_id, r, string_agg(c_name || ' (' || c_mktsegment || ')', ', ' ORDER BY y0, x0) AS text, count(*) AS blocks FROM d GROUP BY doc_id, r)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r) AS INTEGER) AS row, text, CAST(blocks AS INTEGER) AS blocks FROM e""")
 def dec_author_rows(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    c = table(spark, sf_dir, "customer").withColumn("n", n)
-    b = c.select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("n").alias("block"), F.concat("c_name", F.lit("\n"), "c_mktsegment").alias("text"), F.lit(2).alias("lines"), ((F.col("n") % 3) * 110.0).alias("x0"), ((F.col("n") % 3) * 110.0 + 90).alias("x1"), (F.floor(F.col("n") / 3) * 12.0 + F.col("n") % 3).alias("y0"))
+    doc, n = F.floor(F.col("c_custkey") / 12).cast("long"), F.col("c_custkey") % 12
+    c = table(spark, sf_dir, "customer")
+    b = c.select(doc.alias("doc_id"), n.alias("block"), F.concat("c_name", F.lit("\n"), "c_mktsegment").alias("text"), F.lit(2).alias("lines"), ((n % 3) * 110.0).alias("x0"), ((n % 3) * 110.0 + 90).alias("x1"), (F.floor(n / 3) * 12.0 + F.when(n % 3 == 2, doc % 5).otherwise(0)).alias("y0"))
     return figures.author_rows(b.withColumn("y1", F.col("y0") + 10), 1e9)
 
 

@@ -17,14 +17,16 @@ def token_sets(spark, sf_dir):
     return _paragraphs(spark, sf_dir).select("doc_id", "pos", F.md5(F.array_join(F.array_sort(text.tokens(F.col("text"))), " ")).alias("tokens"))
 
 
-#: Turns as the lines of a region: under every third conversation an algorithm's frame.
-@query("""WITH t AS (SELECT conv_id, list(CASE WHEN conv_id % 3 = 0 AND n = 1 THEN 'Algorithm 1 Input: x Output: y' WHEN conv_id % 3 = 0 THEN (n - 1) || '   while x return y end ' ELSE lower(role) END ORDER BY n) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) GROUP BY conv_id)
-SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN 0 ELSE 4 + CASE WHEN len(lines) >= 4 THEN 2 ELSE 0 END + CASE WHEN len(lines) >= 2 THEN 2 ELSE 0 END END::INTEGER AS score FROM t""")
+#: Turns as the lines of a region: under every third conversation an algorithm's frame around words of its turns.
+@query("""WITH t AS (SELECT conv_id, list(CASE WHEN conv_id % 3 = 0 AND n = 1 THEN 'Algorithm 1 Input: x Output: y' WHEN conv_id % 3 = 0 THEN (n - 1) || '   while ' || coalesce(text, '') ELSE coalesce(text, '') END ORDER BY n) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) GROUP BY conv_id), j AS (SELECT *, lower(array_to_string(lines, ' ')) AS s FROM t)
+SELECT conv_id, CAST(CASE WHEN contains(substr(s, 1, 80), 'algorithm') THEN 3 ELSE 0 END + CASE WHEN len(list_filter(lines, lambda x: regexp_matches(trim(substr(trim(x), 1, 3)), '^[0-9]+$'))) >= 3 THEN 2 ELSE 0 END
+ + CASE WHEN len(list_filter(['for', 'foreach', 'while', 'if', 'then', 'do', 'return', 'elif', 'else', '←', '<-'], lambda k: contains(s, k))) >= 3 THEN 2 ELSE 0 END + CASE WHEN contains(s, 'input:') AND contains(s, 'output:') THEN 1 ELSE 0 END AS INTEGER) AS score FROM j""")
 def dec_pseudocode(spark, sf_dir):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    line = F.when(F.col("conv_id") % 3 != 0, F.lower("role")).when(F.col("n") == 1, "Algorithm 1 Input: x Output: y").otherwise(F.concat((F.col("n") - 1).cast("string"), F.lit("   while x return y end ")))
+    said = F.coalesce("text", F.lit(""))
+    line = F.when(F.col("conv_id") % 3 != 0, said).when(F.col("n") == 1, "Algorithm 1 Input: x Output: y").otherwise(F.concat((F.col("n") - 1).cast("string"), F.lit("   while "), said))
     t = table(spark, sf_dir, "conversations").withColumn("n", n).withColumn("line", line)
     g = t.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
     return g.select("conv_id", predicates.pseudocode_score(F.col("lines")).cast("int").alias("score"))

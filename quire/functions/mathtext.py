@@ -91,18 +91,30 @@ def plain_escape(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
+#: A slash before a relation's command, and the command of both.
+SLASHED = ((r"/\s*\\in\b", r"\\notin"), (r"/\s*\\subset\b", r"\\not\\subset"), (r"/\s*\\equiv\b", r"\\not\\equiv"), (r"/\s*=", r"\\neq "), (r"[ \t]{2,}", " "))
+
+
 def slash_commands(x: Column) -> Column:
-    pairs = (("/∈", r"\notin "), ("/=", r"\neq "), ("/≡", r"\not\equiv "), ("/⊂", r"\not\subset "))
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, x)
+    """Of a formula whose characters are commands: a relation struck out by a slash becomes one command."""
+    return reduce(lambda c, p: F.regexp_replace(c, *p), SLASHED, x)
 
 
 def display_equation(x: Column) -> Column:
-    numbered = x.rlike(r"^\s*\$[^$]+\$\s*\(?[0-9]+[a-z]?\)?\s*$")
-    return (F.length(x) <= 500) & ((math_coverage(x) >= 0.6) | numbered)
+    """Up to 500 characters, and mostly formula or one formula with its number in brackets before or after it."""
+    t = F.regexp_replace(x, r"^\s+|\s+$", "")
+    numbered = t.rlike(r"^\([0-9]+[a-z]?\)\s*\$[^$]+\$$|^\$[^$]+\$\s*\([0-9]+[a-z]?\)$")
+    return F.length(t).between(1, 500) & ((math_coverage(x) >= 0.6) | numbered)
+
+
+def repaired(x: Column) -> Column:
+    """Commands without arguments get them, then angles in formulas become commands."""
+    return escape_math_angles(repair_bare_commands(x))
 
 
 def unrepaired(x: Column, had_placeholder: Column) -> Column:
     """Names of what shows that a placeholder was left or covered up."""
+    # fixed values: patterns of empty pairs and environments
     inside = F.exists(F.regexp_extract_all(x, F.lit(r"(?s)\$\$.+?\$\$|\$.+?\$"), F.lit(0)), lambda m: m.contains("?"))
     beside = x.rlike(r"\\[A-Za-z]{2,}\s*\?|\?\s*\\[A-Za-z]{2,}")
     gap = r"(?:\s|~|\\[ ,;:!>]|\\q?quad)*"

@@ -118,3 +118,44 @@ def split_bullets(x: Column) -> Column:
     head, rest = strip(F.substring_index(x, "•", 1)), strip(F.regexp_extract(x, "(?s)^[^•]*•(.*)$", 1))
     two = (F.length(x) - F.length(F.replace(x, F.lit("•"), F.lit(""))) >= 2) & (head != "")
     return F.when(two, F.array(head, F.concat(F.lit("• "), rest))).otherwise(F.array(x))
+
+
+def list_items(x: Column, longest: int = 42) -> Column:
+    """intro and items (label, text) of a text with bullets; a label ends at the first colon of the item's first characters."""
+    parts = F.split(x, "•")
+    items = F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), strip), lambda t: t != "")
+    label = lambda t: F.nullif(F.regexp_extract(t, f"^([^:：]{{1,{longest}}})[:：]", 1), F.lit(""))
+    item = lambda t: F.struct(label(t).alias("label"), F.when(label(t).isNull(), t).otherwise(strip(F.substring(t, F.length(label(t)) + 2, F.length(t)))).alias("text"))
+    return F.struct(strip(F.get(parts, F.lit(0))).alias("intro"), F.transform(items, item).alias("items"))
+
+
+def blank_line_paragraphs(x: Column) -> Column:
+    """What stands between blank lines, stripped; nothing blank."""
+    return F.filter(F.transform(F.split(x, r"\n[ \t\r]*\n\s*"), strip), lambda t: t != "")
+
+
+def filled_table(rows: Column) -> Column:
+    """Rows of cells without the rows and columns that are blank throughout; null unless two rows and two columns are left."""
+    cell = lambda r, k: strip(F.coalesce(F.get(r, k), F.lit("")))
+    width = F.aggregate(rows, F.lit(0), lambda a, r: F.greatest(a, F.size(r)))
+    kept = F.filter(rows, lambda r: F.exists(r, lambda c: strip(F.coalesce(c, F.lit(""))) != ""))
+    columns = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda k: F.exists(kept, lambda r: cell(r, k) != ""))
+    table = F.transform(kept, lambda r: F.transform(columns, lambda k: cell(r, k)))
+    return F.when((F.size(kept) >= 2) & (F.size(columns) >= 2), table)
+
+
+def markdown_table(rows: Column) -> Column:
+    """filled_table as Markdown, the first row as its head; null where that is null."""
+    table = filled_table(rows)
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(F.regexp_replace(c, r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.get(table, F.lit(0)))))
+    return F.when(table.isNotNull(), F.array_join(F.concat(F.array(line(F.get(table, F.lit(0))), rule), F.transform(F.slice(table, 2, F.size(table)), line)), "\n"))
+
+
+def tab_separated(rows: Column) -> Column:
+    return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\n]+", " ")), "\t")), "\n")
+
+
+def source_type(name: Column, content: Column) -> Column:
+    """pdf by the name's suffix or the content's first bytes, else other."""
+    return F.when(F.lower(name).endswith(".pdf") | content.startswith("%PDF"), "pdf").otherwise("other")

@@ -111,17 +111,18 @@ def author_rows(blocks: DataFrame, height: float, share: float = 0.30, most: int
     A block of two lines reads 'first (second)'.
     """
     short = blocks.filter((F.col("y0") <= height * share) & (F.length("text") <= most) & (F.col("lines") <= 2))
-
-    def rows(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y0", "x0", "block"], kind="stable")
-        number, row, base, right = [], 0, None, None
-        for b in part.itertuples():
-            if base is None or abs(b.y0 - base) > 3 or not -2 <= b.x0 - right <= 40:
-                row, base, right = row + 1, b.y0, b.x1
-            right = max(right, b.x1)
-            number.append(row)
-        label = part["text"].str.replace("\n", " (", n=1, regex=False) + part["text"].str.contains("\n", regex=False).map({True: ")", False: ""})
-        out = part.assign(row=number, text=label).groupby("row").agg(text=("text", ", ".join), blocks=("block", "size")).reset_index()
-        return out.assign(doc_id=part["doc_id"].iloc[0])[["doc_id", "row", "text", "blocks"]]
-
-    return short.groupBy("doc_id").applyInPandas(rows, "doc_id long, row int, text string, blocks int")
+    # a row's base and its right end go from block to block, so a document's short blocks, few by their place, are folded in order
+    g = short.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "block", "x1", "text"))).alias("_b"))
+    label = lambda t: F.when(t.contains("\n"), F.concat(F.regexp_replace(t, r"^([^\n]*)\n", "$1 ("), F.lit(")"))).otherwise(t)
+    one = "struct<base:double,right:double,texts:array<string>>"
+
+    def add(a, b):
+        last = F.try_element_at(a, F.lit(-1))
+        gap = b["x0"] - last["right"]
+        beside = F.coalesce((F.abs(b["y0"] - last["base"]) <= 3) & gap.between(-2, 40), F.lit(False))
+        grown = F.struct(last["base"].alias("base"), F.greatest(last["right"], b["x1"]).alias("right"), F.concat(last["texts"], F.array(label(b["text"]))).alias("texts"))
+        new = F.struct(b["y0"].cast("double").alias("base"), b["x1"].cast("double").alias("right"), F.array(label(b["text"])).alias("texts"))
+        return F.when(beside, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(grown.cast(one)))).otherwise(F.concat(a, F.array(new.cast(one))))
+
+    rows = g.select("doc_id", F.posexplode(F.aggregate("_b", F.array().cast(f"array<{one}>"), add)).alias("_k", "_r"))
+    return rows.select("doc_id", (F.col("_k") + 1).alias("row"), F.array_join("_r.texts", ", ").alias("text"), F.size("_r.texts").alias("blocks"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quire.functions.text import anchor, normal
 
 
-def todo(paragraphs: DataFrame, records: DataFrame, key: list[str], done: str) -> DataFrame:
-    """Paragraphs without a record whose `done` column isn't blank."""
-    return paragraphs.join(records.filter(F.trim(F.coalesce(done, F.lit(""))) != ""), key, "left_anti")
+def todo(paragraphs: DataFrame, records: DataFrame, key: list[str], done: str, only: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Paragraphs without a record whose `done` column isn't blank, or with force all; of those in `only`, where it is given."""
+    wanted = paragraphs if only is None else paragraphs.join(only, key, "left_semi")
+    return wanted if force else wanted.join(records.filter(F.trim(F.coalesce(done, F.lit(""))) != ""), key, "left_anti")
 
 
 def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -33,11 +34,32 @@ def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.select("doc_id", "old_pos").join(found, ["doc_id", "old_pos"], "left").withColumn("how", F.coalesce("how", F.lit("orphan")))
 
 
-def migrate(records: DataFrame, matches: DataFrame) -> DataFrame:
-    """(doc_id, pos, zh) of old paragraphs to doc_id, pos, zh, merged, moved; records that meet are joined in old order."""
-    m = records.join(matches.filter("new_pos IS NOT NULL"), (records["doc_id"] == matches["doc_id"]) & (records["pos"] == matches["old_pos"])).select(records["doc_id"], "old_pos", "new_pos", "zh")
-    g = m.groupBy("doc_id", F.col("new_pos").alias("pos")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("old_pos", "zh"))), lambda x: x["zh"]), "\n").alias("zh"), F.count("*").alias("merged"), F.min("old_pos").alias("_first"))
-    return g.select("doc_id", "pos", "zh", "merged", (F.col("_first") != F.col("pos")).alias("moved"))
+def migrate(records: DataFrame, matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Records (doc_id, pos, zh, en, terms) of old paragraphs at their new places: doc_id, pos, zh, en, terms, merged, moved.
+
+    A record whose paragraph only grew, so that the new text begins with the old one, is stale and left out. Records that
+    meet are joined by blanks in old order, their terms (en, zh) kept once for each en, whatever its case. Terms without en go.
+    """
+    o = old.select("doc_id", F.col("pos").alias("old_pos"), F.col("text").alias("_old"))
+    n = new.select("doc_id", F.col("pos").alias("new_pos"), F.col("text").alias("_new"))
+    m = matches.filter("new_pos IS NOT NULL").select("doc_id", "old_pos", "new_pos").join(o, ["doc_id", "old_pos"]).join(n, ["doc_id", "new_pos"])
+    start = F.regexp_replace(F.col("_old"), r"\s+$", "")
+    m = m.filter(~((F.col("_new") != F.col("_old")) & (start != "") & F.col("_new").startswith(start)))
+    m = records.withColumnRenamed("pos", "old_pos").join(m.select("doc_id", "old_pos", "new_pos"), ["doc_id", "old_pos"])
+    g = m.groupBy("doc_id", F.col("new_pos").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("old_pos", "zh", "en", "terms"))).alias("_r"))
+    joined = lambda c: F.array_join(F.filter(F.transform("_r", lambda r: F.trim(F.coalesce(r[c], F.lit("")))), lambda t: t != ""), " ")
+    every = F.filter(F.flatten(F.filter(F.transform("_r", lambda r: r["terms"]), lambda t: t.isNotNull())), lambda t: F.coalesce(t["en"], F.lit("")) != "")
+    g = g.withColumn("_t", every)
+    first = F.filter("_t", lambda t, i: ~F.exists(F.slice("_t", F.lit(1), i), lambda u: F.lower(u["en"]) == F.lower(t["en"])))
+    return g.select("doc_id", "pos", joined("zh").alias("zh"), joined("en").alias("en"), first.alias("terms"), F.size("_r").cast("long").alias("merged"), (F.get("_r", F.lit(0))["old_pos"] != F.col("pos")).alias("moved"))
+
+
+def stale(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, old_pos, new_pos of the matches whose new text is longer than the old one that it begins with."""
+    o = old.select("doc_id", F.col("pos").alias("old_pos"), F.regexp_replace("text", r"\s+$", "").alias("_start"), F.col("text").alias("_old"))
+    n = new.select("doc_id", F.col("pos").alias("new_pos"), F.col("text").alias("_new"))
+    m = matches.filter("new_pos IS NOT NULL").join(o, ["doc_id", "old_pos"]).join(n, ["doc_id", "new_pos"])
+    return m.filter((F.col("_new") != F.col("_old")) & (F.col("_start") != "") & F.col("_new").startswith(F.col("_start"))).select("doc_id", "old_pos", "new_pos")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.predicates import REFERENCES, line_kind
+from quire.functions.predicates import REFERENCES, block_kind, line_kind
 
 
 def classified(paragraphs: DataFrame) -> DataFrame:
@@ -15,6 +15,15 @@ def classified(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumn("kind", line_kind(F.col("text"), F.coalesce(head, F.lit(0)) == 1))
 
 
+def classified_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, page, pos, text, size, body, bold) with kind and level; what follows a references heading is a reference."""
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.coalesce(F.max(F.col("text").rlike(REFERENCES).cast("int")).over(before), F.lit(0)) == 1
+    c = blocks.withColumn("_refs", head)
+    c = c.withColumn("_k", block_kind(F.col("text"), F.col("size"), F.col("body"), F.col("bold"), F.col("page"), F.col("_refs")))
+    return c.withColumns({"kind": F.col("_k.kind"), "level": F.col("_k.level")}).drop("_refs", "_k")
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
 
@@ -60,3 +69,8 @@ def merge_glyph_fragments(paragraphs: DataFrame) -> DataFrame:
     joins = glyph_only(F.col("text")) & (F.lag("kind").over(w) == "equation")
     p = paragraphs.withColumn("_island", F.sum(F.when(joins, 0).otherwise(1)).over(w))
     return p.groupBy("doc_id", "_island").agg(F.min("pos").alias("pos"), F.min_by("kind", "pos").alias("kind"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text")).drop("_island")
+
+
+def in_place(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, y, x, kind, item) with their place from 1 in the order of y and x."""
+    return blocks.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("y", "x", "kind", "item")).cast("long"))

@@ -1,4 +1,4 @@
-"""Calls of a model per batch of paragraphs: a provider contract, a deterministic offline one, retries by halves."""
+"""Calls of a model per batch of paragraphs: a provider contract, retries by halves."""
 
 from __future__ import annotations
 
@@ -14,17 +14,6 @@ class Provider(Protocol):
         """A record for each item that the model answered, with its id and zh; may raise."""
 
 
-class MockProvider:
-    """Marks English texts; leaves others unanswered, and with `drops` also the second item of batches of three or more."""
-
-    def __init__(self, drops: bool = False):
-        self.drops = drops
-
-    def translate(self, items: list[dict], strict: bool = False) -> list[dict]:
-        gone = items[1]["id"] if self.drops and len(items) >= 3 else None
-        return [{"id": x["id"], "zh": "[zh] " + (x["text"] or "")} for x in items if x["lang"] == "en" and x["id"] != gone]
-
-
 def translate_batch(items: list[dict], provider: Provider) -> dict:
     """zh by id. A batch that fails or gets no answer is halved; items left out are asked for one by one."""
     if not items:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,33 +18,30 @@ def tag_balance(html: Column, tags: tuple[str, ...] = TAGS) -> Column:
     return F.array_compact(F.array(*[F.when(n(f"<{t}(?:[ \t\n/][^>]*)?>") != n(f"</{t}[ \t\n]*>"), F.lit(t)) for t in tags]))
 
 
-def fidelity(needles: DataFrame, docs: DataFrame, prefix: int = 40, block: int = 100_000) -> DataFrame:
-    """item_id, doc_id of each document whose squashed text holds the first characters of a squashed needle.
+def fidelity(needles: DataFrame, docs: DataFrame, prefix: int = 40, seed: int = 20) -> DataFrame:
+    """item_id, doc_id of each document whose squashed text holds the first `prefix` characters of a squashed needle.
 
-    Needles come to the tasks in blocks of bounded size, each an automaton that finds all of them in one pass.
+    Any occurrence holds a piece of a text that is cut every prefix - seed + 1 characters into pieces of `seed`: the
+    pieces, distinct in a document, meet the needles' windows of that length by hash, and candidates are verified on the
+    text. HTML entities are resolved and commands of formulas go before squashing.
     """
-    n = needles.select("item_id", F.substring(squash(F.col("text")), 1, prefix).alias("needle")).filter(F.length("needle") >= prefix)
-    count = n.count()
-    parts = max(1, -(-count // block))
-    texts = docs.select("doc_id", squash(F.col("text")).alias("t")).filter("t IS NOT NULL")
-    found = []
-    for k in range(parts):
-        mine = n.filter(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k).toArrow().to_pydict()
-
-        def find(batches, mine=mine):
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for i, needle in zip(mine["item_id"], mine["needle"], strict=True):
-                automaton.get(needle, []).append(i) if needle in automaton else automaton.add_word(needle, [i])
-            if mine["needle"]:
-                automaton.make_automaton()
-            for batch in batches:
-                pairs = [(i, d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i in {i for _, ids in (automaton.iter(t) if mine["needle"] else ()) for i in ids}]
-                yield pa.RecordBatch.from_pydict({"item_id": [p[0] for p in pairs], "doc_id": [p[1] for p in pairs]}, schema=pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64())]))
-
-        found.append(texts.mapInArrow(find, "item_id long, doc_id long"))
-    return reduce(DataFrame.unionByName, found)
+    step = prefix - seed + 1
+    n = needles.select("item_id", F.substring(squash(plain(F.col("text"))), 1, prefix).alias("needle")).filter(F.length("needle") >= prefix)
+    n = n.groupBy("needle").agg(F.collect_set("item_id").alias("items"))
+    windows = n.select("needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda k: F.xxhash64(F.substring("needle", k, F.lit(seed)))))).alias("h"))
+    texts = docs.select("doc_id", squash(plain(F.col("text"))).alias("t")).filter(F.length("t") >= prefix)
+    last = F.floor((F.length("t") - seed) / step).cast("int")
+    pieces = texts.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(F.substring("t", k * step + 1, F.lit(seed)))))).alias("h"))
+    pairs = pieces.join(windows, "h").select("doc_id", "needle").distinct()
+    held = pairs.join(texts, "doc_id").filter(F.col("t").contains(F.col("needle"))).select("doc_id", "needle").distinct()
+    return held.join(n, "needle").select(F.explode("items").alias("item_id"), "doc_id")
+
+
+def plain(x: Column) -> Column:
+    """Text with the five HTML entities resolved and without the commands of formulas."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.regexp_replace(x, r"\\[A-Za-z]+", "")
 
 
 def first_phrase(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.predicates import is_furniture, page_number
 from quire.functions.text import furniture_key, strip
 
 #: Formulas between dollars, \( \) or \[ \]; no group repeats over single characters, so long texts need no deep stack.
@@ -61,3 +62,24 @@ def zone_furniture(blocks: DataFrame, height: float, top: float = 0.062, bottom:
     repeated = zone.groupBy("doc_id", "_key").agg(F.count("*").alias("_n"))
     kept = zone.join(repeated, ["doc_id", "_key"]).filter((F.col("_n") >= least) | F.col("text").rlike("^[0-9]{1,4}$"))
     return kept.drop("_key", "_n")
+
+
+def page_furniture(blocks: DataFrame, height: float, page_width: float, top: float = 0.062, bottom: float = 0.945, share: float = 0.3) -> DataFrame:
+    """Blocks (doc_id, page, text, lines, x0, x1, y0, y1) that are no content.
+
+    In the top or bottom zone those whose key repeats there in the document, twice and on a share of its pages at least,
+    known furniture and numbers; anywhere page numbers.
+    """
+    in_zone = (F.col("y1") <= top * height) | (F.col("y0") >= bottom * height)
+    b = blocks.withColumns({"_zone": in_zone, "_key": furniture_key(F.col("text"))})
+    pages = blocks.groupBy(F.col("doc_id").alias("_d")).agg(F.countDistinct("page").alias("_pages"))
+    often = b.filter("_zone").groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(F.count("*").alias("_n"))
+    often = often.join(pages, "_d").filter(F.col("_n") >= F.greatest(F.lit(2), F.floor(share * F.col("_pages")))).drop("_n", "_pages").withColumn("_often", F.lit(True))
+    b = b.join(often, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    gone = F.col("_zone") & (F.coalesce("_often", F.lit(False)) | is_furniture(F.col("text")) | F.col("text").rlike("^[0-9]{1,4}$"))
+    return b.filter(gone | page_number(F.col("text"), F.col("lines"), F.col("x1") - F.col("x0"), F.lit(page_width))).select(*blocks.columns)
+
+
+def scanned_pages(paragraphs: DataFrame, least: int = 40) -> DataFrame:
+    """doc_id, page, chars of the pages (doc_id, page, text) whose texts have fewer characters than that."""
+    return paragraphs.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") < least)

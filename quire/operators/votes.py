@@ -18,11 +18,18 @@ def majority(counts: DataFrame) -> DataFrame:
 
 
 def replacement_plan(counts: DataFrame) -> DataFrame:
-    """zh, best: each minority rendering with its majority; those inside another chosen rendering are left out."""
+    """zh, best: each minority rendering with its majority; those inside another chosen rendering are left out.
+
+    A rendering inside another shares that one's substring at some place, so the two meet by their length and a hash of the
+    substring: each chosen rendering gives its substrings of the lengths that minority renderings have.
+    """
     best = majority(counts).filter("renderings > 1")
     plan = counts.join(best, "term").filter((F.col("zh") != F.col("best")) & (F.length("zh") >= 2)).groupBy("zh").agg(F.max("best").alias("best"))
     chosen = best.select(F.col("best").alias("_c")).distinct()
-    return plan.join(chosen, F.col("_c").contains(F.col("zh")) & (F.col("_c") != F.col("zh")), "left_anti")
+    size = F.length("_c")
+    parts = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda k: F.substring(F.col("_c"), k, n))))
+    inside = chosen.filter(size > 2).select(F.explode(F.array_distinct(parts)).alias("zh")).distinct()
+    return plan.join(inside, "zh", "left_anti")
 
 
 def glossary(terms: DataFrame, most: int = 80, longest: int = 40) -> DataFrame:

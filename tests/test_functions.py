@@ -30,6 +30,11 @@ def value(spark, expression, **columns):
         (mathtext.escape_math_angles, "a < b $a<b$ c > d", r"a < b $a\lt{}b$ c > d"),
         (mathtext.plain_escape, "*a* <b & $", r"\*a\* &lt;b &amp; \$"),
         (mathtext.display_equation, "$a = b + c$", True),
+        (mathtext.display_equation, "(3b) $a = b$", True),
+        (mathtext.display_equation, "as in $a$ (4)", False),
+        (mathtext.display_equation, "$a$ 4", False),
+        (mathtext.slash_commands, r"x /\in A / = b /\infty", r"x \notin A \neq b /\infty"),
+        (text.blank_line_paragraphs, "a\nb\n \n\n c\n", ["a\nb", "c"]),
         (mathtext.display_equation, "a long sentence with $a$", False),
         (mathtext.math_coverage, "ab $cd$", 0.5),
         (text.dedupe_pair, "LAION（LAION）", "LAION"),
@@ -81,7 +86,12 @@ def test_pseudocode(spark):
 
 def test_provider_recovers_dropped_items():
     items = [{"id": i, "lang": "en", "text": "t"} for i in range(5)]
-    assert set(provider.translate_batch(items, provider.MockProvider(drops=True))) == set(range(5))
+
+    class Drops:
+        def translate(self, items, strict=False):
+            return [{"id": x["id"], "zh": "z"} for k, x in enumerate(items) if k != 1 or len(items) < 3]
+
+    assert set(provider.translate_batch(items, Drops())) == set(range(5))
 
     class Fails:
         def translate(self, items, strict=False):
