@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import PARAGRAPHS, REMATCH, W, _paragraphs, _shifted
 from quire.functions import mathtext, predicates, text
-from quire.operators import migrate, ordered, quality, records, review
+from quire.operators import grids, migrate, ordered, quality, records, review
 from quire.registry import query
 from quire.sources import tables
 from quire.sources.tables import table
@@ -289,3 +289,89 @@ def dec_combining_marks(spark, sf_dir):
     bare = F.regexp_replace(F.replace("made", F.lit(r"\neq "), F.lit("=")), " $", "")
     strokes = (F.length("made") - F.length(F.replace("made", F.lit(r"\neq "), F.lit("")))) / 5
     return p.select("doc_id", "pos", (F.col("n") - F.length(bare)).cast("long").alias("accents"), strokes.cast("long").alias("strokes"))
+
+
+#: Orders as tables of three columns under a wide head and, in every fifth, a caption; in every fourth the second cell is wide; every third line continues the row above.
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+r AS (SELECT *, sum(CASE WHEN n % 3 = 0 AND k > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY o ORDER BY k) AS g FROM l),
+c AS (SELECT o, g, string_agg('a' || n, ' ' ORDER BY k) AS a, string_agg('b' || p, ' ' ORDER BY k) AS b, string_agg('c' || k, ' ' ORDER BY k) AS c, string_agg('b' || p || ' c' || k, ' ' ORDER BY k) AS bc FROM r GROUP BY o, g)
+SELECT o AS doc_id, CAST(1 AS INTEGER) AS row, 'wide:3|-|-' AS cells FROM (SELECT DISTINCT o FROM l)
+UNION ALL SELECT o, CAST(g + 1 AS INTEGER), a || ':1|' || CASE WHEN o % 4 = 1 THEN bc || ':2|-' ELSE b || ':1|' || c || ':1' END FROM c""")
+def dec_span_grids(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    word = lambda x0, x1, t: F.struct(F.lit(x0).cast("double").alias("x0") if not hasattr(x0, "cast") else x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), t.alias("t"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), k.alias("k"))
+    gap = F.when((F.col("n") % 3 == 0) & (F.col("k") > 1), 5.0).otherwise(12.0)
+    l = l.withColumn("y", F.sum(gap).over(Window.partitionBy("doc_id").orderBy("k")))
+    wide = F.col("doc_id") % 4 == 1
+    words = F.array(word(10.0, F.lit(60.0), F.concat(F.lit("a"), F.col("n").cast("string"))), word(110.0, F.when(wide, 280.0).otherwise(150.0), F.concat(F.lit("b"), F.col("p").cast("string"))), word(210.0, F.lit(250.0), F.concat(F.lit("c"), F.col("k").cast("string"))))
+    lines = F.collect_list(F.struct("y", words.alias("words")))
+    head = F.array(F.struct(F.lit(0.0).alias("y"), F.array(word(40.0, F.lit(260.0), F.lit("wide"))).alias("words")))
+    caption = F.array(F.struct(F.lit(-20.0).alias("y"), F.array(word(40.0, F.lit(80.0), F.lit("Table")), word(90.0, F.lit(100.0), F.lit("3:"))).alias("words")))
+    none = F.slice(caption, F.lit(1), F.lit(0))
+    g = l.groupBy("doc_id").agg(lines.alias("_l")).withColumn("_l", F.concat(F.when(F.col("doc_id") % 5 == 0, caption).otherwise(none), head, "_l"))
+    slots = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(a + 100.0).alias("b")) for a in (0.0, 100.0, 200.0)])
+    rows = g.select("doc_id", F.posexplode(grids.span_grid(F.col("_l"), slots, F.lit(10.0))).alias("_k", "r"))
+    text_of = F.array_join(F.transform("r", lambda c: F.coalesce(F.concat(c["text"], F.lit(":"), c["span"].cast("string")), F.lit("-"))), "|")
+    return rows.select("doc_id", (F.col("_k") + 1).alias("row"), text_of.alias("cells"))
+
+
+#: Parts as drawings on their size's page: thin or thick, wide or narrow.
+@query("""SELECT DISTINCT CAST(p_size AS BIGINT) AS doc_id, CAST(round(p_partkey % 50 + 0.04, 1) AS DOUBLE) AS y, CAST(round(p_partkey % 7 + 0.26, 1) AS DOUBLE) AS x0, CAST(round(p_partkey % 7 + 0.26 + p_partkey % 60, 1) AS DOUBLE) AS x1 FROM part WHERE p_partkey % 4 < 2 AND p_partkey % 60 >= 30""")
+def dec_rules(spark, sf_dir):
+    k = F.col("p_partkey")
+    d = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("doc_id"), F.lit(1).alias("page"), (k % 7 + 0.26).alias("x0"), (k % 7 + 0.26 + k % 60).alias("x1"), (k % 50 + 0.04).alias("y0"), (k % 50 + 0.04 + k % 4 * 1.5).alias("y1"))
+    return grids.rules(d).select("doc_id", "y", "x0", "x1")
+
+
+#: Orders as blocks and boxes of their customer's page, places by their keys.
+BOXED = """b AS (SELECT o_custkey AS doc_id, o_orderkey AS block, o_orderkey * 37 % 500 AS x0, o_orderkey * 37 % 500 + 40 AS x1, o_orderkey * 53 % 300 AS y0, o_orderkey * 53 % 300 + 12 AS y1 FROM orders WHERE o_orderkey % 3 <> 0),
+t AS (SELECT o_custkey AS doc_id, o_orderkey AS region, o_orderkey * 29 % 300 AS x0, o_orderkey * 29 % 300 + 220 AS x1, o_orderkey * 31 % 200 AS y0, o_orderkey * 31 % 200 + 90 AS y1 FROM orders WHERE o_orderkey % 3 = 0)"""
+
+
+def _boxed(spark, sf_dir):
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    place = lambda a, m, d, name: [(k * a % m).cast("double").alias(f"{name}0"), (k * a % m + d).cast("double").alias(f"{name}1")]
+    b = o.filter("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), k.alias("block"), *place(37, 500, 40, "x"), *place(53, 300, 12, "y"), F.concat(F.when(k % 2 == 0, "Table ").otherwise("Note "), k.cast("string"), F.lit(": t")).alias("text"))
+    t = o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), k.alias("region"), *place(29, 300, 220, "x"), *place(31, 200, 90, "y"))
+    return b, t
+
+
+@query(f"""WITH {BOXED} SELECT doc_id, block FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND b.x0 >= t.x0 - 3 AND b.x1 <= t.x1 + 3 AND b.y0 >= t.y0 - 3 AND b.y1 <= t.y1 + 3)""")
+def dec_blocks_outside(spark, sf_dir):
+    b, t = _boxed(spark, sf_dir)
+    return grids.outside(b, t).select("doc_id", "block")
+
+
+@query(f"""WITH {BOXED} SELECT DISTINCT b.doc_id, block FROM b JOIN t USING (doc_id) WHERE least(b.x1, t.x1) > greatest(b.x0, t.x0) AND least(b.y1, t.y1) > greatest(b.y0, t.y0) AND (least(b.x1, t.x1) - greatest(b.x0, t.x0)) * (least(b.y1, t.y1) - greatest(b.y0, t.y0)) >= 0.5 * least(40 * 12, 220 * 90)""")
+def dec_overlaps(spark, sf_dir):
+    b, t = _boxed(spark, sf_dir)
+    return grids.overlapping(b, t).select("doc_id", "block")
+
+
+@query(f"""WITH {BOXED}, n AS (SELECT t.doc_id, region, block, greatest(t.y0 - b.y1, b.y0 - t.y1, 0) AS far FROM t JOIN b USING (doc_id) WHERE block % 2 = 0)
+SELECT doc_id, region, block, 'Table ' || block || ': t' AS caption FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, region ORDER BY far, block) AS k FROM n WHERE far <= 40) WHERE k = 1""")
+def dec_absorbed_captions(spark, sf_dir):
+    b, t = _boxed(spark, sf_dir)
+    return grids.absorbed_captions(t, b).select("doc_id", "region", "block", "caption")
+
+
+@query(f"""WITH {PARAGRAPHS}, p AS (SELECT doc_id, (pos - 1) // 50 AS region, pos, text FROM paragraphs)
+SELECT doc_id, CAST(region AS INTEGER) AS region, CAST(least(count(*), 40) AS INTEGER) AS lines, md5(string_agg(text, chr(10) ORDER BY pos) FILTER ((pos - 1) % 50 < 40)) AS text FROM p GROUP BY doc_id, region HAVING sum(len(string_split(text, ' '))) >= 3""")
+def dec_figure_texts(spark, sf_dir):
+    """Fifty paragraphs as the lines of a figure: at most forty count, and too few words are none."""
+    words = F.transform(F.split("text", " "), lambda t, i: F.struct(i.cast("double").alias("x0"), (i + 1).cast("double").alias("x1"), t.alias("t")))
+    p = _paragraphs(spark, sf_dir).select("doc_id", F.floor((F.col("pos") - 1) / 50).cast("int").alias("region"), F.struct(F.col("pos").cast("double").alias("y"), words.alias("words")).alias("line"))
+    g = p.groupBy("doc_id", "region").agg(F.collect_list("line").alias("lines")).withColumn("t", grids.figure_text(F.col("lines"))).filter("t IS NOT NULL")
+    return g.select("doc_id", "region", F.size("t").alias("lines"), F.md5(F.array_join("t", "\n")).alias("text"))
+
+
+@query(f"""WITH {PARAGRAPHS}, n AS (SELECT unnest(['language', 'age', 'the langu', 'and', 'an']) AS term), m AS (SELECT doc_id, pos, lower(unnest(regexp_extract_all(regexp_replace(text, '\\$[^$]*\\$', ' ', 'g'), '(?i)the langu|language|age|and|an'))) AS term FROM paragraphs WHERE pos % 6 <> 0)
+SELECT doc_id, term, CAST(min(pos) AS INTEGER) AS pos FROM m GROUP BY doc_id, term""")
+def dec_term_marks(spark, sf_dir):
+    """Where each term is marked first: longer terms before shorter ones, none inside formulas, every sixth paragraph being a table."""
+    p = _paragraphs(spark, sf_dir).select("doc_id", "pos", "text", F.when(F.col("pos") % 6 == 0, "table").otherwise("text").alias("kind"))
+    terms = p.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, ("an", "and", "age", "language", "the langu")))).alias("term"))
+    return ordered.term_marks(p, terms)

@@ -74,3 +74,17 @@ def merge_glyph_fragments(paragraphs: DataFrame) -> DataFrame:
 def in_place(blocks: DataFrame) -> DataFrame:
     """Blocks (doc_id, y, x, kind, item) with their place from 1 in the order of y and x."""
     return blocks.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("y", "x", "kind", "item")).cast("long"))
+
+
+def term_marks(paragraphs: DataFrame, terms: DataFrame, kinds: tuple[str, ...] = ("table", "algorithm", "equation")) -> DataFrame:
+    """doc_id, term, pos: the paragraph (doc_id, pos, text, kind) in which each term (doc_id, term) of its document is marked first.
+
+    At a place the longest term wins, of equal ones the first by code points; formulas and paragraphs of `kinds` have no marks.
+    """
+    longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    quoted = lambda t: F.regexp_replace(t, r"([\\.\[\]{}()*+?^$|-])", r"\\$1")
+    t = terms.filter(F.trim(F.coalesce("term", F.lit(""))) != "").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.lower("term")), longest).alias("_t"))
+    t = t.select("doc_id", F.concat(F.lit("(?i)"), F.array_join(F.transform("_t", quoted), "|")).alias("_p"))
+    bare = F.regexp_replace("text", r"\$[^$]*\$", " ")
+    found = paragraphs.filter(~F.col("kind").isin(*kinds)).join(t, "doc_id").select("doc_id", "pos", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(bare, F.col("_p"), F.lit(0)), F.lower))).alias("term"))
+    return found.groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
