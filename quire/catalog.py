@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import mathtext, predicates, text
 from quire.operators import migrate, ordered, quality, segment, votes
 from quire.registry import QUERIES, SQL, query
+from quire.sources import tables
 from quire.sources.tables import table
 
 
@@ -413,7 +414,8 @@ def html_escaped(spark, sf_dir):
 @query("SELECT event_id, coalesce(len(json_keys(TRY_CAST(CASE WHEN event_id % 9 = 0 THEN substr(props, 2) ELSE props END AS JSON))), -1) AS fields FROM events")
 def dec_tolerant_json(spark, sf_dir):
     props = F.when(F.col("event_id") % 9 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
-    return table(spark, sf_dir, "events").select("event_id", F.size(F.json_object_keys(props)).alias("_n")).select("event_id", F.coalesce("_n", F.lit(-1)).cast("long").alias("fields"))
+    fields = F.size(tables.tolerant_json(props, "map<string,string>"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(fields >= 0, fields).otherwise(-1).cast("long").alias("fields"))
 
 
 @query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, replace(replace(text, 'e', chr(16)), 'q', chr(63743)) AS t FROM paragraphs)
@@ -456,11 +458,13 @@ def dec_bullets(spark, sf_dir):
     return p.select("doc_id", "pos", F.posexplode(text.split_bullets(F.col("t"))).alias("part", "t")).select("doc_id", "pos", "part", F.md5("t").alias("text"))
 
 
-@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '0.12 Table 1: ' WHEN 1 THEN 'Fig. 2 shows ' WHEN 2 THEN 'Figure 3. ' ELSE '' END || text AS t FROM paragraphs)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 4 = 0 THEN 'table' ELSE 'figure' END AS caption FROM d WHERE pos % 4 IN (0, 2)""")
+@query(rf"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, CASE pos % 6 WHEN 0 THEN '0.12 Table 1: ' WHEN 1 THEN 'Fig. 2 shows ' WHEN 2 THEN 'Figure 3. ' WHEN 3 THEN substr(text, 1, 1) || ' Table 4: ' WHEN 4 THEN '图 5：' ELSE '' END || text AS t FROM paragraphs),
+b AS (SELECT *, regexp_replace(t, '^[0-9 \t.,%)-]+', '') AS bare FROM d), k AS (SELECT doc_id, pos, CASE WHEN regexp_matches(bare, '(?i)^(table|表)[ \t]*[0-9]+[ \t]*[:：.]') THEN 'table' WHEN regexp_matches(bare, '(?i)^(figure|fig\.?|图)[ \t]*[0-9]+[ \t]*[:：.]') THEN 'figure' END AS caption FROM b)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, caption FROM k WHERE caption IS NOT NULL""")
 def dec_captions(spark, sf_dir):
-    c = F.col("pos") % 4
-    t = F.concat(F.when(c == 0, "0.12 Table 1: ").when(c == 1, "Fig. 2 shows ").when(c == 2, "Figure 3. ").otherwise(""), "text")
+    c = F.col("pos") % 6
+    front = F.when(c == 0, "0.12 Table 1: ").when(c == 1, "Fig. 2 shows ").when(c == 2, "Figure 3. ").when(c == 3, F.concat(F.substring("text", 1, 1), F.lit(" Table 4: "))).when(c == 4, "图 5：").otherwise("")
+    t = F.concat(front, "text")
     return _paragraphs(spark, sf_dir).select("doc_id", "pos", predicates.caption_kind(t).alias("caption")).filter("caption IS NOT NULL")
 
 

@@ -39,12 +39,17 @@ def dec_equation_cells(spark, sf_dir):
     return _letters(spark, sf_dir).select("doc_id", "pos", review.equation_cell(t).alias("e")).select("doc_id", "pos", "e.boxed", "e.tag")
 
 
-@query(f"""WITH {LETTERS}, d AS (SELECT doc_id, pos, t || ' $' || t || '$ ' || t AS x, t FROM letters) SELECT doc_id, CAST(pos AS INTEGER) AS pos, 3 AS parts, md5(t) AS formula, false AS before, true AS inside FROM d""")
+#: Every comma opens or closes a formula; an odd last one is a dollar alone.
+@query(f"""WITH {LETTERS}, d AS (SELECT doc_id, pos, replace(t, ',', ' $ ') AS x FROM letters), f AS (SELECT *, regexp_extract_all(x, '\\$[^$]+\\$') AS m FROM d)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(len(m) + len(list_filter(regexp_split_to_array(x, '\\$[^$]+\\$'), lambda p: p <> '')) AS INTEGER) AS parts, md5(array_to_string(m, '')) AS formulas,
+ length(substr(x, 1, length(x) // 2)) - length(replace(substr(x, 1, length(x) // 2), '$', '')) AS dollars, (length(substr(x, 1, length(x) // 2)) - length(replace(substr(x, 1, length(x) // 2), '$', ''))) % 2 = 1 AS inside FROM f""")
 def dec_math_splits(spark, sf_dir):
-    """Texts parted at their formulas, and whether a place stands inside one."""
-    x = F.concat("t", F.lit(" $"), "t", F.lit("$ "), "t")
+    """Texts parted at their formulas, and whether their middle stands inside one."""
+    x = F.replace("t", F.lit(","), F.lit(" $ "))
     parts = review.split_math(x)
-    return _letters(spark, sf_dir).select("doc_id", "pos", F.size(parts).cast("int").alias("parts"), F.md5(F.regexp_replace(F.get(parts, F.lit(1)), r"^\$|\$$", "")).alias("formula"), review.inside_math(x, F.length("t") + 1).alias("before"), review.inside_math(x, F.length("t") + 3).alias("inside"))
+    half = F.floor(F.length(x) / 2).cast("int")
+    formulas = F.filter(parts, lambda p: p.rlike(r"(?s)^\$[^$]+\$$"))
+    return _letters(spark, sf_dir).select("doc_id", "pos", F.size(parts).cast("int").alias("parts"), F.md5(F.array_join(formulas, "")).alias("formulas"), mathtext.unescaped_dollars(F.substring(x, F.lit(1), half)).alias("dollars"), review.inside_math(x, half + 1).alias("inside"))
 
 
 @query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN '⟦?⟧' WHEN pos % 4 = 3 THEN 'E ' || text ELSE text END AS t, CASE WHEN pos % 4 = 3 THEN 'equation' ELSE 'text' END AS kind FROM paragraphs),

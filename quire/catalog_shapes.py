@@ -219,18 +219,26 @@ def dec_page_bounds(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.page_bounds(spec).alias("b")).select("o_orderkey", "b.first", "b.last")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_brand || ' (' || p_type || ')' END AS name FROM part")
+@query("""WITH d AS (SELECT p_partkey, p_brand AS a, CASE p_partkey % 4 WHEN 0 THEN lower(p_brand) WHEN 1 THEN p_type WHEN 2 THEN upper(p_brand) || ' ' ELSE substr(p_brand, 2) END AS b, CASE WHEN p_partkey % 3 = 0 THEN '（' ELSE ' (' END AS o, CASE WHEN p_partkey % 3 = 0 THEN '）' ELSE ')' END AS c FROM part)
+SELECT p_partkey, CASE WHEN lower(trim(a)) = lower(trim(b)) AND trim(a) <> '' THEN trim(a) ELSE a || o || b || c END AS name FROM d""")
 def dec_pairs(spark, sf_dir):
-    pair = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", F.lit("（"), F.lower("p_brand"), F.lit("）"))).otherwise(F.concat("p_brand", F.lit(" ("), "p_type", F.lit(")")))
+    k = F.col("p_partkey")
+    other = F.when(k % 4 == 0, F.lower("p_brand")).when(k % 4 == 1, F.col("p_type")).when(k % 4 == 2, F.concat(F.upper("p_brand"), F.lit(" "))).otherwise(F.expr("substr(p_brand, 2)"))
+    pair = F.concat("p_brand", F.when(k % 3 == 0, "（").otherwise(" ("), other, F.when(k % 3 == 0, "）").otherwise(")"))
     return table(spark, sf_dir, "part").select("p_partkey", text.dedupe_pair(pair).alias("name"))
 
 
-@query(f"""WITH {LETTERS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, ['placeholder', 'question mark', 'empty delimiters', 'empty environment', ''][pos % 5 + 1] AS reason FROM letters""")
+#: Letters with marks that may show a covered placeholder: they meet, or don't, as the text's commas and stops fall.
+@query(r"""WITH """ + LETTERS + r""", d AS (SELECT doc_id, pos, pos % 3 > 0 AS had, CASE WHEN pos % 7 = 0 THEN '⟦?⟧' ELSE '' END || '$' || replace(replace(substr(t, 1, 60), ',', CASE WHEN pos % 2 = 0 THEN '$ ? $' ELSE ' ? ' END), '.', '') || '$' || CASE pos % 5 WHEN 0 THEN ' \left(~\right)' WHEN 1 THEN ' \begin{cases} & \\ \end{cases}' WHEN 2 THEN ' \begin{cases} a \end{cases}' WHEN 3 THEN ' \quad ?' ELSE '' END AS x FROM letters)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, array_to_string(list_filter([CASE WHEN contains(x, '⟦?⟧') THEN 'placeholder' END, CASE WHEN had AND (len(list_filter(regexp_extract_all(x, '\$.+?\$'), lambda m: contains(m, '?'))) > 0 OR regexp_matches(x, '\\[A-Za-z]{2,}\s*\?|\?\s*\\[A-Za-z]{2,}')) THEN 'question mark' END,
+ CASE WHEN had AND regexp_matches(x, '\\left\(~\\right\)') THEN 'empty delimiters' END, CASE WHEN had AND regexp_matches(x, '\\begin\{cases\}[ &\\]*\\end\{cases\}') THEN 'empty environment' END], lambda r: r IS NOT NULL), ',') AS reason FROM d""")
 def dec_unrepaired(spark, sf_dir):
-    pos = F.col("pos") % 5
-    tail = F.when(pos == 0, mathtext.MISSING).when(pos == 1, r"$x ? y$").when(pos == 2, r"$\left[\;\right]$").when(pos == 3, r"$\begin{matrix} & \\ \end{matrix}$").otherwise(r"$a + b$")
-    reasons = mathtext.unrepaired(F.concat("t", F.lit(" "), tail), F.lit(True))
-    return _letters(spark, sf_dir).select("doc_id", "pos", F.array_join(reasons, ",").alias("reason"))
+    pos = F.col("pos")
+    mark = F.when(pos % 2 == 0, "$ ? $").otherwise(" ? ")
+    tail = F.when(pos % 5 == 0, r" \left(~\right)").when(pos % 5 == 1, r" \begin{cases} & \\ \end{cases}").when(pos % 5 == 2, r" \begin{cases} a \end{cases}").when(pos % 5 == 3, r" \quad ?").otherwise("")
+    body = F.replace(F.replace(F.substring("t", 1, 60), F.lit(","), mark), F.lit("."), F.lit(""))
+    x = F.concat(F.when(pos % 7 == 0, mathtext.MISSING).otherwise(""), F.lit("$"), body, F.lit("$"), tail)
+    return _letters(spark, sf_dir).select("doc_id", "pos", F.array_join(mathtext.unrepaired(x, pos % 3 > 0), ",").alias("reason"))
 
 
 @query(r"""SELECT doc_id, md5(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '\', '∕'), '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{E000}-\x{F8FF}]', '⟦?⟧', 'g'), '([*_`$])', '\\\1', 'g'), '(^|[\n ])([#>])', '\1\\\2', 'g'), '&', '&amp;'), '<', '&lt;')) AS escaped FROM documents""")
@@ -250,7 +258,7 @@ def dec_stream_lines(spark, sf_dir):
     key = F.col("event_id")
     line = F.when(key % 10 == 0, "data: [DONE]").when(key % 7 == 0, F.concat(F.lit("data: "), F.expr("substr(props, 2)"))).otherwise(F.concat(F.lit("data: "), "props"))
     data = F.regexp_extract(line, "(?s)^data: (.*)$", 1)
-    e = table(spark, sf_dir, "events").select("user_id", (F.json_object_keys(data).isNotNull()).alias("piece"), (data == "[DONE]").alias("end"))
+    e = table(spark, sf_dir, "events").select("user_id", tables.tolerant_json(data, "map<string,string>").isNotNull().alias("piece"), (data == "[DONE]").alias("end"))
     return e.groupBy("user_id").agg(F.count(F.when(F.col("piece") & ~F.col("end"), 1)).alias("pieces"), F.count(F.when(F.col("end"), 1)).alias("ends"))
 
 
@@ -282,7 +290,7 @@ def owned_documents(spark, sf_dir):
     """Documents of each owner, listed, and how many have a result."""
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("owner"))
     done = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")).distinct().withColumn("done", F.lit(1))
-    listed = meta.filter("owner <> ''").join(done, "id", "left")
+    listed = tables.list_documents(meta).filter("owner <> ''").join(done, "id", "left")
     return listed.groupBy("owner").agg(F.count("*").alias("documents"), F.count("done").alias("translated"))
 
 
