@@ -18,20 +18,28 @@ def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, pos, text) twice to doc_id, old_pos, new_pos, how.
 
     An old paragraph goes to the first new one of its document with the same anchor of 48, else whose text begins
-    with the anchor's first 32, else whose text holds its first 24; else it is an orphan.
+    with the anchor's first 32, else whose text holds its first 24; else it is an orphan. The last is found by seeds: a text
+    that holds 24 characters holds one of its own pieces of 12, cut every 13, inside them; anchors shorter than that are
+    looked for in the texts of their document.
     """
     o = old.select("doc_id", F.col("pos").alias("old_pos"), anchor(F.col("text")).alias("a"))
     n = new.select("doc_id", F.col("pos").alias("new_pos"), normal(F.col("text")).alias("t")).filter("t <> ''")
-    n = n.withColumns({"a": F.substring("t", 1, 48), "a32": F.substring("t", 1, 32)})
-    exact = o.join(n.groupBy("doc_id", "a").agg(F.min("new_pos").alias("new_pos")), ["doc_id", "a"], "left").withColumn("how", F.when(F.col("new_pos").isNotNull(), "exact"))
-    rest = exact.filter("new_pos IS NULL").drop("new_pos", "how").withColumn("a32", F.substring("a", 1, 32))
-    prefix = rest.filter(F.length("a32") == 32).join(n.groupBy("doc_id", "a32").agg(F.min("new_pos").alias("new_pos")), ["doc_id", "a32"]).select("doc_id", "old_pos", "a", "new_pos", F.lit("prefix").alias("how"))
-    left = rest.join(prefix, ["doc_id", "old_pos"], "left_anti").withColumn("a24", F.substring("a", 1, 24))
-    # only what the equi joins left, and inside one document
-    inside = left.filter("a24 <> ''").join(n.select("doc_id", "new_pos", "t"), "doc_id").filter(F.col("t").contains(F.col("a24")))
-    inside = inside.groupBy("doc_id", "old_pos").agg(F.min("new_pos").alias("new_pos")).withColumn("how", F.lit("contained"))
-    found = exact.filter("new_pos IS NOT NULL").select("doc_id", "old_pos", "new_pos", "how").unionByName(prefix.select("doc_id", "old_pos", "new_pos", "how")).unionByName(inside)
-    return o.select("doc_id", "old_pos").join(found, ["doc_id", "old_pos"], "left").withColumn("how", F.coalesce("how", F.lit("orphan")))
+    exact = n.groupBy("doc_id", F.substring("t", 1, 48).alias("a")).agg(F.min("new_pos").alias("_x"))
+    prefix = n.groupBy("doc_id", F.substring("t", 1, 32).alias("a32")).agg(F.min("new_pos").alias("_y"))
+    o = o.withColumn("a32", F.when(F.length("a") >= 32, F.substring("a", 1, 32))).join(exact, ["doc_id", "a"], "left").join(prefix, ["doc_id", "a32"], "left")
+    left = o.filter("_x IS NULL AND _y IS NULL AND a <> ''").select("doc_id", "old_pos", F.substring("a", 1, 24).alias("a24"))
+    seed, step = 12, 13
+    windows = left.filter("length(a24) = 24").withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda k: F.xxhash64(F.substring("a24", k, F.lit(seed))))))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - seed) / step).cast("int")), lambda k: F.xxhash64(F.substring("t", k * step + 1, F.lit(seed))))
+    sought = left.select("doc_id").distinct()
+    texts = n.join(sought, "doc_id", "left_semi")
+    by_seed = texts.filter(F.length("t") >= 24).withColumn("h", F.explode(F.array_distinct(pieces))).join(windows, ["doc_id", "h"])
+    by_text = texts.join(left.filter("length(a24) < 24"), "doc_id")
+    inside = by_seed.select("doc_id", "old_pos", "new_pos", "t", "a24").unionByName(by_text.select("doc_id", "old_pos", "new_pos", "t", "a24"))
+    inside = inside.filter(F.col("t").contains(F.col("a24"))).groupBy("doc_id", "old_pos").agg(F.min("new_pos").alias("_z"))
+    found = o.join(inside, ["doc_id", "old_pos"], "left")
+    how = F.when(F.col("_x").isNotNull(), "exact").when(F.col("_y").isNotNull(), "prefix").when(F.col("_z").isNotNull(), "contained").otherwise("orphan")
+    return found.select("doc_id", "old_pos", F.coalesce("_x", "_y", "_z").alias("new_pos"), how.alias("how"))
 
 
 def migrate(records: DataFrame, matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,8 +11,11 @@ from quire.operators import votes
 
 
 def _shared(spark: SparkSession) -> str:
+    """A folder that driver and executors share: under spark.checkpoint.dir, which only a local session may leave unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-quire-")
