@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import anchor, normal
+from quire.sources.tables import stored
 
 
 def todo(paragraphs: DataFrame, records: DataFrame, key: list[str], done: str, only: DataFrame | None = None, force: bool = False) -> DataFrame:
@@ -23,14 +24,16 @@ def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     looked for in the texts of their document.
     """
     o = old.select("doc_id", F.col("pos").alias("old_pos"), anchor(F.col("text")).alias("a"))
-    n = new.select("doc_id", F.col("pos").alias("new_pos"), normal(F.col("text")).alias("t")).filter("t <> ''")
+    n = stored(new.select("doc_id", F.col("pos").alias("new_pos"), normal(F.col("text")).alias("t")).filter("t <> ''"), "new")
     exact = n.groupBy("doc_id", F.substring("t", 1, 48).alias("a")).agg(F.min("new_pos").alias("_x"))
     prefix = n.groupBy("doc_id", F.substring("t", 1, 32).alias("a32")).agg(F.min("new_pos").alias("_y"))
     o = o.withColumn("a32", F.when(F.length("a") >= 32, F.substring("a", 1, 32))).join(exact, ["doc_id", "a"], "left").join(prefix, ["doc_id", "a32"], "left")
+    o = stored(o, "old")
     left = o.filter("_x IS NULL AND _y IS NULL AND a <> ''").select("doc_id", "old_pos", F.substring("a", 1, 24).alias("a24"))
     seed, step = 12, 13
     windows = left.filter("length(a24) = 24").withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda k: F.xxhash64(F.substring("a24", k, F.lit(seed))))))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - seed) / step).cast("int")), lambda k: F.xxhash64(F.substring("t", k * step + 1, F.lit(seed))))
+    cut = F.filter(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), lambda x: F.length(x) >= seed)
+    pieces = F.transform(cut, lambda x: F.xxhash64(F.substring(x, 1, seed)))
     sought = left.select("doc_id").distinct()
     texts = n.join(sought, "doc_id", "left_semi")
     by_seed = texts.filter(F.length("t") >= 24).withColumn("h", F.explode(F.array_distinct(pieces))).join(windows, ["doc_id", "h"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import normal, squash
+from quire.sources.tables import stored
 
 TAGS = ("p", "div", "ul", "li", "table", "tr", "td", "span", "a", "b")
 #: What ends a run of Latin words; a split, as a pattern for the run itself would recurse once a word.
@@ -29,9 +30,9 @@ def fidelity(needles: DataFrame, docs: DataFrame, prefix: int = 40, seed: int =
     n = needles.select("item_id", F.substring(squash(plain(F.col("text"))), 1, prefix).alias("needle")).filter(F.length("needle") >= prefix)
     n = n.groupBy("needle").agg(F.collect_set("item_id").alias("items"))
     windows = n.select("needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda k: F.xxhash64(F.substring("needle", k, F.lit(seed)))))).alias("h"))
-    texts = docs.select("doc_id", squash(plain(F.col("text"))).alias("t")).filter(F.length("t") >= prefix)
-    last = F.floor((F.length("t") - seed) / step).cast("int")
-    pieces = texts.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(F.substring("t", k * step + 1, F.lit(seed)))))).alias("h"))
+    texts = stored(docs.select("doc_id", squash(plain(F.col("text"))).alias("t")).filter(F.length("t") >= prefix), "squashed")
+    cut = F.filter(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), lambda x: F.length(x) >= seed)
+    pieces = texts.select("doc_id", F.explode(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(F.substring(x, 1, seed))))).alias("h"))
     pairs = pieces.join(windows, "h").select("doc_id", "needle").distinct()
     held = pairs.join(texts, "doc_id").filter(F.col("t").contains(F.col("needle"))).select("doc_id", "needle").distinct()
     return held.join(n, "needle").select(F.explode("items").alias("item_id"), "doc_id")

@@ -8,19 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import votes
+from quire.sources.tables import shared_dir
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, which only a local session may leave unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(source: DataFrame, step, checkpoint: str) -> None:
