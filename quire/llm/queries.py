@@ -81,8 +81,17 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.language_id import predict_language
+
+    held_out = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)")
+    docs = table(spark, sf_dir, "documents")
+    got = predict_language(docs.select("doc_id", "text"), docs.filter(~held_out).select("text", "lang"))
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k, op12_language_id)}
 
 
 OP2 = rf"""WITH l AS (SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key
