@@ -81,6 +81,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.language_id import predict_language
 
@@ -91,7 +97,7 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k, op12_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k, op11_ranked_search, op12_language_id)}
 
 
 OP2 = rf"""WITH l AS (SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key
@@ -122,5 +128,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+OP11 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t)) AS n_terms FROM d),
+q AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, n_docs),
+v AS (SELECT r, doc_id, CAST(75 + (25 * len(t) * n_docs) // n_terms AS BIGINT) AS m FROM d, c WHERE len(t) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(n * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN v USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op7_url_filters": _op7(), "op10_exact_top_k": OP10}
+    return {"op11_ranked_search": OP11, "op2_line_dedup": OP2, "op7_url_filters": _op7(), "op10_exact_top_k": OP10}
