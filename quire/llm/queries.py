@@ -96,8 +96,15 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.conversation_repair import damaged, repair_report
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k, op11_ranked_search, op12_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_scoring, op4_packing, op5_quality_classifier, op6_mixing, op7_url_filters, op8_ngram_jaccard_join, op9_secret_scans, op10_exact_top_k, op11_ranked_search, op12_language_id, op13_conversation_repair)}
 
 
 OP2 = rf"""WITH l AS (SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key
@@ -138,5 +145,39 @@ s AS (SELECT item_id, r, doc_id, CAST(sum(n * w * ((1000000000 * tf) // (1000 *
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
 
 
+def _op13() -> str:
+    """The four states row by row in a recursive query, each with its cost and audit; structs compare by cost, then audit."""
+    plus = lambda s, cost, letters: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letters}'}}"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    keep = lambda s, role: f"CASE WHEN role = '{role}' AND fault NOT IN (1, 2) THEN {plus(s, 'late', 'K')} END"
+    rerole = lambda s: f"CASE WHEN fault NOT IN (1, 2) THEN {plus(s, '1 + late', 'R')} END"
+    nothing = "{'c': 1000000000000, 'a': ''}"
+    before_user, before_assistant = least("u", plus("z", 5, "I"), plus("s", 5, "I"), plus("a", 5, "I")), least("a", plus("u", 5, "I"), plus("z", 10, "II"), plus("s", 10, "II"))
+    return rf"""WITH RECURSIVE table_ AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM n, table_),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault,
+  left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM f GROUP BY conv_id),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS z, {nothing} AS s, {nothing} AS u, {nothing} AS a FROM g
+  UNION ALL SELECT conv_id, pos, least_z, least_s, least_u, least_a FROM (SELECT conv_id, pos, {plus('z', 2, 'D')} AS least_z, {least(plus('s', 2, 'D'), keep('z', 's'))} AS least_s,
+    {least(plus('pu', 2, 'D'), keep('z', 'u'), keep('s', 'u'), keep('pa', 'u'), rerole('z'), rerole('s'), rerole('pa'))} AS least_u, {least(plus('pa', 2, 'D'), keep('pu', 'a'), rerole('pu'))} AS least_a
+    FROM (SELECT f.conv_id, f.pos, f.initial AS role, f.fault, CASE WHEN f.fault = 3 THEN 5 ELSE 0 END AS late, z, s, u, a, {before_user} AS pu, {before_assistant} AS pa FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.pos = r.pos + 1))),
+e AS (SELECT r.conv_id, {least('z', 'a', plus('u', 5, 'I'), plus('s', 10, 'II'))} AS best FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.n = r.pos),
+l AS (SELECT conv_id, unnest(string_split(best.a, '')) AS letter, unnest(range(length(best.a))) AS spot FROM e WHERE best.a <> ''),
+m AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS pos, count(*) FILTER (letter <> 'D') OVER w AS place FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY spot)),
+p AS (SELECT m.conv_id, m.spot, m.letter, m.place, f.role, f.text, bool_or(m.letter = 'K' AND m.place = 1 AND f.initial = 's') OVER (PARTITION BY m.conv_id) AS system FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.pos = m.pos AND m.letter <> 'I' WHERE m.letter <> 'D'),
+x AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - CAST(coalesce(system, false) AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY spot) AS joined FROM p GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(joined, '')) AS repaired_sha256
+FROM ids LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_ranked_search": OP11, "op2_line_dedup": OP2, "op7_url_filters": _op7(), "op10_exact_top_k": OP10}
+    return {"op13_conversation_repair": _op13(), "op11_ranked_search": OP11, "op2_line_dedup": OP2, "op7_url_filters": _op7(), "op10_exact_top_k": OP10}
