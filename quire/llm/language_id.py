@@ -31,6 +31,8 @@ from quire.llm.common import written
 ORDER, TREE_WORDS = 5, 1 << 15
 #: Characters of a piece in which a long text is read, so at most half as many words; words that are looked up together; words whose code lengths a task keeps.
 PIECE, HELD, CACHED = 1 << 18, 1 << 16, 1 << 19
+#: Parts of a language's words that are ranked apart.
+SALTS = 32
 _WORD, _BREAK = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
 
@@ -211,8 +213,11 @@ def tree_words(counts: DataFrame, total: int = TREE_WORDS) -> tuple[tuple[str, s
     langs = counts.agg(F.count_distinct("lang")).first()[0]
     if langs > total:
         raise ValueError(f"{langs} languages, more than the {total} words that the trees take")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    chosen = counts.withColumn("_rank", rank).filter(F.col("_rank") <= total // max(1, langs)).select("lang", "word", "n")
+    most = total // max(1, langs)
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
+    # a language's words in SALTS parts first, so no task ranks them all
+    some = counts.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(SALTS))).withColumn("_rank", rank("lang", "_part")).filter(F.col("_rank") <= most)
+    chosen = some.withColumn("_rank", rank("lang")).filter(F.col("_rank") <= most).select("lang", "word", "n")
     return tuple(sorted((r.lang, r.word, r.n) for r in chosen.toLocalIterator()))
 
 
