@@ -6,6 +6,8 @@ slots (a, b) from left to right. Everything about a grid works inside the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,26 +16,29 @@ from quire.functions.predicates import caption_kind
 CELL = "struct<text:string,start:int,span:int>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slots_of_word(x0: Column, x1: Column, slots: Column) -> Column:
     """first and last slot that a word covers by max(1.5, a quarter of its width); without one, the slot of the nearest centre."""
     least = F.greatest(F.lit(1.5), 0.25 * (x1 - x0))
     numbered = F.transform(slots, lambda s, k: F.struct(k.alias("k"), (F.least(x1, s["b"]) - F.greatest(x0, s["a"])).alias("over"), F.abs((s["a"] + s["b"]) / 2 - (x0 + x1) / 2).alias("far")))
-    covered = F.filter(numbered, lambda s: s["over"] >= least)
-    nearest = F.array_min(F.transform(numbered, lambda s: F.struct(s["far"].alias("far"), s["k"].alias("k"))))["k"]
-    some = F.size(covered) > 0
-    return F.struct(F.when(some, F.get(covered, F.lit(0))["k"]).otherwise(nearest).alias("first"), F.when(some, F.element_at(covered, -1)["k"]).otherwise(nearest).alias("last"))
+    nearest = lambda all_: F.array_min(F.transform(all_, lambda s: F.struct(s["far"].alias("far"), s["k"].alias("k"))))["k"]
+    ends = lambda found, all_: F.struct(F.coalesce(F.get(found, F.lit(0))["k"], nearest(all_)).alias("first"), F.coalesce(F.try_element_at(found, F.lit(-1))["k"], nearest(all_)).alias("last"))
+    return let(numbered, lambda all_: let(F.filter(all_, lambda s: s["over"] >= least), lambda found: ends(found, all_)))
 
 
 def cells_of_line(words: Column, slots: Column) -> Column:
     """Words, in order of x0, as cells (text, start, span): a word joins the cell before it if that reaches its first slot."""
 
     def add(a: Column, w: Column) -> Column:
-        s = slots_of_word(w["x0"], w["x1"], slots)
-        last = F.try_element_at(a, F.lit(-1))
-        joins = F.coalesce(last["start"] + last["span"] - 1 >= s["first"], F.lit(False))
-        wider = F.struct(F.concat_ws(" ", last["text"], w["t"]).alias("text"), last["start"].alias("start"), (F.greatest(last["start"] + last["span"] - 1, s["last"]) - last["start"] + 1).alias("span"))
-        new = F.struct(w["t"].alias("text"), s["first"].alias("start"), (s["last"] - s["first"] + 1).alias("span"))
-        return F.when(joins, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider.cast(CELL)))).otherwise(F.concat(a, F.array(new.cast(CELL))))
+        joined = lambda last, s: F.struct(F.concat_ws(" ", last["text"], w["t"]).alias("text"), last["start"].alias("start"), (F.greatest(last["start"] + last["span"] - 1, s["last"]) - last["start"] + 1).alias("span"))
+        new = lambda s: F.struct(w["t"].alias("text"), s["first"].alias("start"), (s["last"] - s["first"] + 1).alias("span"))
+        before = F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+        put = lambda last, s: F.when(F.coalesce(last["start"] + last["span"] - 1 >= s["first"], F.lit(False)), F.concat(before, F.array(joined(last, s).cast(CELL)))).otherwise(F.concat(a, F.array(new(s).cast(CELL))))
+        return let(F.try_element_at(a, F.lit(-1)), lambda last: let(slots_of_word(w["x0"], w["x1"], slots), lambda s: put(last, s)))
 
     return F.aggregate(F.array_sort(words), F.array().cast(f"array<{CELL}>"), add)
 
@@ -58,9 +63,8 @@ def merged_row(lines: Column, slots: Column) -> Column:
 
     def add(a: Column, c: Column) -> Column:
         meets = F.transform(a, lambda m: (m["start"] + m["span"] > c["start"]) & (c["start"] + c["span"] > m["start"]))
-        at = F.array_position(meets, True) - 1
         joined = lambda m: F.struct(F.concat_ws(" ", m["text"], c["text"]).alias("text"), F.least(m["start"], c["start"]).alias("start"), (F.greatest(m["start"] + m["span"], c["start"] + c["span"]) - F.least(m["start"], c["start"])).alias("span")).cast(CELL)
-        return F.when(at >= 0, F.transform(a, lambda m, i: F.when(i == at, joined(m)).otherwise(m))).otherwise(F.concat(a, F.array(c)))
+        return let(F.array_position(meets, True) - 1, lambda at: F.when(at >= 0, F.transform(a, lambda m, i: F.when(i == at, joined(m)).otherwise(m))).otherwise(F.concat(a, F.array(c))))
 
     by_start = lambda p, q: F.when(p["start"] < q["start"], -1).when(p["start"] > q["start"], 1).otherwise(0)
     return F.array_sort(F.aggregate(cells, F.array().cast(f"array<{CELL}>"), add), by_start)
