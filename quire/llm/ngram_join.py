@@ -1,13 +1,11 @@
 """N-gram Jaccard join by MinHash banding.
 
 Documents are sets of five-word shingles. Bands and rows are chosen for a target recall at the threshold.
-Documents with equal sets become one node, so copies never pair up. Nodes that share a band hash are linked
-to the smallest node of the band, and components of these links are the candidate groups. Groups of up to
-LARGE nodes are compared whole. Chains of chance links can make larger ones: these are split, and compared
-band by band, among the nodes that share the band's hash; a pair counts in the first band it shares. Full sets
-are compared in pairs of blocks of bounded numbers and bytes: a large group spreads over many tasks, and no
-pair is ever a row. Per block come the number of links of each node and a spanning forest of the links;
-components of the forests are the classes.
+Documents with equal sets become one node, so copies never pair up. Nodes that share a band's hash are a
+candidate group; of groups with the same members, as near copies share most bands, one is left. A pair counts in
+the first band that it shares, at every size of a group. Full sets are compared in pairs of blocks of bounded
+numbers and bytes: a large group spreads over many tasks, and no pair is ever a row. Per block come the number of
+links of each node and a spanning forest of the links; components of the forests are the classes.
 """
 
 from __future__ import annotations
@@ -24,8 +22,8 @@ from quire.llm.common import row_key, written
 WORDS = 5
 #: Groups of copies that hold more than one row in so many are broadcast.
 MANY = 1000
-#: Sets and bytes of sets that a block holds, about; nodes of a group that is compared whole.
-BLOCK, BLOCK_BYTES, LARGE = 512, 1 << 24, 1 << 13
+#: Sets and bytes of sets that a block holds, about.
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 
 
 def banding(threshold: float = 0.8, recall: float = 0.999, most: int = 128) -> tuple[int, int]:
@@ -180,7 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     A link is a Jaccard similarity of at least the threshold; n_links counts the other rows linked to a row,
     class_id is the smallest doc_id of its connected component and keep marks one row of it, that of the smallest
     doc_id. Nulls and texts without words link to nothing, each is alone with its doc_id as class_id; texts of 1
-    to 4 words are one shingle. Null doc_ids come last. Equal rows are copies: all are kept or none, so that the
+    to 4 words are one shingle. A text of any length is one set, hashed in a task. Null doc_ids come last. Equal rows are copies: all are kept or none, so that the
     caller can drop them by key.
     """
     bands, rows = banding(threshold, recall)
@@ -204,22 +202,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
     same = signed.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), first.alias("f"))
     nodes = written(same.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "n_shingles", F.col("f.doc_id").alias("first_id"), F.col("f._row").alias("first_row")), "nodes")
-    # candidates: nodes that share a band hash hang on the smallest of them
     firsts = nodes.select("node", "first_id", "first_row")
     of_first = signed["doc_id"].eqNullSafe(firsts["first_id"]) & (signed["_row"] == firsts["first_row"])
     hashes = signed.filter("n_shingles > 0").join(firsts, of_first).select("node", F.posexplode("bands").alias("band", "h")).distinct()
     hashes = written(hashes, "bands")
-    shared = hashes.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").select("h", "hub")
-    stars = hashes.join(shared, "h").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(stars, "candidates")
-    sizes = groups.groupBy("label").agg(F.count("*").alias("_size"))
-    groups = written(groups.join(sizes, "label"), "groups")
-    large = groups.filter(F.col("_size") > LARGE).select("node")
-    # a group is a component, or what shares a band hash inside a large one; _band says how many bands count as earlier
-    whole = groups.filter(F.col("_size") <= LARGE).select("node", F.col("label").cast("string").alias("label"), F.lit(0).alias("_band"))
-    of_band = hashes.join(large, "node")
-    of_band = of_band.join(of_band.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1"), "h").select("node", F.concat(F.lit("h"), F.col("h").cast("string")).alias("label"), F.col("band").alias("_band"))
-    groups = written(whole.unionByName(of_band), "compared")
+    # a group is what shares a band's hash; of groups with the same members the first band's is compared, as it holds the same pairs
+    members_of = hashes.groupBy("h").agg(F.min("band").alias("_band"), F.count("*").alias("_n"), F.min("node").alias("_least"), F.max("node").alias("_most"), F.bit_xor(F.xxhash64("node")).alias("_sign")).filter("_n > 1")
+    chosen = members_of.groupBy("_n", "_least", "_most", "_sign").agg(F.min(F.struct("_band", "h"))["h"].alias("h"))
+    # _band says how many bands come before: a pair counts in the first band that it shares
+    groups = written(hashes.join(chosen.select("h"), "h").select("node", F.col("h").alias("label"), F.col("band").alias("_band")), "compared")
     first_rows = nodes.select("node", "n", "n_shingles", "first_id", "first_row")
     groups = groups.join(first_rows, "node")
     room = groups.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES)).cast("int").alias("_blocks"))
@@ -235,7 +226,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     kept_bands = kept_bands.groupBy("node").agg(F.first("bands").alias("bands"))
     members = members.join(kept_bands, "node", "left")
     here = d.join(members, d["doc_id"].eqNullSafe(members["first_id"]) & (d["_row"] == members["first_row"]))
-    here = here.select("node", "n", "bands", "_groups", "text").mapInArrow(sets, "node long, n long, bands array<long>, _groups array<struct<label:string,_band:int,_blocks:int,_block:int>>, s binary")
+    here = here.select("node", "n", "bands", "_groups", "text").mapInArrow(sets, "node long, n long, bands array<long>, _groups array<struct<label:long,_band:int,_blocks:int,_block:int>>, s binary")
     spread = here.withColumn("g", F.explode("_groups")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("g._blocks") - 1)))
     spread = spread.select("g.label", F.least("g._block", "_other").alias("x"), F.greatest("g._block", "_other").alias("y"), "g._block", "node", "n", F.slice("bands", F.lit(1), F.col("g._band")).alias("earlier"), "s")
     spread = spread.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y", "node")
