@@ -3,8 +3,8 @@
 Tasks tokenise documents and cut them into pieces. Lengths are whole numbers up to the capacity, so a
 histogram of at most `capacity` counts says all that the packing needs, however many pieces there are. On
 it, large lengths are put in groups of equal cardinality and rounded up to their group's largest;
-configurations of few sizes are chosen to fill sequences; actual lengths take the places of the rounded
-ones; small lengths go where they fit best. The plan is a short table of runs: so many pieces of one length,
+configurations of few sizes are chosen by the linear programme of the fewest sequences; actual lengths take the
+places of the rounded ones; what whole uses leave over and small lengths go where they fit best. The plan is a short table of runs: so many pieces of one length,
 from one rank on, go to as many sequences, from one on, at one offset. Tasks look up each piece's run by its
 rank among the pieces of its length; ranks are counted in salted parts of a length, more of them the more
 pieces there are. A piece of the whole capacity is a sequence of its own and needs no rank.
@@ -25,6 +25,8 @@ from quire.llm.common import written
 #: Parts of a length that are ranked apart: at least so many, and one for each so many pieces.
 SALTS, SALT_ROWS = 128, 1 << 22
 END = 2
+#: Lengths above this share of the capacity are large: they are grouped and come in configurations, found in at most so many steps.
+LARGE, STEPS = 0.1, 300
 
 
 def pieces_of(docs: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -67,51 +69,86 @@ def grouped(counts: np.ndarray, large: int, groups: int) -> list[tuple[int, list
     return list(out.items())
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """Configurations (indexes of sizes, at most four) and how often each is used, until all counts are.
-
-    The largest size left gets the one, two or three others that fill the sequence best; the configuration is
-    used as often as counts allow, so each uses up a size.
-    """
-    left, out = np.array(counts, np.int64), []
-    s = np.array(sizes, np.int64)
-    while left.any():
-        top = int(np.flatnonzero(left)[0])
-        rest = capacity - int(s[top])
-        have = np.flatnonzero(left)
-        have = have[s[have] <= rest]
-        best = (0, [])
-        if len(have):
-            v = s[have]
-            one = np.full(rest + 1, -1, np.int64)  # the largest size of at most r, as an index of have
-            order = np.argsort(v, kind="stable")
-            at = np.searchsorted(v[order], np.arange(rest + 1), "right") - 1
-            one[at >= 0] = order[at[at >= 0]]
-            best = (int(v[one[rest]]), [int(have[one[rest]])])
-            two = v[:, None] + v[None, :]
-            room = rest - two
-            third = np.where(room >= 0, one[np.maximum(room, 0)], -1)
-            for fill in (np.where(room >= 0, two, -1), np.where(third >= 0, two + v[third], -1)):
-                k = int(fill.argmax())
-                if fill.flat[k] > best[0]:
-                    a, b = divmod(k, len(v))
-                    c = [] if fill.flat[k] == two.flat[k] else [int(have[third[a, b]])]
-                    best = (int(fill.flat[k]), [int(have[a]), int(have[b]), *c])
-        parts = [top, *best[1]]
-        use = np.bincount(parts, minlength=len(s))
-        if (use > left).any():  # fewer pieces of a size than the configuration wants: each once, as far as they go
-            parts, use = [top], np.bincount([top], minlength=len(s))
-            for k in best[1]:
-                if use[k] < left[k]:
-                    parts.append(k)
-                    use[k] += 1
-        times = int((left[use > 0] // use[use > 0]).min())
-        left -= use * times
-        out.append((parts, times))
+def most_worth(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size stands in the configuration of the highest price that fits in capacity."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    order = np.argsort(sizes, kind="stable")
+    s, v = sizes[order], prices[order]
+    upto = np.searchsorted(s, np.arange(capacity + 1), "right")
+    for r in range(int(s[0]), capacity + 1):
+        worth = best[r - s[: upto[r]]] + v[: upto[r]]
+        k = int(worth.argmax())
+        if worth[k] > best[r - 1]:
+            best[r], last[r] = worth[k], k
+        else:
+            best[r] = best[r - 1]
+    out, r = np.zeros(len(sizes)), capacity
+    while r > 0:
+        if last[r] < 0:
+            r -= 1
+        else:
+            out[order[last[r]]] += 1
+            r -= int(s[last[r]])
     return out
 
 
-def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 256, small_share: float = 0.45) -> np.ndarray:
+def fullest(sizes: np.ndarray, have: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size stands in the configuration of the largest size there is and those that fill it best."""
+    use = np.zeros(len(sizes))
+    use[have[0]] = 1
+    room = capacity - int(sizes[have[0]])
+    if room >= sizes[have].min():
+        # a sum is worth itself; of equal ones that of fewer, larger sizes
+        use[have] += most_worth(sizes[have], sizes[have] - 1e-3, room)
+    return use
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int, steps: int = STEPS) -> list[tuple[list[int], int]]:
+    """Configurations (indexes of sizes) and how often each is used.
+
+    The linear programme of the fewest sequences for all counts, by column generation: the prices of the sizes under the
+    present configurations say which new one is worth most; it takes the place of the one that runs out first. It ends
+    when none is worth more than a sequence, or after `steps`. Whole uses are kept; what is left over, less than
+    one use of each of as many configurations as there are sizes, is for best fit.
+    """
+    if not sizes:
+        return []
+    s, n = np.array(sizes, np.int64), len(sizes)
+    # a start: full sequences one after another, each as often as counts allow, so that it uses up a size
+    columns, left = np.diag((capacity // s).astype(float)), np.array(counts, float)
+    while left.any():
+        use = np.minimum(fullest(s, np.flatnonzero(left), capacity), left)
+        fit = np.where(use > 0, left / np.maximum(use, 1), np.inf)
+        k = int(fit.argmin())
+        left = np.where(fit <= fit[k], 0, left - fit[k] * use)
+        columns[:, k] = use
+    inverse = np.linalg.inv(columns)
+    uses = np.maximum(inverse @ np.array(counts, float), 0)
+    for _ in range(steps):
+        prices = inverse.sum(0)
+        new = most_worth(s, prices, capacity)
+        if prices @ new <= 1 + 1e-7:
+            break
+        change = inverse @ new
+        ratio = np.where(change > 1e-9, uses / np.maximum(change, 1e-9), np.inf)
+        out = int(ratio.argmin())
+        uses = np.maximum(uses - ratio[out] * change, 0)
+        uses[out] = ratio[out]
+        inverse[out] /= change[out]
+        change[out] = 0
+        inverse -= np.outer(change, inverse[out])
+        columns[:, out] = new
+    times, left, found = np.floor(uses + 1e-6).astype(np.int64), np.array(counts, np.int64), []
+    for k in np.argsort(-times, kind="stable").tolist():
+        use = columns[:, k].astype(np.int64)
+        fit = int(min(times[k], (left[use > 0] // use[use > 0]).min()))
+        if fit:
+            left -= fit * use
+            found.append((np.repeat(np.arange(n), use).tolist(), fit))
+    return found
+
+
+def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 1024, small_share: float = LARGE) -> np.ndarray:
     """Runs (length, first rank, pieces, first sequence, offset) for the histogram of lengths 0 to capacity."""
     runs: list[tuple[int, int, int, int, int]] = []
     large = int(capacity * small_share) + 1
@@ -146,8 +183,14 @@ def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 256, small_shar
                     at += k
             free[capacity - offset].append([bins + a, b - a])
         bins += times
-    for length in range(large - 1, 0, -1):
-        left, rank = int(counts[length]), 0
+    rest: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for queue in queues:
+        for length, rank, n in queue:
+            rest[length].append((rank, n))
+    for length in range(1, large):
+        if counts[length]:
+            rest[length].append((0, int(counts[length])))
+    for length, rank, left in sorted(((length, rank, n) for length, parts in rest.items() for rank, n in parts), reverse=True):
         while left:
             room = next((r for r in range(length, capacity + 1) if free.get(r)), None)
             if room is None:
@@ -174,7 +217,7 @@ def plan(counts: np.ndarray, capacity: int = 1024, groups: int = 256, small_shar
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, capacity: int = 1024, groups: int = 256) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, groups: int = 1024) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and an end; only those longer than capacity are cut, their first piece may be shorter.
