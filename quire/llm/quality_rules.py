@@ -5,7 +5,8 @@ fail at once. The rest become vectors of seven transformed statistics. For each
 minimum-covariance-determinant estimate is found by concentration steps: every step is one aggregation
 of the vectors by group and by bin of distance, so no group meets in one task, and the share of the
 bin on the border of the half kept is weighed. Two starts are concentrated, the one with the lower
-determinant stays, then one reweighting step follows. A document whose squared Mahalanobis distance
+determinant stays, then one reweighting step follows. Estimates shrink towards the language's by the size of
+the group. A document whose squared Mahalanobis distance
 exceeds the cutoff is rejected.
 
 Only DataFrame functions are used.
@@ -109,9 +110,20 @@ def _cells(vectors: DataFrame, *by: str, weight: Column | None = None) -> DataFr
     return vectors.groupBy(*by).agg(*sums)
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
+def _shrunk(sums: DataFrame, prior: float) -> DataFrame:
+    """Sums of each group with those of its language at the weight of `prior` documents, and these with those of all at the same."""
+    sums = _small(sums.withColumn("_lang", F.get_json_object("_group", "$[0]")), "sums")
+    names = ["_n", *[f"_s{i}" for i in range(P)], *[f"_q{i}{j}" for i, j in PAIRS]]
+    every = sums.groupBy("_start").agg(*[F.sum(c).alias(f"_all{c}") for c in names])
+    langs = sums.groupBy("_lang", "_start").agg(*[F.sum(c).alias(f"_lang{c}") for c in names]).join(every, "_start")
+    mixed = lambda own, more: {c: F.col(f"{own}{c}") + prior * F.col(f"{more}{c}") / F.greatest(F.col(f"{more}_n"), F.lit(1e-9)) for c in names}
+    langs = langs.select("_lang", "_start", *[x.alias(f"_lang{c}") for c, x in mixed("_lang", "_all").items()])
+    return sums.join(langs, ["_lang", "_start"]).select("_group", "_start", *[x.alias(c) for c, x in mixed("", "_lang").items()])
+
+
+def _estimate(sums: DataFrame, factor: float, prior: float) -> DataFrame:
     """From sums to means _m and the Cholesky root _l of factor * covariance + floors."""
-    d = sums.filter("_n > 0").withColumns({f"_m{i}": F.col(f"_s{i}") / F.col("_n") for i in range(P)})
+    d = _shrunk(sums, prior).withColumns({f"_m{i}": F.col(f"_s{i}") / F.col("_n") for i in range(P)})
     d = d.withColumns({f"_c{i}{j}": F.lit(factor) * (F.col(f"_q{i}{j}") / F.col("_n") - F.col(f"_m{i}") * F.col(f"_m{j}")) + (LEAST[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
     for j in range(P):
         left = lambda i, j=j: F.col(f"_c{i}{j}") - sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
@@ -157,37 +169,31 @@ def _medians(vectors: DataFrame) -> DataFrame:
     return one.select("_group", F.lit(1).alias("_start"), F.lit(0.0).alias("_det"), *[f"_m{i}" for i in range(P)], *[f"_l{i}{j}" for i, j in PAIRS])
 
 
-def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float | None = None, min_group: int = 50) -> DataFrame:
+def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float | None = None, prior: float = 50.0) -> DataFrame:
     """A row for each row of docs (doc_id, text, lang, source; others are ignored): doc_id, lang, source, _row
     (its key, of common.row_key), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_marks,
     n_capitals, n_repeat_words, base_failed, distance2 and kept. Without a cutoff it is the chi-square quantile of
     1 - CLEAN_LOST.
 
-    Null texts count as empty, so base_failed. A null lang or source is a value of its own. Groups of under
-    min_group documents are pooled by language, then over all; where even those are fewer, distance2 is null
-    and the base rules decide alone. Repeated rows are judged alike; an empty table gives no rows.
+    Every (lang, source) has an estimate of its own, at any size: to its sums come those of its language as if they were
+    `prior` documents, and to the language's those of all alike, so a large group is judged by itself and a small one
+    mostly by its language. Null texts count as empty, so base_failed. A null lang or source is a value of its own.
+    Repeated rows are judged alike; an empty table gives no rows. A text of any length is one row, and so are the hashes of
+    its words.
     """
     cutoff = chi2_quantile(1 - CLEAN_LOST, P) if cutoff is None else cutoff
     stats = written(base_statistics(docs), "statistics")
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    passed = stats.filter(~F.col("base_failed"))
-    sizes = passed.groupBy(name("lang").alias("_lang"), name("source").alias("_source")).agg(F.count("*").alias("_size"))
-    small = F.when(F.col("_size") < min_group, F.col("_size")).otherwise(0)
-    pools = sizes.withColumn("_lang_size", F.sum(small).over(Window.partitionBy("_lang")))
-    group = F.when(F.col("_size") >= min_group, F.to_json(F.array("_lang", "_source"))).when(F.col("_lang_size") >= min_group, F.to_json(F.array("_lang"))).otherwise(F.lit("[]"))
-    pools = pools.select("_lang", "_source", group.alias("_group"))
-    totals = pools.join(sizes, ["_lang", "_source"]).groupBy("_group").agg(F.sum("_size").alias("_total"))
-    pools = _small(pools.join(totals.filter(F.col("_total") >= min_group).select("_group"), "_group"), "groups")
-    vectors = passed.withColumns({"_lang": name("lang"), "_source": name("source")}).join(pools, ["_lang", "_source"])
-    vectors = written(vectors.select("doc_id", "_row", "_group", *[c.alias(x) for c, x in zip(vector(), X, strict=True)]), "vectors")
-    plain = _estimate(_cells(vectors, "_group").withColumn("_start", F.lit(0)), 1.0)
+    group = F.to_json(F.array(name("lang"), name("source")))
+    vectors = written(stats.filter(~F.col("base_failed")).select("doc_id", "_row", group.alias("_group"), *[c.alias(x) for c, x in zip(vector(), X, strict=True)]), "vectors")
+    plain = _estimate(_cells(vectors, "_group").withColumn("_start", F.lit(0)), 1.0, prior)
     best = _small(plain.unionByName(_medians(vectors)), "start")
     for k in range(steps):
-        best = _small(_estimate(_nearest(_distances(vectors, best), share), consistency(share)), f"step{k}")
+        best = _small(_estimate(_nearest(_distances(vectors, best), share), consistency(share), prior), f"step{k}")
     first = Window.partitionBy("_group").orderBy("_det", "_start")
     best = _small(best.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"), "best")
     near = (F.col("_d2") <= chi2_quantile(0.975, P)).cast("double")
-    final = _small(_estimate(_cells(_distances(vectors, best), "_group", "_start", weight=near), consistency(0.975)), "final")
+    final = _small(_estimate(_cells(_distances(vectors, best), "_group", "_start", weight=near), consistency(0.975), prior), "final")
     judged = _distances(vectors, final).groupBy("doc_id", "_row").agg(F.max("_d2").alias("distance2"))
     same = stats["doc_id"].eqNullSafe(judged["doc_id"]) & (stats["_row"] == judged["_row"])
     out = stats.join(judged, same, "left").select(*[stats[c] for c in stats.columns], "distance2")

@@ -73,6 +73,21 @@ def test_symbols_and_repeated_lines_count(spark):
     assert quality_rules.chi2_cdf(quality_rules.chi2_quantile(1 - quality_rules.CLEAN_LOST, 7), 7) == pytest.approx(0.9999)
 
 
+def test_small_sources_have_estimates_of_their_own(spark):
+    """No size of a source switches its estimate: a document more or less moves its distances little, and junk of a source of four is told by its language."""
+    rng = random.Random(12)
+    plain = [(i, prose(rng, rng.randint(40, 90)) + ".", "en", "large") for i in range(300)]
+    few = [(1000 + i, prose(rng, rng.randint(40, 90)) + ".", "en", "few") for i in range(51)]
+    junk = [(2000, " | ".join(prose(rng, 2) for _ in range(40)), "en", "few"), (2001, " | ".join(prose(rng, 2) for _ in range(40)), "en", "four")]
+    four = [(3000 + i, prose(rng, 60), "en", "four") for i in range(3)]
+    runs = []
+    for n in (49, 50, 51):
+        runs.append({g.doc_id: g for g in quality_rules.quality_verdicts(frame(spark, plain + few[:n] + junk + four)).collect()})
+    for a in runs:
+        assert not a[2000].kept and not a[2001].kept and all(a[i].kept and a[i].distance2 is not None for i in range(3000, 3003))
+        assert all(abs(a[i].distance2 - runs[0][i].distance2) < 0.1 * (3 + runs[0][i].distance2) for i in range(1000, 1049))
+
+
 def test_quality_distances_against_plain_estimates(spark):
     """One group, the same concentration without bins."""
     rng = random.Random(1)

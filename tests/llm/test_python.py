@@ -68,15 +68,23 @@ def test_large_groups_span_blocks(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("blocks", [(512, 1 << 24), (4, 1 << 24), (512, 400)])
-def test_large_components_are_compared_by_band(spark, monkeypatch, rows, blocks):
-    """Links and classes as by whole components, each pair counted once though it shares many bands."""
+def test_blocks_of_any_size(spark, monkeypatch, rows, blocks):
+    """Links and classes are the same however groups are cut, each pair counted once though it shares many bands."""
     want = collections.Counter((g.doc_id, g.class_id, g.n_links) for g in ngram_join.near_duplicates(frame(spark, rows)).collect())
-    monkeypatch.setattr(ngram_join, "LARGE", 1)
     monkeypatch.setattr(ngram_join, "BLOCK", blocks[0])
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", blocks[1])
     assert collections.Counter((g.doc_id, g.class_id, g.n_links) for g in ngram_join.near_duplicates(frame(spark, rows)).collect()) == want
 
 
+def test_links_do_not_depend_on_other_documents(spark, rows):
+    """A text keeps its links when others join its bands and classes."""
+    own = {g.doc_id: g.n_links for g in ngram_join.near_duplicates(frame(spark, rows)).collect() if g.doc_id is not None and g.doc_id < 170}
+    rng = random.Random(11)
+    more = [(5000 + k, " ".join(prose(rng, 40).split() + rows[k][1].split()[:20]), "en", "s") for k in range(60)]
+    again = {g.doc_id: g.n_links for g in ngram_join.near_duplicates(frame(spark, rows + more)).collect() if g.doc_id is not None and g.doc_id < 170}
+    assert own == again
+
+
 def test_one_row_stays_of_equal_rows(spark):
     text = "the same nine words stand here in every single row"
     docs = frame(spark, [(1, text, "en", "s")] * 3 + [(None, text + " twice", "en", "s")] * 2 + [(2, "", "en", "s")] * 2 + [(3, "alone", "en", "s")] * 2)
@@ -150,6 +158,44 @@ def test_plan_places_each_piece_once(seed):
         assert at <= 1024
 
 
+def best_fit(lengths, capacity=1024):
+    """Sequences that best-fit decreasing needs."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = min((r for r in rooms if r >= n), default=None)
+        if at is not None:
+            rooms.remove(at)
+        rooms.append((capacity if at is None else at) - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 1024), (20, 400), (250, 700), (110, 340)])
+def test_configurations_fill_sequences(low, high):
+    """Configurations of three and more pieces are used, and no more sequences than best-fit decreasing needs, but for a thousandth."""
+    rng = np.random.default_rng(low)
+    lengths = rng.integers(low, high, 6000)
+    counts = np.bincount(lengths, minlength=1025)
+    sets = packing.grouped(counts, 103, 1024)
+    found = packing.configurations([top for top, _ in sets], [sum(m[2] for m in members) for _, members in sets], 1024)
+    assert sum(times for parts, times in found if len(parts) >= 3) > 0
+    assert all(sum(sets[p][0] for p in parts) <= 1024 for parts, _ in found)
+    runs = packing.plan(counts)
+    used = int((runs[:, 3] + runs[:, 2]).max())
+    assert -(-int(lengths.sum()) // 1024) <= used <= math.ceil(1.001 * best_fit(lengths.tolist()))
+
+
+def test_most_worth():
+    rng = random.Random(6)
+    for _ in range(40):
+        sizes = sorted(rng.sample(range(2, 30), 5), reverse=True)
+        prices = [rng.random() for _ in sizes]
+        best = [0.0] * 41
+        for r in range(1, 41):
+            best[r] = max([best[r - 1], *(best[r - s] + p for s, p in zip(sizes, prices, strict=True) if s <= r)])
+        use = packing.most_worth(np.array(sizes), np.array(prices), 40)
+        assert use @ np.array(sizes) <= 40 and use @ np.array(prices) == pytest.approx(best[40])
+
+
 def test_secret_scan(spark):
     texts = ["", None, "x password = 'abcdefghijklmnop' y", "PASSWD:short", "Secret=token=abcdefghijkl", "AKIA" + "B" * 14, "AKIA" + "B" * 13, "é " * 9 + "deadbeef" * 2, "deadbeef" * 2 + "g", "ab" * 7, "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "aZ" * 20, "api_key: " + "Zz09+/=_.-" * 2, "apikey=aaaaaaaaaaaa token: bbbbbbbbbbbbb", "a " * 40_000 + "secret=0123456789abcdef0", "ſecret=abcdefghijklmnop"]
     got = {r.doc_id: r.spans for r in secret_scan.scan(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
