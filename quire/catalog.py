@@ -231,7 +231,7 @@ def tag_balance(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", odd.alias("_odd")).select("page_id", *[(~F.array_contains("_odd", t)).alias(f"{t}_ok") for t in quality.TAGS])
 
 
-@query("SELECT page_id, md5(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g')) AS bare FROM pages")
+@query("SELECT page_id, md5(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g')) AS bare FROM pages")
 def strip_inline(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_inline(F.col("html"))).alias("bare"))
 
@@ -268,6 +268,17 @@ def dec_balance_dollars(spark, sf_dir):
     return p.select("doc_id", "pos", F.md5(mathtext.balance_dollars(F.col("t"))).alias("balanced"))
 
 
+#: Paragraphs, those with dollars of their own among them, after prices that end in a stop, a comma, another dollar, a command, a letter or a script.
+PRICES = ("It costs $5. ", "It costs $1,200, or ", "The $5$ of ", "With $5\\alpha ", "For $4.06x ", "The $2^{t} ")
+
+
+@query(rf"""WITH {PARAGRAPHS}, v AS (SELECT doc_id, pos, [{", ".join(f"'{p}'" for p in PRICES)}][pos % 6 + 1] || text AS t FROM paragraphs)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(CASE WHEN ({DOLLARS.format("t")}) % 2 = 1 THEN regexp_replace(t, '(^|[^\\])\$([0-9][0-9,]*(?:\.[0-9]+)?(?:[^0-9A-Za-z^{{_\\]|$))', '\1\\$\2') ELSE t END) AS balanced FROM v""")
+def dec_prices(spark, sf_dir):
+    price = F.get(F.array(*map(F.lit, PRICES)), (F.col("pos") % 6).cast("int"))
+    return _paragraphs(spark, sf_dir).select("doc_id", "pos", F.md5(mathtext.balance_dollars(F.concat(price, "text"))).alias("balanced"))
+
+
 @query()  # DuckDB has no look-behind; the tests hold it against a scan by characters
 def dec_balance_dollars_all(spark, sf_dir):
     """As dec_balance_dollars, over every paragraph, those with dollars of their own among them."""

@@ -20,7 +20,10 @@ UNRENDERABLE = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{E000}-\x{F8FF}
 #: Commands that need an argument.
 NEED = ("sqrt", "frac", "vec", "hat", "bar", "overline", "underline", "widehat", "widetilde", "text", "textrm", "textbf", "mathrm", "mathbb", "mathcal", "binom", "stackrel", "boxed", "operatorname", "pmod", "pod")
 _NEED = "|".join(NEED)
-_CURRENCY = r"(?s)^(.*?)(?<!\\)\$([0-9][0-9,]*(?:\.[0-9]+)?(?![0-9A-Za-z^_{.,$]))"
+#: Environments of cells.
+ENVIRONMENTS = ("matrix", "bmatrix", "pmatrix", "vmatrix", "Vmatrix", "smallmatrix", "array", "cases", "aligned")
+#: Fixed value: what makes a dollar one of money: an amount after it that no letter, script, brace or command follows.
+CURRENCY = r"(?<!\\)\$(?=[0-9][0-9,]*(?:\.[0-9]+)?(?![0-9A-Za-z^{_\\]))"
 
 
 def count(x: Column, pattern: str) -> Column:
@@ -56,7 +59,7 @@ def unescaped_dollars(x: Column) -> Column:
 
 def balance_dollars(x: Column) -> Column:
     """With an odd number of dollars the first that stands before an amount is escaped; one does, as it makes them even."""
-    return F.when(unescaped_dollars(x) % 2 == 1, F.regexp_replace(x, _CURRENCY, r"$1\\\$$2")).otherwise(x)
+    return F.when(unescaped_dollars(x) % 2 == 1, F.regexp_replace(x, "(?s)^(.*?)" + CURRENCY, r"$1\\\$")).otherwise(x)
 
 
 def bare_commands(x: Column) -> Column:
@@ -119,5 +122,7 @@ def unrepaired(x: Column, had_placeholder: Column) -> Column:
     beside = x.rlike(r"\\[A-Za-z]{2,}\s*\?|\?\s*\\[A-Za-z]{2,}")
     gap = r"(?:\s|~|\\[ ,;:!>]|\\q?quad)*"
     pair = x.rlike(rf"\\left\s*[()\[\]{{}}|/]{gap}\\right\s*[()\[\]{{}}|/]|\\langle\s*\\rangle|\\lceil\s*\\rceil|\\lfloor\s*\\rfloor")
-    empty = x.rlike(rf"\\begin\{{([bpvV]?matrix|smallmatrix|array|cases|aligned)\}}\s*(?:\{{[^}}]*\}})?(?:{gap}|&|\\\\)*\\end\{{")
+    bare = rf"(?:{gap}|&|\\\\|\\hspace\*?\{{[^}}]*\}})*"
+    closed = "|".join(rf"\\begin\{{{name}\}}{r'\s*(?:\{[^}]*\})?' if name == 'array' else ''}{bare}\\end\{{{name}\}}" for name in ENVIRONMENTS)
+    empty = x.rlike(closed)
     return F.array_compact(F.array(F.when(x.contains(MISSING), F.lit("placeholder")), F.when(had_placeholder & (inside | beside), F.lit("question mark")), F.when(had_placeholder & pair, F.lit("empty delimiters")), F.when(had_placeholder & empty, F.lit("empty environment"))))

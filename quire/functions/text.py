@@ -74,7 +74,9 @@ def strip_math(x: Column) -> Column:
 
 
 def strip_inline(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", "")
+    """Scripts go first, then styles; each ends at its own closing tag."""
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>", "")
+    return F.regexp_replace(bare, r"(?is)<style\b.*?</style>", "")
 
 
 def tokens(x: Column) -> Column:

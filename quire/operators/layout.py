@@ -1,16 +1,16 @@
 """Positioned words to lines, reading order and table grids.
 
 Words are (doc_id, page, word, x0, x1, y, t). Every step works inside one page, so pages are the unit of
-distribution; steps that follow state from word to word run as Arrow functions per page.
+distribution.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quire.operators import grids as boxes_grids
+from quire.operators import page_tables
 
 PAGE = ["doc_id", "page"]
 
@@ -66,56 +66,19 @@ def regions_of_rules(rules: DataFrame, least_gap: float = 8.0, least_height: flo
     return g.select("doc_id", "page", F.row_number().over(w).alias("region"), "x0", "x1", F.get("ys", F.lit(0)).alias("top"), F.element_at("ys", -1).alias("bottom"), F.size("ys").alias("rules"))
 
 
-def grids(words: DataFrame, regions: DataFrame, size: float = 10.0, share: float = 0.9, corridor: int = 3) -> DataFrame:
-    """Words inside each region to a grid: doc_id, page, region, row, cells (array of strings, one a column).
+def grids(words: DataFrame, regions: DataFrame, size: float = 10.0) -> DataFrame:
+    """Words inside each region to a grid: doc_id, page, region, row, cells (array of strings, one a column; '' under a wide cell).
 
-    Columns are parted by corridors of x that are free in a share of the lines; without any, by the line of most words.
+    Columns are parted by corridors of x that nearly all lines leave free between two words; without any, by the line of most words.
     """
     inside = words.join(regions.select("doc_id", "page", "region", F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), "top", "bottom"), PAGE)
     inside = inside.filter(F.col("y").between(F.col("top"), F.col("bottom")) & (F.col("x0") >= F.col("rx0") - 2) & (F.col("x1") <= F.col("rx1") + 2))
-    slack = max(2.0, 0.35 * size)
-
-    words_of = F.sort_array(F.collect_list(F.struct("y", "x0", "word", "x1", "t")))
-    pages = inside.groupBy("doc_id", "page", "region").agg(words_of.alias("_w"))
-    part = {f"_{c}": F.col("_w")[c] for c in ("y", "x0", "x1", "t")}
-
-    # a region is a row, so an Arrow batch holds many of them
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def cells(y: pd.Series, x0: pd.Series, x1: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([_cells(list(zip(*region, strict=True)), slack, share, corridor) for region in zip(y, x0, x1, t, strict=True)])
-
-    pages = pages.select("doc_id", "page", "region", *[e.alias(c) for c, e in part.items()])
-    rows = pages.select("doc_id", "page", "region", F.posexplode(cells("_y", "_x0", "_x1", "_t")).alias("row", "cells"))
-    return rows.withColumn("row", F.col("row") + 1)
-
-
-def _cells(words: list[tuple], slack: float, share: float, corridor: int) -> list[list[str]]:
-    """Rows of cells of one region's words (y, x0, x1, t), which come in the order of y and x0."""
-    lines: list[list[tuple]] = []
-    for w in words:
-        if not lines or abs(w[0] - lines[-1][0][0]) > slack:
-            lines.append([])
-        lines[-1].append(w)
-    low, high = int(min(w[1] for w in words)), int(max(w[2] for w in words)) + 1
-    free = np.zeros(high - low, dtype=int)
-    for line in lines:
-        empty = np.ones(high - low, dtype=int)
-        for _, x0, x1, _ in line:
-            empty[int(x0) - low : int(x1) + 1 - low] = 0
-        free += empty
-    # runs of open places: where they start and where they end
-    turns = np.flatnonzero(np.diff(np.concatenate(([0], free >= share * len(lines), [0]))))
-    edges = [low + (a + b) / 2 for a, b in zip(turns[::2], turns[1::2], strict=True) if b - a >= corridor]
-    if not edges:
-        widest = sorted(max(lines, key=len), key=lambda w: w[1])
-        edges = [(a[2] + b[1]) / 2 for a, b in zip(widest, widest[1:])]  # noqa: B905
-    rows = []
-    for line in lines:
-        cells: list[list[str]] = [[] for _ in range(len(edges) + 1)]
-        for _, x0, x1, t in sorted(line, key=lambda w: w[1]):
-            cells[int(np.searchsorted(edges, (x0 + x1) / 2))].append(t)
-        rows.append([" ".join(c) for c in cells])
-    return rows
+    key = ["doc_id", "page", "region"]
+    words_of = F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "t")))
+    lines = inside.groupBy(*key).agg(words_of.alias("_w")).select(*key, page_tables.lines_of(F.col("_w"), max(2.0, 0.35 * size)).alias("lines"))
+    rows = lines.join(page_tables.slots_of_lines(lines), key).select(*key, "slots", F.posexplode("lines").alias("_k", "_line"))
+    row = boxes_grids.grid(F.array(boxes_grids.cells_of_line(F.col("_line.words"), F.col("slots"))), F.size("slots"))
+    return rows.select(*key, (F.col("_k") + 1).alias("row"), F.transform(F.get(row, F.lit(0)), lambda c: F.coalesce(c["text"], F.lit(""))).alias("cells"))
 
 
 def laid_out(paragraphs: DataFrame, lines: int = 40, char: float = 6.0, leading: float = 12.0) -> DataFrame:

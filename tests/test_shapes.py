@@ -56,3 +56,17 @@ def test_lost_hyphens(spark):
 def test_indented(spark):
     r = spark.sql("SELECT array(struct(10D AS x0, 'if' AS text), struct(20D AS x0, 'then' AS text)) AS l").select(structured.indented(F.col("l")).alias("l")).first()
     assert r.l == ["if", "  then"]
+
+
+def test_mended_scalars(spark):
+    """Prices at a stop, a comma or a dollar are money, commands and scripts are not; raised minus signs; scripts that hold the word style; environments of spaces."""
+    from quire.functions import glyphs, mathtext, text
+
+    rows = ["It costs $5.", "pays $5, or", "so $5$", r"$5\alpha", "$4.06x", "$2^{t}", "<script>a</style>b</script>c<style>x</style>d", r"\begin{matrix}\hspace{2em} & \\ \end{matrix}", r"\begin{matrix} \end{cases}", r"\begin{array}{cc} & \\ ~ \end{array}", r"\begin{cases} a \end{cases}"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    got = {r.k: r for r in d.select("k", mathtext.balance_dollars(F.col("t")).alias("b"), text.strip_inline(F.col("t")).alias("s"), mathtext.unrepaired(F.col("t"), F.lit(True)).alias("u")).collect()}
+    assert [got[k].b for k in range(6)] == [r"It costs \$5.", r"pays \$5, or", "so $5$", r"$5\alpha", r"\$4.06x", "$2^{t}"]
+    assert got[6].s == "cd"
+    assert [got[k].u for k in range(7, 11)] == [["empty environment"], [], ["empty environment"], []]
+    assert [glyphs.command(c) for c in "⁻₋⁺²"] == ["-", "-", "+", "2"] and glyphs.formula("⊥̸") == "⟂"
+    assert list(glyphs.SYMBOLS) == sorted(glyphs.SYMBOLS)
