@@ -16,13 +16,13 @@ from quire.sources.tables import table
 
 
 def queries() -> dict:
-    from quire import catalog_pages, catalog_records, catalog_review, catalog_tables  # noqa: F401 - registers its queries
+    from quire import catalog_blocks, catalog_pages, catalog_records, catalog_review, catalog_tables  # noqa: F401 - registers its queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire import catalog_pages, catalog_records, catalog_review, catalog_tables  # noqa: F401 - registers its queries
+    from quire import catalog_blocks, catalog_pages, catalog_records, catalog_review, catalog_tables  # noqa: F401 - registers its queries
 
     return dict(SQL)
 

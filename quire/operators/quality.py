@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import normal, squash
 from quire.sources.tables import stored
 
-TAGS = ("p", "div", "ul", "li", "table", "tr", "td", "span", "a", "b")
+TAGS = ("p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "span", "a", "b")
 #: What ends a run of Latin words; a split, as a pattern for the run itself would recurse once a word.
 BREAK = r"[^A-Za-z' \t\n\x0B\f\r-]+"
 
