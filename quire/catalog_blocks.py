@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.catalog import PARAGRAPHS, _paragraphs
-from quire.operators import blocks
+from quire.catalog import NORMAL, PARAGRAPHS, _paragraphs
+from quire.operators import blocks, conformance
 from quire.registry import SQL, query
 from quire.sources.tables import table
 
@@ -106,3 +106,26 @@ def dec_retry_frontier(spark, sf_dir):
     answer = F.struct("id", F.when((F.col("doc_id") + F.col("pos")) % 7 == 0, " ").otherwise("zh").alias("zh"), F.lit("").alias("en"), F.array().cast(runs.TERMS).alias("terms"))
     replies = t.groupBy("doc_id", "part").agg(F.collect_list(answer).alias("answers")).withColumn("answers", F.when(fails, F.slice("answers", F.lit(1), F.lit(0))).otherwise(F.col("answers")))
     return runs.next_frontier(t, replies).select("doc_id", "pos", "part")
+
+
+#: Paragraphs with results by position: some missing, some with bare commands on either side, every ninth left as it was; terms and glossaries by document.
+@query(rf"""WITH {PARAGRAPHS}, r AS (SELECT doc_id, pos, 'p' || lpad(CAST(pos AS VARCHAR), CAST(greatest(4, length(CAST(pos AS VARCHAR))) AS INTEGER), '0') AS id, text, pos % 5 <> 0 AS made, CASE WHEN pos % 9 = 1 THEN text WHEN pos % 7 = 0 THEN '$\frac x$ 甲' WHEN pos % 13 = 0 THEN '⟦?⟧' ELSE '译文 ' || pos END AS zh, CASE WHEN pos % 4 = 0 THEN '$\sqrt$ \hat{{a}} \bar' ELSE text END AS en FROM paragraphs),
+l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(zh, '[^A-Za-z'' \t\n\x0B\f\r-]+'), lambda line: {NORMAL}), lambda x: length(x) > 24 AND len(string_split(x, ' ')) >= 4)[1] AS phrase FROM r WHERE made),
+s AS (SELECT doc_id, pos, id, unnest([{{'o': 0, 's': 'text', 't': text}}, {{'o': 1, 's': 'en', 't': CASE WHEN made THEN en END}}, {{'o': 2, 's': 'zh', 't': CASE WHEN made THEN zh END}}], recursive := true) FROM r),
+c AS (SELECT doc_id, pos, id, o, s, unnest(regexp_extract_all(t, '\\(sqrt|frac|bar|hat)(?:[^A-Za-z\[{{]|$)', 1)) AS c, generate_subscripts(regexp_extract_all(t, '\\(sqrt|frac|bar|hat)(?:[^A-Za-z\[{{]|$)', 1), 1) AS k FROM s),
+b AS (SELECT doc_id, 'not translated' AS rule, pos, 0 AS o, 0 AS k, id AS what FROM r WHERE NOT made UNION ALL SELECT doc_id, 'latin left', pos, 0, 0, id || ': ' || substr(phrase, 1, 40) FROM l WHERE len(list_filter(string_split(phrase, ' '), lambda w: regexp_matches(w, '^[a-z]'))) >= 2
+  UNION ALL SELECT doc_id, 'command without argument', pos, o, k, id || '/' || s || ':\' || c FROM c UNION ALL SELECT doc_id, 'unrepaired', pos, 0, 0, id || ': placeholder' FROM r WHERE made AND contains(zh, '⟦?⟧')),
+f AS (SELECT doc_id, rule, count(*) AS found, list(what ORDER BY pos, o, k)[1:4] AS examples FROM b GROUP BY ALL),
+d AS (SELECT doc_id, count(*) FILTER (made AND pos % 10 = 1) AS terms FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(['not translated', 'latin left', 'command without argument', 'unrepaired', 'no terms', 'no glossary']) AS rule, terms FROM d)
+SELECT g.doc_id, g.rule, coalesce(found, CASE WHEN g.rule = 'no terms' AND terms = 0 OR g.rule = 'no glossary' AND g.doc_id % 3 = 0 THEN 1 ELSE 0 END) = 0 AS passes, coalesce(found, CASE WHEN g.rule = 'no terms' AND terms = 0 OR g.rule = 'no glossary' AND g.doc_id % 3 = 0 THEN 1 ELSE 0 END) AS found, array_to_string(coalesce(examples, []), '; ') AS examples
+FROM g LEFT JOIN f ON f.doc_id = g.doc_id AND f.rule = g.rule""")
+def dec_conformance(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir)
+    pos = F.col("pos")
+    zh = F.when(pos % 9 == 1, F.col("text")).when(pos % 7 == 0, r"$\frac x$ 甲").when(pos % 13 == 0, "⟦?⟧").otherwise(F.concat(F.lit("译文 "), pos.cast("string")))
+    en = F.when(pos % 4 == 0, r"$\sqrt$ \hat{a} \bar").otherwise(F.col("text"))
+    term = F.struct(F.lit("a").alias("en"), F.lit("b").alias("zh"))
+    records = p.filter(pos % 5 != 0).select("doc_id", "id", zh.alias("zh"), en.alias("en"), F.when(pos % 10 == 1, F.array(term)).otherwise(F.slice(F.array(term), F.lit(1), F.lit(0))).alias("terms"))
+    glossary = p.filter((F.col("doc_id") % 3 != 0) & (pos == 1)).select("doc_id", F.lit("a").alias("en"))
+    return conformance.report(p, records, glossary).withColumn("examples", F.array_join("examples", "; "))
