@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.catalog import NORMAL, PARAGRAPHS, _paragraphs
 from quire.operators import blocks, conformance
 from quire.registry import SQL, query
+from quire.sources import export
 from quire.sources.tables import table
 
 #: Paragraphs of each document joined to a text whose blocks are, by position, lists, quotes, tables, headings, fences, formulas and plain lines.
@@ -129,3 +130,13 @@ def dec_conformance(spark, sf_dir):
     records = p.filter(pos % 5 != 0).select("doc_id", "id", zh.alias("zh"), en.alias("en"), F.when(pos % 10 == 1, F.array(term)).otherwise(F.slice(F.array(term), F.lit(1), F.lit(0))).alias("terms"))
     glossary = p.filter((F.col("doc_id") % 3 != 0) & (pos == 1)).select("doc_id", F.lit("a").alias("en"))
     return conformance.report(p, records, glossary).withColumn("examples", F.array_join("examples", "; "))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(substr(text, 1, 60), '') AS title FROM documents), c AS (SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (quality = 1) AS translated FROM labels GROUP BY doc_id),
+s AS (SELECT doc_id, title, substr(lower(regexp_replace(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 56) AS s FROM d)
+SELECT s.doc_id, title, CASE WHEN s = '' THEN 'paper' ELSE s END || '-' || substr(md5(title), 1, 6) || '.html' AS name, translated, paragraphs, CASE WHEN translated >= paragraphs THEN 'complete' WHEN translated > 0 THEN 'partial' ELSE 'source only' END AS badge FROM s LEFT JOIN c USING (doc_id)""")
+def site_index_rows(spark, sf_dir):
+    """The index of a site with the documents' first characters as titles and their labels as coverage."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("title"))
+    c = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("quality") == 1).alias("translated"))
+    return export.site_index(d, c)

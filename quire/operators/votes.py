@@ -25,10 +25,12 @@ def replacement_plan(counts: DataFrame) -> DataFrame:
     """
     best = majority(counts).filter("renderings > 1")
     plan = counts.join(best, "term").filter((F.col("zh") != F.col("best")) & (F.length("zh") >= 2)).groupBy("zh").agg(F.max("best").alias("best"))
-    chosen = best.select(F.col("best").alias("_c")).distinct()
+    lengths = plan.agg(F.collect_set(F.length("zh")).alias("_lengths"))  # one row, as many entries as lengths
+    chosen = best.select(F.col("best").alias("_c")).distinct().crossJoin(F.broadcast(lengths))
     size = F.length("_c")
-    parts = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda k: F.substring(F.col("_c"), k, n))))
-    inside = chosen.filter(size > 2).select(F.explode(F.array_distinct(parts)).alias("zh")).distinct()
+    shorter = F.filter("_lengths", lambda n: n < size)
+    parts = F.flatten(F.transform(shorter, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda k: F.substring(F.col("_c"), k, n))))
+    inside = chosen.filter(F.size(shorter) > 0).select(F.explode(F.array_distinct(parts)).alias("zh")).distinct()
     return plan.join(inside, "zh", "left_anti")
 
 

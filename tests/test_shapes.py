@@ -70,3 +70,17 @@ def test_mended_scalars(spark):
     assert [got[k].u for k in range(7, 11)] == [["empty environment"], [], ["empty environment"], []]
     assert [glyphs.command(c) for c in "⁻₋⁺²"] == ["-", "-", "+", "2"] and glyphs.formula("⊥̸") == "⟂"
     assert list(glyphs.SYMBOLS) == sorted(glyphs.SYMBOLS)
+
+
+def test_commands_of_a_font_reach_the_line(spark):
+    """Code maps meet spans by document and font, with or without a subset's prefix; other fonts and documents keep placeholders."""
+    program = "/Encoding 256 array dup 16 /parenleftBig put dup 17 /parenrightBig put dup 77 /circleplusdisplay put dup 80 /summationtext put dup 300 /unionsq put dup 50 /bracelefttp put"
+    span = "doc_id long, page int, block int, line int, span int, text string, font string, size double, oy double, x0 double, x1 double"
+    rows = []
+    for doc, font in ((1, "VFYNJW+CMEX10"), (2, "CMEX10"), (3, "CMR10")):
+        for k, (t, f) in enumerate([("x", "CMMI10"), ("\x10", font), ("M P", font), ("\x11", font), ("=", "CMR10"), ("y", "CMMI10")]):
+            rows.append((doc, 1, 1, 1, k, t, f, 10.0, 100.0, 10.0 * k, 10.0 * k + 9))
+    fonts = spark.createDataFrame([(1, "CMEX10", program), (3, "CMR10", program)], "doc_id long, font string, program string")
+    got = {r.doc_id: r.text for r in spans.formula_lines(spark.createDataFrame(rows, span), fonts).collect()}
+    assert all(c in got[1] for c in (r"\big(", r"\bigoplus", r"\sum", r"\big)")) and "⟦?⟧" not in got[1]
+    assert "⟦?⟧" in got[2] and "⟦?⟧" in got[3] and r"\sum" not in got[2] + got[3]
