@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.catalog import NORMAL, PARAGRAPHS, _paragraphs
-from quire.operators import blocks, conformance
+from quire.operators import blocks, conformance, ordered
 from quire.registry import SQL, query
 from quire.sources import export
 from quire.sources.tables import table
@@ -140,3 +140,35 @@ def site_index_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("title"))
     c = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("quality") == 1).alias("translated"))
     return export.site_index(d, c)
+
+
+#: Paragraphs with boxes by position: every third is placeholders alone, beside or over the one before; some of those before are equations.
+@query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, pos % 3 = 0 OR pos % 7 = 5 AS f, CASE WHEN pos % 3 = 0 OR pos % 7 = 5 THEN '⟦?⟧' ELSE text || ' a' END AS t, CASE WHEN pos % 5 = 1 THEN 'equation' ELSE 'text' END AS kind, CASE WHEN pos % 4 = 3 THEN 500 ELSE 0 END AS x0 FROM paragraphs),
+h AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM d),
+a AS (SELECT *, lag(kind) OVER w AS k1, lag(x0) OVER w AS x1, lag(f) OVER w AS f1, lag(kind, 2) OVER w AS k2, lag(x0, 2) OVER w AS x2 FROM h WINDOW w AS (PARTITION BY doc_id, g ORDER BY pos)),
+j AS (SELECT *, CASE WHEN NOT f OR k1 IS NULL THEN 0 WHEN NOT f1 OR k2 IS NULL THEN CAST(k1 = 'equation' OR x1 = x0 AS INTEGER) WHEN k2 = 'equation' OR x2 = x1 THEN CAST(k2 = 'equation' OR x2 = x0 AS INTEGER) ELSE CAST(k1 = 'equation' OR x1 = x0 AS INTEGER) END AS joins FROM a),
+i AS (SELECT *, sum(1 - joins) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM j)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, first(kind ORDER BY pos) AS kind, md5(string_agg(t, ' ' ORDER BY pos)) AS text, CAST(count(*) - 1 AS INTEGER) AS fragments FROM i GROUP BY doc_id, island""")
+def dec_fragment_boxes(spark, sf_dir):
+    pos = F.col("pos")
+    alone = (pos % 3 == 0) | (pos % 7 == 5)
+    x0 = F.when(pos % 4 == 3, 500.0).otherwise(0.0)
+    p = _paragraphs(spark, sf_dir).select("doc_id", "pos", F.when(pos % 5 == 1, "equation").otherwise("text").alias("kind"), F.when(alone, "⟦?⟧").otherwise(F.concat("text", F.lit(" a"))).alias("text"), x0.alias("x0"), (x0 + 100).alias("x1"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"))
+    return ordered.merge_glyph_fragments(p).select("doc_id", "pos", "kind", F.md5("text").alias("text"), F.size("fragments").alias("fragments"))
+
+
+#: Documents as algorithms: their paragraphs as lines, a title before them in every second, a protocol for every third.
+@query(f"""WITH {PARAGRAPHS}, e AS (SELECT doc_id, pos, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM paragraphs),
+l AS (SELECT doc_id, string_agg('<div class="algline">' || t || '</div>', '' ORDER BY pos) AS lines, count(*) AS n FROM e GROUP BY doc_id)
+SELECT doc_id, md5('<div class="algobox">' || CASE WHEN doc_id % 2 = 0 THEN '<div class="pt">Algorithm ' || doc_id || ': go</div>' ELSE '' END || lines || '</div>') AS source,
+  md5(CASE WHEN doc_id % 3 = 0 THEN '<div class="proto"><div class="pt">t ' || doc_id || '</div><div class="in">in &lt;x&gt;</div><ol class="steps"><li><p>step <strong>' || n || '</strong></p></li><li><p>last</p><ol class="subs"><li><p>sub</p></li></ol></li></ol></div>'
+  ELSE '<div class="algobox">' || CASE WHEN doc_id % 2 = 0 THEN '<div class="pt">Algorithm ' || doc_id || ': go</div>' ELSE '' END || lines || '</div>' END) AS target FROM l""")
+def dec_algorithm_cells(spark, sf_dir):
+    p = _paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("l"))
+    title = F.concat(F.lit(" Algorithm "), F.col("doc_id").cast("string"), F.lit(": go"))
+    lines = F.when(F.col("doc_id") % 2 == 0, F.concat(F.array(title), "l")).otherwise(F.col("l"))
+    step = lambda text, subs: F.struct(text.alias("text"), subs.cast("array<string>").alias("subs"))
+    steps = F.array(step(F.concat(F.lit("step **"), F.size("l").cast("string"), F.lit("**")), F.array()), step(F.lit("last"), F.array(F.lit("sub"))))
+    protocol = F.struct(F.concat(F.lit("t "), F.col("doc_id").cast("string")).alias("title"), F.array(F.lit("in <x>")).alias("setup"), F.when(F.col("doc_id") % 3 == 0, steps).alias("steps"), F.lit("").alias("title_en"), F.array().cast("array<string>").alias("lines_en"))
+    p = p.select("doc_id", lines.alias("lines"), protocol.alias("protocol"))
+    return p.select("doc_id", F.md5(blocks.algorithm_html(F.col("lines"), F.col("protocol"), True)).alias("source"), F.md5(blocks.algorithm_html(F.col("lines"), F.col("protocol"), False)).alias("target"))

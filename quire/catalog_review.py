@@ -58,7 +58,7 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, kind, md5(t) AS text FROM m WHERE po
 def dec_fragment_merge(spark, sf_dir):
     pos = F.col("pos") % 4
     p = _paragraphs(spark, sf_dir).select("doc_id", "pos", F.when(pos == 3, "equation").otherwise("text").alias("kind"), F.when(pos == 0, mathtext.MISSING).when(pos == 3, F.concat(F.lit("E "), "text")).otherwise(F.col("text")).alias("text"))
-    return ordered.merge_glyph_fragments(p).withColumn("text", F.md5("text"))
+    return ordered.merge_glyph_fragments(p).withColumn("text", F.md5("text")).drop("fragments")
 
 
 @query(f"""WITH {PARAGRAPHS}, d AS (SELECT doc_id, pos, length(text) - length(replace(text, 'q', '')) AS n FROM paragraphs) SELECT doc_id, CAST(sum(n) AS BIGINT) AS issues, coalesce(string_agg(printf('p%04d', pos), ',' ORDER BY pos) FILTER (n > 0), '') AS ids FROM d GROUP BY doc_id""")

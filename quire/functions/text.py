@@ -79,8 +79,9 @@ def strip_inline(html: Column) -> Column:
     return F.regexp_replace(bare, r"(?is)<style\b.*?</style>", "")
 
 
-def tokens(x: Column) -> Column:
-    """Distinct identifiers and numbers of two characters or more, in lower case."""
+def tokens(x: Column, step_number: bool = False) -> Column:
+    """Distinct identifiers and numbers of two characters or more, in lower case; with step_number, a number that the text begins with is none of it."""
+    x = F.regexp_replace(x, r"^\s*\(?[0-9]+[.)]?\s+", "") if step_number else x
     found = F.transform(F.regexp_extract_all(x, F.lit(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?"), F.lit(0)), F.lower)
     return F.array_distinct(F.filter(found, lambda t: F.length(t) >= 2))
 

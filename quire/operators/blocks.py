@@ -80,6 +80,34 @@ def block_html(kind: Column, level: Column, lines: Column) -> Column:
     )
 
 
+def rich_html(text: Column) -> Column:
+    """A text with all its blocks as HTML."""
+    whole = F.filter(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), r"\n{2,}"), lambda b: strip(b) != "")
+    return F.array_join(F.transform(F.transform(whole, block_of), lambda b: block_html(b["kind"], b["level"], b["lines"])), "")
+
+
+#: Fixed value: a first line that is the title of an algorithm or protocol.
+TITLE = r"(?i)^\s*(algorithm|protocol|算法|协议)\s*[0-9]+\s*[:：]"
+
+
+def algorithm_html(lines: Column, protocol: Column, source: bool) -> Column:
+    """What stands in the cell of an algorithm: its protocol (title, setup, steps of text and subs, title_en, lines_en), else its lines.
+
+    The source side shows a protocol's own lines, the other its steps, setup first; without any of these the lines follow,
+    a title among them set apart. Null where there is nothing.
+    """
+    divs = lambda xs, name: F.array_join(F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.concat(F.lit(f'<div class="{name}">'), html_escape(x), F.lit("</div>"))), "")
+    head = lambda t: F.when(F.coalesce(t, F.lit("")) != "", F.concat(F.lit('<div class="pt">'), html_escape(t), F.lit("</div>"))).otherwise("")
+    subs = lambda s: F.when(F.size(s["subs"]) > 0, F.concat(F.lit('<ol class="subs">'), F.array_join(F.transform(s["subs"], lambda x: F.concat(F.lit("<li>"), rich_html(x), F.lit("</li>"))), ""), F.lit("</ol>"))).otherwise("")
+    step = lambda s: F.concat(F.lit("<li>"), rich_html(s["text"]), subs(s), F.lit("</li>"))
+    box = lambda name, *parts: F.concat(F.lit(f'<div class="{name}">'), *parts, F.lit("</div>"))
+    own = F.when((F.size(protocol["lines_en"]) > 0) | (F.coalesce(protocol["title_en"], F.lit("")) != ""), box("proto", head(protocol["title_en"]), divs(protocol["lines_en"], "algline")))
+    steps = F.when(F.size(protocol["steps"]) > 0, box("proto", head(protocol["title"]), divs(protocol["setup"], "in"), F.lit('<ol class="steps">'), F.array_join(F.transform(protocol["steps"], step), ""), F.lit("</ol>")))
+    titled = F.get(lines, F.lit(0)).rlike(TITLE)
+    plain = F.when(titled, F.concat(head(strip(F.get(lines, F.lit(0)))), divs(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "algline"))).otherwise(divs(lines, "algline"))
+    return F.coalesce(own if source else steps, F.when(F.size(lines) > 0, box("algobox", plain)))
+
+
 def recognised_paragraphs(docs: DataFrame, most: int = 900) -> DataFrame:
     """doc_id, pos from 1, text of recognised pages (doc_id, text): parted at blank lines; long blocks in slices, in others a line without an end mark goes on."""
     blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), strip), lambda b: b != "")

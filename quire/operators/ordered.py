@@ -61,14 +61,36 @@ def merge_across_pages(paragraphs: DataFrame) -> DataFrame:
     ).drop("_island")
 
 
-def merge_glyph_fragments(paragraphs: DataFrame) -> DataFrame:
-    """Fragments of placeholders alone join the paragraph before them; (doc_id, pos, kind, text)."""
+def merge_glyph_fragments(paragraphs: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """Fragments of placeholders alone join what stands before them, if that is an equation or shares `overlap` of the smaller
+    of their boxes; (doc_id, pos, kind, text, x0, x1, y0, y1, boxes may be left out), with `fragments`, the positions that joined.
+
+    A fragment that does not join stands for itself, and later ones may join it. Only fragments look back, so a paragraph
+    and the fragments after it are followed in order, and nothing else.
+    """
     from quire.functions.predicates import glyph_only
 
+    box = ("x0", "x1", "y0", "y1")
+    p = paragraphs if all(c in paragraphs.columns for c in box) else paragraphs.withColumns({c: F.lit(None).cast("double") for c in box})
     w = Window.partitionBy("doc_id").orderBy("pos")
-    joins = glyph_only(F.col("text")) & (F.lag("kind").over(w) == "equation")
-    p = paragraphs.withColumn("_island", F.sum(F.when(joins, 0).otherwise(1)).over(w))
-    return p.groupBy("doc_id", "_island").agg(F.min("pos").alias("pos"), F.min_by("kind", "pos").alias("kind"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text")).drop("_island")
+    p = p.withColumn("_island", F.sum(F.when(glyph_only(F.col("text")), 0).otherwise(1)).over(w))
+    g = p.groupBy("doc_id", "_island").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "text", *[F.col(c).cast("double").alias(c) for c in box]))).alias("_m"))
+    kind = "struct<pos:int,kind:string,x0:double,x1:double,y0:double,y1:double,texts:array<string>,fragments:array<int>>"
+    head = lambda m: F.struct(m["pos"].alias("pos"), m["kind"].alias("kind"), *[m[c].alias(c) for c in box], F.array(m["text"]).alias("texts"), F.array().cast("array<int>").alias("fragments")).cast(kind)
+    area = lambda a: (a["x1"] - a["x0"]) * (a["y1"] - a["y0"])
+
+    def shared(a: Column, b: Column) -> Column:
+        width, height = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+        return F.coalesce((width > 0) & (height > 0) & (F.least(area(a), area(b)) > 0) & (width * height >= overlap * F.least(area(a), area(b))), F.lit(False))
+
+    def add(done: Column, m: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = F.coalesce(last.isNotNull() & glyph_only(m["text"]) & ((last["kind"] == "equation") | shared(last, m)), F.lit(False))
+        grown = F.struct(*[last[c].alias(c) for c in ("pos", "kind", *box)], F.concat(last["texts"], F.array(m["text"])).alias("texts"), F.concat(last["fragments"], F.array(m["pos"].cast("int"))).alias("fragments")).cast(kind)
+        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(head(m))))
+
+    merged = g.select("doc_id", F.explode(F.aggregate("_m", F.array().cast(f"array<{kind}>"), add)).alias("_x"))
+    return merged.select("doc_id", "_x.pos", "_x.kind", F.array_join("_x.texts", " ").alias("text"), *[f"_x.{c}" for c in box if c in paragraphs.columns], "_x.fragments")
 
 
 def in_place(blocks: DataFrame) -> DataFrame:
