@@ -306,8 +306,9 @@ def page_blocks(words: DataFrame, drawings: DataFrame, captions: DataFrame, bloc
     tables = region_tables(rest.filter(kind.isNull() | (kind != "figure")), size)
     tables = tables.filter((F.coalesce(kind, F.lit("")) == "table") | structured.looks_like_table(F.col("rows"), F.col("columns")))
     tables = tables.select(*PAGE, F.lit("table").alias("kind"), *BOX, "columns", "head_rows", "rows", F.when(kind == "table", F.col("_caption.text")).otherwise("").alias("caption"))
+    tables = stored(tables, "tables")
+    boxed = stored(with_captions(boxed_tables(drawings, words, size), captions, *REGION).filter(kind.isNull() | (kind != "figure")).drop("_caption"), "boxed")
     claimed = algorithms.select(*PAGE, *BOX).unionByName(tables.select(*PAGE, *BOX))
-    boxed = with_captions(boxed_tables(drawings, words, size), captions, *REGION).filter(kind.isNull() | (kind != "figure"))
     boxed = _apart(_apart(boxed, claimed), boxed.select(*REGION, *BOX), before=F.col("_region") < F.col("region"))
     boxed = boxed.select(*PAGE, F.lit("table").alias("kind"), *BOX, "columns", "head_rows", "rows", F.lit("").alias("caption"))
     claimed = claimed.unionByName(boxed.select(*PAGE, *BOX))
