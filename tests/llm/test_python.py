@@ -448,3 +448,13 @@ def test_repeats_score_apart(spark):
     new = [each[i] for i in range(60, 400) if held(i)]
     twice = [each[i] for i in range(60) if not held(i) and not held(1000 + i)]
     assert np.mean([a > b for a in twice for b in new]) > 0.9
+
+
+def test_added_spans(spark):
+    """Every kind that the method adds comes out at its place, beside base spans and letters of several bytes."""
+    samples = [("private", "-----BEGIN RSA PRIVATE KEY-----"), ("slack", "xoxb-1234567890ab"), ("google", "AIza" + "x" * 35), ("jwt", "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12), ("github", "ghs_" + "Z" * 36)]
+    rows = [(k, f"é日 {t} {t[:6]}, then {t}", "en", "s") for k, (_, t) in enumerate(samples)]
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.base) for s in r.spans] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    for k, (kind, t) in enumerate(samples):
+        second = rows[k][1].index(t, 5)
+        assert [s for s in got[k] if s[0] == kind] == [(kind, 3, 3 + len(t), False), (kind, second, second + len(t), False)]
