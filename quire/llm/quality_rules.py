@@ -9,13 +9,15 @@ determinant stays, then one reweighting step follows. Estimates shrink towards t
 the group. A document whose squared Mahalanobis distance
 exceeds the cutoff is rejected.
 
-Only DataFrame functions are used.
+Sums and distances are DataFrame functions; numpy turns sums into roots, a row for each group and start.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from quire.llm.common import row_key, words, written
 P = 7
 X = [f"_x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+#: Sums that make an estimate: the number, the statistics, their products.
+SUMS = 1 + P + len(PAIRS)
 #: Least standard deviation of each statistic: words, word length, shares of marks, capitals and repeats.
 FLOORS = (0.30, 0.08, 0.035, 0.08, 0.12)
 #: The same for the shares of symbols and of lines that repeat.
@@ -100,59 +104,83 @@ def vector() -> list[Column]:
     return [F.log1p("n_words"), F.log(chars / n), *shares]
 
 
-def _sums(weight: Column) -> list[Column]:
-    return [F.sum(weight).alias("_n"), *[F.sum(weight * F.col(f"_s{i}")).alias(f"_s{i}") for i in range(P)], *[F.sum(weight * F.col(f"_q{i}{j}")).alias(f"_q{i}{j}") for i, j in PAIRS]]
+def _summed(weight: Column, values: list[Column]) -> Column:
+    """The array of the sums of values, weighted; one column, so that plans stay small on the driver."""
+    return F.array(*[F.sum(weight * x) for x in values])
+
+
+def _items(column: str) -> list[Column]:
+    return [F.get(column, F.lit(k)) for k in range(SUMS)]
 
 
 def _cells(vectors: DataFrame, *by: str, weight: Column | None = None) -> DataFrame:
-    w = F.lit(1.0) if weight is None else weight
-    sums = [F.sum(w).alias("_n"), *[F.sum(w * F.col(X[i])).alias(f"_s{i}") for i in range(P)], *[F.sum(w * F.col(X[i]) * F.col(X[j])).alias(f"_q{i}{j}") for i, j in PAIRS]]
-    return vectors.groupBy(*by).agg(*sums)
+    """_v of each group: its (weighted) number of vectors, their sums and the sums of their products."""
+    values = [F.lit(1.0), *[F.col(x) for x in X], *[F.col(X[i]) * F.col(X[j]) for i, j in PAIRS]]
+    return vectors.groupBy(*by).agg(_summed(F.lit(1.0) if weight is None else weight, values).alias("_v"))
 
 
-def _shrunk(sums: DataFrame, prior: float) -> DataFrame:
-    """Sums of each group with those of its language at the weight of `prior` documents, and these with those of all at the same."""
+def _shrunk(sums: DataFrame) -> DataFrame:
+    """Sums of each group (_v), of its language (_of_lang) and of all (_of_all)."""
     sums = _small(sums.withColumn("_lang", F.get_json_object("_group", "$[0]")), "sums")
-    names = ["_n", *[f"_s{i}" for i in range(P)], *[f"_q{i}{j}" for i, j in PAIRS]]
-    every = sums.groupBy("_start").agg(*[F.sum(c).alias(f"_all{c}") for c in names])
-    langs = sums.groupBy("_lang", "_start").agg(*[F.sum(c).alias(f"_lang{c}") for c in names]).join(every, "_start")
-    mixed = lambda own, more: {c: F.col(f"{own}{c}") + prior * F.col(f"{more}{c}") / F.greatest(F.col(f"{more}_n"), F.lit(1e-9)) for c in names}
-    langs = langs.select("_lang", "_start", *[x.alias(f"_lang{c}") for c, x in mixed("_lang", "_all").items()])
-    return sums.join(langs, ["_lang", "_start"]).select("_group", "_start", *[x.alias(c) for c, x in mixed("", "_lang").items()])
+    every = sums.groupBy("_start").agg(_summed(F.lit(1.0), _items("_v")).alias("_of_all"))
+    langs = sums.groupBy("_lang", "_start").agg(_summed(F.lit(1.0), _items("_v")).alias("_of_lang")).join(every, "_start")
+    return sums.join(langs, ["_lang", "_start"]).select("_group", "_start", "_v", "_of_lang", "_of_all")
 
 
-def _estimate(sums: DataFrame, factor: float, prior: float) -> DataFrame:
-    """From sums to means _m and the Cholesky root _l of factor * covariance + floors."""
-    d = _shrunk(sums, prior).withColumns({f"_m{i}": F.col(f"_s{i}") / F.col("_n") for i in range(P)})
-    d = d.withColumns({f"_c{i}{j}": F.lit(factor) * (F.col(f"_q{i}{j}") / F.col("_n") - F.col(f"_m{i}") * F.col(f"_m{j}")) + (LEAST[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
+def estimates_of(own: np.ndarray, lang: np.ndarray, every: np.ndarray, factor: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log determinant, and means with the inverse of the Cholesky root of factor * covariance + floors, for each row of sums.
+
+    To a row's sums come its language's at the weight of `prior` documents, and to these those of all at the same.
+    """
+    mixed = lambda a, more: a + prior * more / np.maximum(more[:, :1], 1e-9)
+    v = mixed(own, mixed(lang, every))
+    v = v / np.maximum(v[:, :1], 1e-9)
+    m, n = v[:, 1 : P + 1], len(v)
+    c, root, inverse = (np.zeros((n, P, P)) for _ in range(3))
+    for k, (i, j) in enumerate(PAIRS):
+        c[:, i, j] = factor * (v[:, 1 + P + k] - m[:, i] * m[:, j]) + (LEAST[i] ** 2 if i == j else 0.0)
     for j in range(P):
-        left = lambda i, j=j: F.col(f"_c{i}{j}") - sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
-        d = d.withColumn(f"_l{j}{j}", F.sqrt(F.greatest(left(j), F.lit(1e-9))))
-        d = d.withColumns({f"_l{i}{j}": left(i) / F.col(f"_l{j}{j}") for i in range(j + 1, P)})
-    d = d.withColumn("_det", sum((F.log(f"_l{i}{i}") for i in range(P)), F.lit(0.0)))
-    return d.select("_group", "_start", "_det", *[f"_m{i}" for i in range(P)], *[f"_l{i}{j}" for i, j in PAIRS])
+        left = c[:, j:, j] - np.einsum("nik,nk->ni", root[:, j:, :j], root[:, j, :j])
+        root[:, j, j] = np.sqrt(np.maximum(left[:, 0], 1e-9))
+        root[:, j + 1 :, j] = left[:, 1:] / root[:, j, j, None]
+    for i in range(P):
+        inverse[:, i, i] = 1
+        inverse[:, i] -= np.einsum("nk,nkj->nj", root[:, i, :i], inverse[:, :i])
+        inverse[:, i] /= root[:, i, i, None]
+    det = np.log(root[:, range(P), range(P)]).sum(1)
+    return det, np.concatenate([m, *[inverse[:, i, j, None] for i, j in PAIRS]], 1)
+
+
+def _estimate(sums: DataFrame, factor: float, prior: float) -> DataFrame:
+    """From sums to _det and _e: means, then the inverse of the Cholesky root. A row for each group and start, worked out in tasks."""
+
+    def work(batches):
+        for batch in batches:
+            own, lang, every = (np.asarray(batch.column(k).flatten(), float).reshape(-1, SUMS) for k in (2, 3, 4))
+            det, e = estimates_of(own, lang, every, factor, prior)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(det, pa.float64()), pa.array(list(e), pa.list_(pa.float64()))], ["_group", "_start", "_det", "_e"])
+
+    return _shrunk(sums).mapInArrow(work, "_group string, _start int, _det double, _e array<double>")
 
 
 def _distances(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """vectors with _start and the squared distance _d2 under the estimate of their group."""
     d = vectors.join(estimates, "_group")
-    for i in range(P):
-        d = d.withColumn(f"_y{i}", (F.col(X[i]) - F.col(f"_m{i}") - sum((F.col(f"_l{i}{j}") * F.col(f"_y{j}") for j in range(i)), F.lit(0.0))) / F.col(f"_l{i}{i}"))
-    return d.withColumn("_d2", sum((F.col(f"_y{i}") ** 2 for i in range(P)), F.lit(0.0)))
+    centred = [F.col(X[i]) - F.get("_e", F.lit(i)) for i in range(P)]
+    rows: list[list[Column]] = [[] for _ in range(P)]
+    for k, (i, j) in enumerate(PAIRS):
+        rows[i].append(F.get("_e", F.lit(P + k)) * centred[j])
+    return d.withColumn("_d2", sum((sum(row[1:], row[0]) ** 2 for row in rows), F.lit(0.0)))
 
 
 def _nearest(distances: DataFrame, share: float) -> DataFrame:
     """Sums over the nearest share of each group and start; the bin on the border counts in part."""
-    bins = _cells(distances.withColumn("_bin", F.least(F.floor(16 * F.log2(1 + F.col("_d2"))), F.lit(1023))), "_group", "_start", "_bin")
+    bins = _cells(distances.withColumn("_bin", F.least(F.floor(16 * F.log2(1 + F.col("_d2"))), F.lit(1023))), "_group", "_start", "_bin").withColumn("_n", F.get("_v", F.lit(0)))
     w = Window.partitionBy("_group", "_start")
     upto = F.sum("_n").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
     bins = bins.withColumns({"_all": F.sum("_n").over(w), "_upto": upto})
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_all") * share - (F.col("_upto") - F.col("_n"))) / F.col("_n")))
-    return bins.withColumn("_part", part).groupBy("_group", "_start").agg(*_sums_of_part())
-
-
-def _sums_of_part() -> list[Column]:
-    return [F.sum(F.col("_part") * F.col(c)).alias(c) for c in ["_n", *[f"_s{i}" for i in range(P)], *[f"_q{i}{j}" for i, j in PAIRS]]]
+    return bins.withColumn("_part", part).groupBy("_group", "_start").agg(_summed(F.col("_part"), _items("_v")).alias("_v"))
 
 
 def _medians(vectors: DataFrame) -> DataFrame:
@@ -163,10 +191,9 @@ def _medians(vectors: DataFrame) -> DataFrame:
     bins = bins.withColumns({"_all": F.sum("_n").over(w), "_upto": F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))})
     at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("_b"))) / 64
     q = bins.groupBy("_group", "_k").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"))
-    one = q.groupBy("_group").agg(*[F.max(F.when(F.col("_k") == i, F.col(c))).alias(f"_{c}_{i}") for i in range(P) for c in ("m", "s")])
-    root = {f"_l{i}{j}": F.sqrt(F.col(f"_s_{i}") ** 2 + LEAST[i] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS}
-    one = one.withColumns({f"_m{i}": F.col(f"_m_{i}") for i in range(P)} | root)
-    return one.select("_group", F.lit(1).alias("_start"), F.lit(0.0).alias("_det"), *[f"_m{i}" for i in range(P)], *[f"_l{i}{j}" for i, j in PAIRS])
+    of = lambda c, i: F.max(F.when(F.col("_k") == i, F.col(c)))
+    root = [1 / F.sqrt(of("s", i) ** 2 + LEAST[i] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS]
+    return q.groupBy("_group").agg(F.array(*[of("m", i) for i in range(P)], *root).alias("_e")).select("_group", F.lit(1).alias("_start"), F.lit(0.0).alias("_det"), "_e")
 
 
 def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float | None = None, prior: float = 50.0) -> DataFrame:
