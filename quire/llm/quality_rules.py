@@ -9,15 +9,13 @@ determinant stays, then one reweighting step follows. Estimates shrink towards t
 the group. A document whose squared Mahalanobis distance
 exceeds the cutoff is rejected.
 
-Sums and distances are DataFrame functions; numpy turns sums into roots, a row for each group and start.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,40 +125,40 @@ def _shrunk(sums: DataFrame) -> DataFrame:
     return sums.join(langs, ["_lang", "_start"]).select("_group", "_start", "_v", "_of_lang", "_of_all")
 
 
-def estimates_of(own: np.ndarray, lang: np.ndarray, every: np.ndarray, factor: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log determinant, and means with the inverse of the Cholesky root of factor * covariance + floors, for each row of sums.
-
-    To a row's sums come its language's at the weight of `prior` documents, and to these those of all at the same.
-    """
-    mixed = lambda a, more: a + prior * more / np.maximum(more[:, :1], 1e-9)
-    v = mixed(own, mixed(lang, every))
-    v = v / np.maximum(v[:, :1], 1e-9)
-    m, n = v[:, 1 : P + 1], len(v)
-    c, root, inverse = (np.zeros((n, P, P)) for _ in range(3))
-    for k, (i, j) in enumerate(PAIRS):
-        c[:, i, j] = factor * (v[:, 1 + P + k] - m[:, i] * m[:, j]) + (LEAST[i] ** 2 if i == j else 0.0)
-    for j in range(P):
-        left = c[:, j:, j] - np.einsum("nik,nk->ni", root[:, j:, :j], root[:, j, :j])
-        root[:, j, j] = np.sqrt(np.maximum(left[:, 0], 1e-9))
-        root[:, j + 1 :, j] = left[:, 1:] / root[:, j, j, None]
-    for i in range(P):
-        inverse[:, i, i] = 1
-        inverse[:, i] -= np.einsum("nk,nkj->nj", root[:, i, :i], inverse[:, :i])
-        inverse[:, i] /= root[:, i, i, None]
-    det = np.log(root[:, range(P), range(P)]).sum(1)
-    return det, np.concatenate([m, *[inverse[:, i, j, None] for i, j in PAIRS]], 1)
-
-
 def _estimate(sums: DataFrame, factor: float, prior: float) -> DataFrame:
-    """From sums to _det and _e: means, then the inverse of the Cholesky root. A row for each group and start, worked out in tasks."""
+    """From sums to _det and _e, of _roots: a row for each group and start."""
+    return _roots(_shrunk(sums), factor, prior)
+
 
-    def work(batches):
-        for batch in batches:
-            own, lang, every = (np.asarray(batch.column(k).flatten(), float).reshape(-1, SUMS) for k in (2, 3, 4))
-            det, e = estimates_of(own, lang, every, factor, prior)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(det, pa.float64()), pa.array(list(e), pa.list_(pa.float64()))], ["_group", "_start", "_det", "_e"])
+def _roots(shrunk: DataFrame, factor: float, prior: float) -> DataFrame:
+    """Log determinant _det, and _e: means, then the inverse of the Cholesky root of factor * covariance + floors.
 
-    return _shrunk(sums).mapInArrow(work, "_group string, _start int, _det double, _e array<double>")
+    To a row's sums come its language's at the weight of `prior` documents, and to these those of all at the same.
+    Roots are folded over the places of an array, so the plan does not grow with the places.
+    """
+    item = lambda c, k: F.get(c, F.lit(k))
+    more = lambda a, b, n: a + prior * b / F.greatest(n, F.lit(1e-9))
+    d = shrunk.withColumn("_of_lang", F.zip_with("_of_lang", "_of_all", lambda a, b: more(a, b, item("_of_all", 0))))
+    d = d.withColumn("_v", F.zip_with("_v", "_of_lang", lambda a, b: more(a, b, item("_of_lang", 0))))
+    d = d.withColumn("_v", F.transform("_v", lambda x: x / F.greatest(item("_v", 0), F.lit(1e-9))))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(LEAST[i] ** 2 if i == j else 0.0).alias("floor")) for i, j in PAIRS])
+    d = d.withColumn("_c", F.transform(places, lambda x, k: F.lit(factor) * (F.get("_v", k + 1 + P) - F.get("_v", x["i"] + 1) * F.get("_v", x["j"] + 1)) + x["floor"]))
+    none, row = F.array().cast("array<double>"), lambda i: (i * (i + 1) / 2).cast("int")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def root(done: Column, x: Column) -> Column:
+        before = total(F.zip_with(F.slice(done, row(x["i"]) + 1, x["j"]), F.slice(done, row(x["j"]) + 1, x["j"]), lambda a, b: a * b))
+        left = F.get("_c", F.size(done)) - before
+        return F.concat(done, F.array(F.when(x["i"] == x["j"], F.sqrt(F.greatest(left, F.lit(1e-9)))).otherwise(left / F.get(done, row(x["j"]) + x["j"]))))
+
+    def inverse(done: Column, x: Column) -> Column:
+        own = F.get("_l", row(x["i"]) + x["i"])
+        above = F.transform(F.sequence(x["j"], x["i"] - 1), lambda t: F.get("_l", row(x["i"]) + t) * F.get(done, row(t) + x["j"]))
+        return F.concat(done, F.array(F.when(x["i"] == x["j"], 1 / own).otherwise(-total(above) / own)))
+
+    d = d.withColumn("_l", F.aggregate(places, none, root))
+    det = total(F.array(*[F.log(item("_l", i * (i + 3) // 2)) for i in range(P)]))
+    return d.select("_group", "_start", det.alias("_det"), F.concat(F.slice("_v", 2, P), F.aggregate(places, none, inverse)).alias("_e"))
 
 
 def _distances(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
