@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import factorisation, lm_score, ngram_join, packing, secret_scan, topk
+from quire.llm import factorisation, lm_score, ngram_join, packing, secret_scan, tokens, topk
 from tests.llm.test_native import EDGES, WORD, frame, prose
 
 
@@ -437,6 +438,47 @@ def test_training_learns_what_pairs_cannot_tell():
     assert lm_score.log_probabilities(adam.model, tables, new).mean() > before + 40 * 0.8 * math.log10(2)
 
 
+def test_parts_between_blanks_have_the_ids_of_whole_texts():
+    """Texts of runs of spaces of all kinds, in parts and whole, against the JSON file's tokenizer; ordinary parts are encoded once."""
+    rng = random.Random(21)
+    signs = [*" \t\n\r\x0b\x1c\x85\xa0    　​\x00", *["a", "b'", "'ll", "é", "22", "...", "日", "Word", " ", " ", tokens.SPECIAL]]
+    texts = ["", " ", "a b a b", "  a", "a  b", "a \n b", *["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(2000)]]
+    encode = tokens.encoder("<u2")
+    want = [encode.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encode(t), "<u2").tolist() for t in texts] == want
+    split, owner, code = tokens.blanks(pa.array(texts))
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokens.ids_of(pa.array(texts), split, owner, code).to_pylist()] == want
+    every, start = encode.parts(split, 100)
+    assert [every[a:b].tolist() for a, b in zip(start, start[1:], strict=False)] == [encode.whole.encode(f" {p}", add_special_tokens=False).ids for p in split.to_pylist()]
+    assert "(?!" not in tokens.PIECES  # a pattern that looks ahead is matched with backtracking
+
+
+def test_words_of_texts():
+    texts = ["a\x1cb c\x85d\xa0e  Ab\tÉé\n\x0b\x0cX\r", None, "", "   ", " lead", "trail ", "İK\x00z"]
+    words, n = lm_score.words_of(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for t in want for w in t] and n.tolist() == [len(t) for t in want]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for size in (1, 3, 1000):
+        assert [t for part in lm_score.parts(batch, 0, size) for t in part.column(0).to_pylist()] == texts
+
+
+def test_kept_arrays_and_blocks_change_nothing():
+    """Gradients and scores with arrays used again, after batches of other sizes, and by any number of windows at a time."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 300, n).astype("<u2") for n in (0, 90, 700, 1500, 31, 32)]
+    model, space = grown(rng, lm_score.start()), lm_score.Space()
+    table, *_ = lm_tables(rng, texts)
+    x, y = lm_score.training_windows(texts, np.zeros(6), 0, 1)
+    want = lm_score.gradient(model, table, x, y, some=len(x))
+    lm_score.log_probabilities(model, table, texts[1:3], 16, space)
+    for some in (1, 5, 64):
+        got = lm_score.gradient(model, table, x, y, space, some)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    scores = [lm_score.log_probabilities(model, table, [t])[0] for t in texts]
+    assert lm_score.log_probabilities(model, table, texts, 16, space) == pytest.approx(scores, rel=1e-5)
+
+
 def test_repeats_score_apart(spark):
     """Texts that training saw twice score above others of their kind."""
     rng = random.Random(12)
