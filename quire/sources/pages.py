@@ -9,6 +9,7 @@ replaces the site. The driver holds one name a task. Paths are of any store that
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import Row, StructType
 
 MANIFEST = "_manifest.json"
+#: Seconds that a failed run waits for its last tasks.
+WAIT = 60
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -93,6 +96,19 @@ def manifest(path: str) -> dict[str, int]:
 
 
 def write_site(pages: DataFrame, path: str) -> None:
-    """Pages (name, html) as files under path; names have to differ."""
-    pages.sparkSession.dataSource.register(PageSource)
-    pages.select("name", "html").write.format("pages").mode("overwrite").save(path)
+    """Pages (name, html) as files under path; names have to differ.
+
+    Spark calls abort while other tasks of a failed run still write. So a failed run is tidied up again when no task is left, or
+    after `WAIT` seconds, if other jobs of the session go on.
+    """
+    spark = pages.sparkSession
+    spark.dataSource.register(PageSource)
+    try:
+        pages.select("name", "html").write.format("pages").mode("overwrite").save(path)
+    except Exception:
+        tracker, end = spark.sparkContext._jsc.sc().statusTracker(), time.monotonic() + WAIT
+        while time.monotonic() < end and any(e.numRunningTasks() for e in tracker.getExecutorInfos()):
+            time.sleep(0.1)
+        store, base = _store(path.rstrip("/"))
+        PageWriter._tidy(store, base, set(manifest(path)))
+        raise

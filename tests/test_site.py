@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,3 +37,26 @@ def test_site(spark, tmp_path):
     write_site(pages.filter("doc_id < 10").withColumn("html", F.lit("new")), path)
     assert set(files(path).values()) == {"new"} and len(files(path)) == 10
     assert len([d for d in os.listdir(path) if os.path.isdir(os.path.join(path, d))]) == len(manifest(path))
+
+
+def test_a_failed_run_leaves_nothing_of_slow_tasks(spark, tmp_path):
+    """One task fails at once, while the others, a second later, make a folder yet, as a writer does that begins late."""
+    path = str(tmp_path / "site")
+    write_site(spark.createDataFrame([("a.html", "old")], "name string, html string"), path)
+
+    def slow(batches):
+        for batch in batches:
+            if (batch["k"] % 4 == 0).any():
+                raise ValueError("stop")
+            time.sleep(1)
+            os.makedirs(os.path.join(path, f"late-{batch['k'].iloc[0]}"))
+            yield batch[["name", "html"]]
+
+    rows = spark.createDataFrame([(k, f"{k}.html", "new") for k in range(4)], "k long, name string, html string").repartitionByRange(4, "k")
+    with pytest.raises(Exception, match="stop"):
+        write_site(rows.mapInPandas(slow, "name string, html string"), path)
+    folders = lambda: {d for d in os.listdir(path) if os.path.isdir(os.path.join(path, d))}
+    left = folders()
+    time.sleep(3)
+    assert left == folders() == set(manifest(path))
+    assert files(path) == {"a.html": "old"}
