@@ -37,6 +37,11 @@ def anchor(x: Column, n: int = 48) -> Column:
     return F.substring(normal(x), 1, n)
 
 
+def plain_lower(x: Column) -> Column:
+    """Each character's lower case by itself, of one character, whatever stands beside it."""
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), lambda c: F.substring(F.lower(c), 1, 1)), "")
+
+
 def slug(x: Column, most: int, empty: str, digits: int) -> Column:
     """ASCII letters and digits joined by hyphens, then the start of the text's md5."""
     core = F.substring(F.lower(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")), 1, most)
