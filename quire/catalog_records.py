@@ -173,7 +173,7 @@ WHERE n.text <> o.text AND starts_with(n.text, rtrim(o.text))""")
 def stale_records(spark, sf_dir):
     """Records whose paragraph grew, so that they cover only its beginning."""
     p = _paragraphs(spark, sf_dir).select("doc_id", "pos", "text")
-    return migrate.stale(migrate.rematch(p, _shifted(p)), p, _shifted(p))
+    return migrate.stale(migrate.rematch(p, _shifted(spark, sf_dir)), p, _shifted(spark, sf_dir))
 
 
 #: Turns as records of nested strings.

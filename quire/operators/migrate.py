@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import anchor, normal
-from quire.sources.tables import stored
+
+#: Fixed value: the characters of a seed, of two in the 24 sought.
+SEED = 12
 
 
 def todo(paragraphs: DataFrame, records: DataFrame, key: list[str], done: str, only: DataFrame | None = None, force: bool = False) -> DataFrame:
@@ -15,34 +23,74 @@ def todo(paragraphs: DataFrame, records: DataFrame, key: list[str], done: str, o
     return wanted if force else wanted.join(records.filter(F.trim(F.coalesce(done, F.lit(""))) != ""), key, "left_anti")
 
 
+def _seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, old, pos, t) by document, the new texts before the old anchors, each in order of pos; to doc_id, old_pos, new_pos, how."""
+    doc, found = None, None
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for d, old, pos, t in zip(*(c.to_pylist() for c in batch.columns)):
+            if found is None or d != doc:
+                doc, found = d, _Texts()
+            if not old:
+                found.add(pos, t)
+                continue
+            for column, x in zip(out, (d, pos, *(found.place(t) if d is not None else (None, "orphan")))):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], batch.schema.field(2).type), pa.array(out[2], batch.schema.field(2).type), pa.array(out[3], pa.string())], ["doc_id", "old_pos", "new_pos", "how"])
+
+
+class _Texts:
+    """The new texts of one document, in order, and where anchors are in them."""
+
+    def __init__(self):
+        self.pos, self.texts, self.exact, self.prefix, self.held, self.seeds, self.all = [], [], {}, {}, {}, None, None
+
+    def add(self, pos: int, t: str) -> None:
+        self.pos.append(pos)
+        self.texts.append(t)
+        self.exact.setdefault(t[:48], pos)
+        self.prefix.setdefault(t[:32], pos)
+
+    def place(self, a: str) -> tuple[int | None, str]:
+        if a in self.exact:
+            return self.exact[a], "exact"
+        if len(a) >= 32 and a[:32] in self.prefix:
+            return self.prefix[a[:32]], "prefix"
+        if a and a[:24] not in self.held:
+            self.held[a[:24]] = self.by_seed(a[:24]) if len(a) >= 24 else self.by_text(a)
+        at = self.held.get(a[:24])
+        return (None, "orphan") if at is None else (at, "contained")
+
+    def by_seed(self, a: str) -> int | None:
+        if self.seeds is None:
+            self.seeds = {}
+            for i, t in enumerate(self.texts):
+                for piece in {t[k : k + SEED] for k in range(0, len(t) - SEED + 1, SEED + 1)}:
+                    self.seeds.setdefault(piece, []).append(i)
+        lists = [self.seeds[w] for k in range(24 - SEED + 1) if (w := a[k : k + SEED]) in self.seeds]
+        return next((self.pos[i] for i in heapq.merge(*lists) if a in self.texts[i]), None)
+
+    def by_text(self, a: str) -> int | None:
+        if self.all is None:  # no text holds a line's end
+            self.all, self.ends = "\n".join(self.texts), list(accumulate(len(t) + 1 for t in self.texts))
+        at = self.all.find(a)
+        return None if at < 0 else self.pos[bisect_right(self.ends, at)]
+
+
 def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, pos, text) twice to doc_id, old_pos, new_pos, how.
 
     An old paragraph goes to the first new one of its document with the same anchor of 48, else whose text begins
     with the anchor's first 32, else whose text holds its first 24; else it is an orphan. The last is found by seeds: a text
     that holds 24 characters holds one of its own pieces of 12, cut every 13, inside them; anchors shorter than that are
-    looked for in the texts of their document.
+    looked for in the texts of their document. One shuffle by document brings its texts and anchors together.
     """
-    o = old.select("doc_id", F.col("pos").alias("old_pos"), anchor(F.col("text")).alias("a"))
-    n = stored(new.select("doc_id", F.col("pos").alias("new_pos"), normal(F.col("text")).alias("t")).filter("t <> ''"), "new")
-    exact = n.groupBy("doc_id", F.substring("t", 1, 48).alias("a")).agg(F.min("new_pos").alias("_x"))
-    prefix = n.groupBy("doc_id", F.substring("t", 1, 32).alias("a32")).agg(F.min("new_pos").alias("_y"))
-    o = o.withColumn("a32", F.when(F.length("a") >= 32, F.substring("a", 1, 32))).join(exact, ["doc_id", "a"], "left").join(prefix, ["doc_id", "a32"], "left")
-    o = stored(o, "old")
-    left = o.filter("_x IS NULL AND _y IS NULL AND a <> ''").select("doc_id", "old_pos", F.substring("a", 1, 24).alias("a24"))
-    seed, step = 12, 13
-    windows = left.filter("length(a24) = 24").withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda k: F.xxhash64(F.substring("a24", k, F.lit(seed))))))
-    cut = F.filter(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), lambda x: F.length(x) >= seed)
-    pieces = F.transform(cut, lambda x: F.xxhash64(F.substring(x, 1, seed)))
-    sought = left.select("doc_id").distinct()
-    texts = n.join(sought, "doc_id", "left_semi")
-    by_seed = texts.filter(F.length("t") >= 24).withColumn("h", F.explode(F.array_distinct(pieces))).join(windows, ["doc_id", "h"])
-    by_text = texts.join(left.filter("length(a24) < 24"), "doc_id")
-    inside = by_seed.select("doc_id", "old_pos", "new_pos", "t", "a24").unionByName(by_text.select("doc_id", "old_pos", "new_pos", "t", "a24"))
-    inside = inside.filter(F.col("t").contains(F.col("a24"))).groupBy("doc_id", "old_pos").agg(F.min("new_pos").alias("_z"))
-    found = o.join(inside, ["doc_id", "old_pos"], "left")
-    how = F.when(F.col("_x").isNotNull(), "exact").when(F.col("_y").isNotNull(), "prefix").when(F.col("_z").isNotNull(), "contained").otherwise("orphan")
-    return found.select("doc_id", "old_pos", F.coalesce("_x", "_y", "_z").alias("new_pos"), how.alias("how"))
+    o = old.select("doc_id", F.lit(True).alias("old"), F.col("pos").cast("long").alias("pos"), anchor(F.col("text")).alias("t"))
+    n = new.select("doc_id", F.lit(False).alias("old"), F.col("pos").cast("long").alias("pos"), normal(F.col("text")).alias("t")).filter("t <> ''")
+    rows = n.unionByName(o.fillna("", "t")).repartition("doc_id").sortWithinPartitions("doc_id", "old", "pos")
+    kind = dict(old.dtypes)
+    m = rows.mapInArrow(_seek, f"doc_id {kind['doc_id']}, old_pos long, new_pos long, how string")
+    return m.select("doc_id", F.col("old_pos").cast(kind["pos"]).alias("old_pos"), F.col("new_pos").cast(dict(new.dtypes)["pos"]).alias("new_pos"), "how")
 
 
 def migrate(records: DataFrame, matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
