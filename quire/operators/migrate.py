@@ -93,17 +93,26 @@ def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     return m.select("doc_id", F.col("old_pos").cast(kind["pos"]).alias("old_pos"), F.col("new_pos").cast(dict(new.dtypes)["pos"]).alias("new_pos"), "how")
 
 
+def _grown(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, old_pos, new_pos, _grew of the matches: whether the new text is longer than the old one that it begins with.
+
+    Old texts go as lengths and digests, so that only the new texts are shuffled.
+    """
+    start = F.regexp_replace("text", r"\s+$", "")
+    o = old.select("doc_id", F.col("pos").alias("old_pos"), F.length(start).alias("_n"), F.sha2(start, 256).alias("_start"), F.sha2("text", 256).alias("_old"))
+    n = new.select("doc_id", F.col("pos").alias("new_pos"), F.col("text").alias("_new"))
+    m = matches.filter("new_pos IS NOT NULL").select("doc_id", "old_pos", "new_pos").join(o, ["doc_id", "old_pos"]).join(n, ["doc_id", "new_pos"])
+    grew = (F.col("_n") > 0) & (F.sha2(F.col("_new").substr(F.lit(1), F.col("_n")), 256) == F.col("_start")) & (F.sha2("_new", 256) != F.col("_old"))
+    return m.select("doc_id", "old_pos", "new_pos", grew.alias("_grew"))
+
+
 def migrate(records: DataFrame, matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Records (doc_id, pos, zh, en, terms) of old paragraphs at their new places: doc_id, pos, zh, en, terms, merged, moved.
 
     A record whose paragraph only grew, so that the new text begins with the old one, is stale and left out. Records that
     meet are joined by blanks in old order, their terms (en, zh) kept once for each en, whatever its case. Terms without en go.
     """
-    o = old.select("doc_id", F.col("pos").alias("old_pos"), F.col("text").alias("_old"))
-    n = new.select("doc_id", F.col("pos").alias("new_pos"), F.col("text").alias("_new"))
-    m = matches.filter("new_pos IS NOT NULL").select("doc_id", "old_pos", "new_pos").join(o, ["doc_id", "old_pos"]).join(n, ["doc_id", "new_pos"])
-    start = F.regexp_replace(F.col("_old"), r"\s+$", "")
-    m = m.filter(~((F.col("_new") != F.col("_old")) & (start != "") & F.col("_new").startswith(start)))
+    m = _grown(matches, old, new).filter(~F.col("_grew"))
     m = records.withColumnRenamed("pos", "old_pos").join(m.select("doc_id", "old_pos", "new_pos"), ["doc_id", "old_pos"])
     g = m.groupBy("doc_id", F.col("new_pos").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("old_pos", "zh", "en", "terms"))).alias("_r"))
     joined = lambda c: F.array_join(F.filter(F.transform("_r", lambda r: F.trim(F.coalesce(r[c], F.lit("")))), lambda t: t != ""), " ")
@@ -115,10 +124,7 @@ def migrate(records: DataFrame, matches: DataFrame, old: DataFrame, new: DataFra
 
 def stale(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, old_pos, new_pos of the matches whose new text is longer than the old one that it begins with."""
-    o = old.select("doc_id", F.col("pos").alias("old_pos"), F.regexp_replace("text", r"\s+$", "").alias("_start"), F.col("text").alias("_old"))
-    n = new.select("doc_id", F.col("pos").alias("new_pos"), F.col("text").alias("_new"))
-    m = matches.filter("new_pos IS NOT NULL").join(o, ["doc_id", "old_pos"]).join(n, ["doc_id", "new_pos"])
-    return m.filter((F.col("_new") != F.col("_old")) & (F.col("_start") != "") & F.col("_new").startswith(F.col("_start"))).select("doc_id", "old_pos", "new_pos")
+    return _grown(matches, old, new).filter("_grew").select("doc_id", "old_pos", "new_pos")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
