@@ -6,11 +6,15 @@ distribution.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators import grids as boxes_grids
-from quire.operators import page_tables
+from quire.operators import line_arrays, page_tables
 
 PAGE = ["doc_id", "page"]
 
@@ -75,10 +79,31 @@ def grids(words: DataFrame, regions: DataFrame, size: float = 10.0) -> DataFrame
     inside = inside.filter(F.col("y").between(F.col("top"), F.col("bottom")) & (F.col("x0") >= F.col("rx0") - 2) & (F.col("x1") <= F.col("rx1") + 2))
     key = ["doc_id", "page", "region"]
     words_of = F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "t")))
-    lines = inside.groupBy(*key).agg(words_of.alias("_w")).select(*key, page_tables.lines_of(F.col("_w"), max(2.0, 0.35 * size)).alias("lines"))
-    rows = lines.join(page_tables.slots_of_lines(lines), key).select(*key, "slots", F.posexplode("lines").alias("_k", "_line"))
-    row = boxes_grids.grid(F.array(boxes_grids.cells_of_line(F.col("_line.words"), F.col("slots"))), F.size("slots"))
-    return rows.select(*key, (F.col("_k") + 1).alias("row"), F.transform(F.get(row, F.lit(0)), lambda c: F.coalesce(c["text"], F.lit(""))).alias("cells"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = line_arrays.lines_of_words(batch.column(3), max(2.0, 0.35 * size))
+            yield from _grid_rows(batch, lines)
+
+    kinds = dict(inside.dtypes)
+    return inside.groupBy(*key).agg(words_of.alias("_w")).mapInArrow(rows, ", ".join(f"{c} {kinds[c]}" for c in key) + ", row int, cells array<string>")
+
+
+def _grid_rows(batch: pa.RecordBatch, lines: line_arrays.Lines) -> Iterator[pa.RecordBatch]:
+    """A row for each line of the regions that have columns: its cells' texts, '' where none begins."""
+    at, bounds = line_arrays.column_bounds(lines, page_tables.CORRIDOR_SHARE, page_tables.CORRIDOR_WIDTH, page_tables.OUTER_PAD)
+    at, a, b = line_arrays.slots(at, bounds)
+    n = np.diff(at)
+    region = line_arrays.owners(lines.regions)
+    line, first, text = line_arrays.cells(lines, at, a, b)
+    places = line_arrays.offsets(n[region])
+    held = np.full(places[-1], -1, np.int64)
+    in_slots = np.flatnonzero(n[region[line]] > 0)
+    held[places[line[in_slots]] + first[in_slots]] = in_slots
+    texts = pc.fill_null(text.take(pa.array(held, mask=held < 0)), "")
+    row = np.arange(len(region)) - lines.regions[region] + 1
+    made = pa.RecordBatch.from_arrays([*(c.take(pa.array(region)) for c in batch.columns[:3]), pa.array(row, pa.int32()), line_arrays.listed(places, texts)], ["doc_id", "page", "region", "row", "cells"])
+    yield made.filter(pa.array(n[region] > 0))
 
 
 def laid_out(paragraphs: DataFrame, lines: int = 40, char: float = 6.0, leading: float = 12.0) -> DataFrame:

@@ -7,12 +7,16 @@ follows one region's lines works on the array of lines in its row. Heights of wo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.predicates import caption_kind, figure_label, pseudocode_score
 from quire.functions.text import normal
-from quire.operators import grids, structured
+from quire.operators import grids, line_arrays, structured
 from quire.operators.figures import figure_areas
 from quire.sources.tables import stored
 
@@ -41,13 +45,21 @@ def text_of(line: Column) -> Column:
 
 
 def lines_of(words: Column, slack: float) -> Column:
-    """Words (y, x0, x1, t), sorted, as lines: one ends where y leaves that of its first word by more than slack."""
-    ys = F.array_distinct(F.transform(words, lambda w: w["y"]))
-    begins = F.aggregate(ys, F.array().cast("array<double>"), lambda a, y: F.when((F.size(a) == 0) | (y - F.try_element_at(a, F.lit(-1)) > slack), F.concat(a, F.array(y))).otherwise(a))
-    end = lambda k: F.coalesce(F.get(begins, k + 1), F.lit(float("inf")))
-    own = lambda y, k: F.filter(words, lambda w: (w["y"] >= y) & (w["y"] < end(k)))
-    bare = lambda ws: F.array_sort(F.transform(ws, lambda w: F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), w["t"].alias("t"))))
-    return F.transform(begins, lambda y, k: F.struct(y.alias("y"), bare(own(y, k)).alias("words"))).cast(f"array<{LINE}>")
+    """Words (y, x0, x1, t), sorted, as lines: one ends where y leaves that of its first word by more than slack.
+
+    One pass finds the places where lines begin, a line is the slice up to the next.
+    """
+    state = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"))
+
+    def step(a: Column, w: Column) -> Column:
+        begins = F.struct(w["y"].alias("y"), (a["i"] + 1).alias("i"), F.concat(a["at"], F.array(a["i"] + 1)).alias("at"))
+        goes_on = F.struct(a["y"].alias("y"), (a["i"] + 1).alias("i"), a["at"].alias("at"))
+        return F.when(a["y"].isNull() | (w["y"] - a["y"] > slack), begins).otherwise(goes_on)
+
+    bare = lambda ws: F.sort_array(F.transform(ws, lambda w: F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), w["t"].alias("t"))))
+    line = lambda own: F.struct(F.get(own, F.lit(0))["y"].alias("y"), bare(own).alias("words"))
+    cut = lambda ws, at: F.transform(at, lambda k, n: grids.let(F.slice(ws, k, F.coalesce(F.get(at, n + 1), F.size(ws) + 1) - k), line))
+    return grids.let(words, lambda ws: grids.let(F.aggregate(ws, state, step, lambda a: a["at"]), lambda at: cut(ws, at))).cast(f"array<{LINE}>")
 
 
 def _words(words: DataFrame) -> DataFrame:
@@ -80,47 +92,38 @@ def region_lines(regions: DataFrame, words: DataFrame, size: float = 10.0) -> Da
     """regions of LEAST_WORDS words or more with `lines` (y, words); words may stand a little outside the rules."""
     top, bottom = F.get("ys", F.lit(0)), F.element_at("ys", -1)
     inside = F.col("w.x0").between(F.col("x0") - SIDE_PAD, F.col("x1") + SIDE_PAD) & F.col("w.y").between(top - TOP_PAD, bottom + BOTTOM_PAD)
-    found = regions.join(_words(words), PAGE).filter(inside).groupBy(*REGION).agg(_collected().alias("_w")).filter(F.size("_w") >= LEAST_WORDS)
-    return regions.join(found, REGION).withColumn("lines", lines_of(F.col("_w"), _slack(size))).drop("_w")
+    found = regions.join(_words(words), PAGE).filter(inside).groupBy(*regions.columns).agg(_collected().alias("_w")).filter(F.size("_w") >= LEAST_WORDS)
+    return with_lines(found, _slack(size))
 
 
-def widest_line_slots(lines: Column) -> Column:
-    """Slots parted in the middle of the gaps of the line of most words, the first of such."""
-    most = F.array_max(F.transform(lines, lambda x: F.size(x["words"])))
-    words = F.get(F.filter(lines, lambda x: F.size(x["words"]) == most), F.lit(0))["words"]
-    edges = F.transform(words, lambda w, k: F.when(k == 0, w["x0"] - OUTER_PAD).otherwise((F.get(words, k - 1)["x1"] + w["x0"]) / 2))
-    return slots_between(F.concat(edges, F.array(F.element_at(words, -1)["x1"] + OUTER_PAD)))
+def slots_of_lines(regions: DataFrame) -> DataFrame:
+    """doc_id, page, region, slots of rows with `lines`: columns parted by corridors of x that nearly all lines leave free between two words.
 
+    Without any, the line of most words parts the columns. Rows without words are left out.
+    """
 
-def slots_between(bounds: Column) -> Column:
-    return F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda a, k: F.struct(a.alias("a"), F.get(bounds, k + 1).alias("b")))
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, a, b = line_arrays.slots(*line_arrays.column_bounds(line_arrays.lines_of_lists(batch.column(3)), CORRIDOR_SHARE, CORRIDOR_WIDTH, OUTER_PAD))
+            slots = line_arrays.listed(at, pa.StructArray.from_arrays([pa.array(a), pa.array(b)], fields=list(line_arrays.SLOTS.value_type)))
+            made = pa.RecordBatch.from_arrays([*batch.columns[:3], slots], [*REGION, "slots"])
+            yield made.filter(pa.array(np.diff(at) > 0))
 
+    kinds = dict(regions.dtypes)
+    own = F.filter("lines", lambda x: F.size(x["words"]) >= 0).cast(f"array<{LINE}>")
+    return regions.select(*REGION, own.alias("lines")).mapInArrow(part, ", ".join(f"{c} {kinds[c]}" for c in REGION) + ", slots array<struct<a:double,b:double>>")
 
-def slots_of_lines(regions: DataFrame) -> DataFrame:
-    """doc_id, page, region, slots of rows with `lines`: columns parted by corridors of x that nearly all lines leave free between two words.
 
-    A sweep along x in points from the leftmost word: each gap of a line opens and closes once, a running sum over
-    these events counts the lines that are open, and where it reaches the share a corridor runs. Without any, the
-    line of most words parts the columns. Rows without words are left out.
-    """
-    words = F.flatten(F.transform("lines", lambda x: x["words"]))
-    r = regions.select(*REGION, "lines", words.alias("_w")).filter(F.size("_w") > 0)
-    r = r.withColumns({"lo": F.array_min(F.transform("_w", lambda w: w["x0"])), "hi": F.array_max(F.transform("_w", lambda w: w["x1"])), "_need": F.ceil(F.size("lines") * CORRIDOR_SHARE - 1e-9)}).filter("hi > lo")
-    gaps = lambda ws: F.filter(F.transform(ws, lambda w, k: F.struct(F.get(ws, k - 1)["x1"].alias("a"), w["x0"].alias("b"))), lambda g: g["b"] > g["a"])
-    g = r.select(*REGION, "lo", "_need", F.posexplode("lines").alias("_line", "_l")).select(*REGION, "lo", "_need", "_line", F.explode(gaps(F.col("_l.words"))).alias("_g"))
-    g = g.withColumns({"_from": F.greatest(F.lit(0), F.ceil(F.col("_g.a") - 0.5 - F.col("lo"))), "_to": F.floor(F.col("_g.b") + 0.5 - F.col("lo"))})
-    # a line counts once where its gaps meet
-    before = F.max("_to").over(Window.partitionBy(*REGION, "_line").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1))
-    g = g.withColumn("_from", F.greatest("_from", F.coalesce(before + 1, F.col("_from")))).filter("_from <= _to")
-    event = lambda at, step: F.struct(at.cast("long").alias("at"), F.lit(step).alias("step"))
-    events = g.select(*REGION, "lo", "_need", F.explode(F.array(event(F.col("_from"), 1), event(F.col("_to") + 1, -1))).alias("e")).groupBy(*REGION, "lo", "_need", "e.at").agg(F.sum("e.step").alias("step"))
-    along = Window.partitionBy(*REGION).orderBy("at")
-    events = events.withColumns({"_open": F.sum("step").over(along) >= F.col("_need"), "_end": F.lead("at").over(along)})
-    begins = F.col("_open") & ~F.coalesce(F.lag("_open").over(along), F.lit(False))
-    runs = events.withColumn("_run", F.sum(begins.cast("int")).over(along)).filter("_open").groupBy(*REGION, "lo", "_run").agg(F.min("at").alias("a"), F.max("_end").alias("b"))
-    bounds = runs.filter(F.col("b") - F.col("a") >= CORRIDOR_WIDTH).groupBy(*REGION).agg(F.sort_array(F.collect_list(F.col("lo") + (F.col("a") + F.col("b")) / 2)).alias("_bounds"))
-    all_bounds = F.concat(F.array(F.col("lo") - OUTER_PAD), "_bounds", F.array(F.col("hi") + OUTER_PAD))
-    return r.join(bounds, REGION, "left").select(*REGION, F.when(F.col("_bounds").isNotNull(), slots_between(all_bounds)).otherwise(widest_line_slots(F.col("lines"))).alias("slots"))
+def with_lines(words: DataFrame, slack: float) -> DataFrame:
+    """words with `_w` (y, x0, x1, t), sorted, as its last column: the lines of these in its place, as lines_of makes them."""
+    names = words.columns[:-1]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], line_arrays.as_lists(line_arrays.lines_of_words(batch.columns[-1], slack))], [*names, "lines"])
+
+    kinds = dict(words.dtypes)
+    return words.mapInArrow(part, ", ".join(f"{c} {kinds[c]}" for c in names) + f", lines array<{LINE}>")
 
 
 def header_rows(lines: Column, slots: Column) -> Column:
