@@ -11,9 +11,9 @@ from quire.sources.tables import table
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    """Lines of orders, k from 1 in each order."""
-    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"), k.alias("k"))
+    """Lines of orders, k from 1 in each order; what follows by doc_id keeps the partitioning of this window."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"))
+    return l.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "p", "s")))
 
 
 LINES = "l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)"
