@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.predicates import caption_kind, figure_label, pseudocode_score
 from quire.functions.text import normal
-from quire.operators import grids, line_arrays, structured
+from quire.operators import box_arrays, grids, line_arrays, structured
 from quire.operators.figures import figure_areas
 from quire.sources.tables import stored
 
@@ -187,15 +187,6 @@ def region_tables(regions: DataFrame, size: float = 10.0) -> DataFrame:
     return r.filter(F.size("_rows") >= 2).select(*regions.drop("lines").columns, columns.alias("columns"), F.size(F.filter("_rows", lambda x: x["head"])).alias("head_rows"), grids.grid(F.transform("_rows", lambda x: x["cells"]), columns).alias("rows"))
 
 
-def merged_segments(lines: DataFrame, *by: str, tolerance: float = 1.0) -> DataFrame:
-    """Segments (by, a, b) that overlap or nearly touch on one line, joined."""
-    along = Window.partitionBy(*by).orderBy("a", "b")
-    reach = F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce(F.col("a") > reach + tolerance, F.lit(True))
-    runs = lines.withColumn("_new", begins.cast("int")).withColumn("_run", F.sum("_new").over(along))
-    return runs.groupBy(*by, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
-
-
 def boxed_tables(drawings: DataFrame, words: DataFrame, size: float = 10.0, tolerance: float = 1.0) -> DataFrame:
     """Tables whose cells are boxes: doc_id, page, region, x0, x1, y0, y1, columns, head_rows = 1, rows (text, span).
 
@@ -204,48 +195,22 @@ def boxed_tables(drawings: DataFrame, words: DataFrame, size: float = 10.0, tole
     goes down and the nearest below that goes right, if these lead to a fourth. Lines that cross belong to one table. A
     wide cell's text stands in its first place, null under it, also in the rows that it spans. Rows without text are left
     out, and tables of under two rows.
+
+    Drawings and words of a page meet in a row, tables of many pages are found at once by arrays.
     """
-    thin = 2.0
-    flat, tall = F.col("y1") - F.col("y0") < thin, F.col("x1") - F.col("x0") < thin
-    edge = lambda kind, at, a, b: F.struct(F.lit(kind).alias("kind"), F.round(at, 0).alias("at"), a.alias("a"), b.alias("b"))
-    x0, x1, y0, y1 = (F.col(c).cast("double") for c in ("x0", "x1", "y0", "y1"))
-    edges = F.when(flat, F.array(edge("h", y0, x0, x1))).when(tall, F.array(edge("v", x0, y0, y1))).otherwise(F.array(edge("h", y0, x0, x1), edge("h", y1, x0, x1), edge("v", x0, y0, y1), edge("v", x1, y0, y1)))
-    lines = merged_segments(drawings.select(*PAGE, F.explode(edges).alias("e")).select(*PAGE, "e.*"), *PAGE, "kind", "at", tolerance=tolerance)
-    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy(*PAGE).orderBy("kind", "at", "a")))
-    h = lines.filter("kind = 'h'").select(*PAGE, F.col("line").alias("h"), F.col("at").alias("y"), F.col("a").alias("hx0"), F.col("b").alias("hx1"))
-    v = lines.filter("kind = 'v'").select(*PAGE, F.col("line").alias("v"), F.col("at").alias("x"), F.col("a").alias("vy0"), F.col("b").alias("vy1"))
-    meets = F.col("x").between(F.col("hx0") - tolerance, F.col("hx1") + tolerance) & F.col("y").between(F.col("vy0") - tolerance, F.col("vy1") + tolerance)
-    corners = h.join(v, PAGE).filter(meets)
-    right, down = F.col("hx1") > F.col("x") + tolerance, F.col("vy1") > F.col("y") + tolerance
-    left, up = F.col("hx0") < F.col("x") - tolerance, F.col("vy0") < F.col("y") - tolerance
-    corners = corners.select(*PAGE, "h", "v", "x", "y", right.alias("right"), down.alias("down"), left.alias("left"), up.alias("up"))
-    following = lambda by, at, what, test: F.first(F.when(test, F.col(what)), ignorenulls=True).over(Window.partitionBy(*PAGE, by).orderBy(at).rowsBetween(1, Window.unboundedFollowing))
-    c = corners.withColumns({"_v": following("h", "x", "v", F.col("left") & F.col("down")), "_h": following("v", "y", "h", F.col("up") & F.col("right"))}).filter("right AND down AND _v IS NOT NULL AND _h IS NOT NULL")
-    fourth = corners.filter(F.col("left") & F.col("up")).select(*PAGE, F.col("h").alias("_h"), F.col("v").alias("_v"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    cells = c.join(fourth, [*PAGE, "_h", "_v"]).select(*PAGE, "h", F.col("x").alias("x0"), F.col("_x").alias("x1"), F.col("y").alias("y0"), F.col("_y").alias("y1"))
-    # lines of one table: the smallest line that each hangs together with, a page's corners folded in order
-    pairs = corners.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("h", "v"))).alias("_pairs")).join(lines.groupBy(*PAGE).agg(F.max("line").alias("_n")), PAGE)
-    joined = lambda labels, a, b: F.transform(labels, lambda x: F.when(x == F.greatest(a, b), F.least(a, b)).otherwise(x))
-    step = lambda labels, p: F.when(F.get(labels, p["h"] - 1) == F.get(labels, p["v"] - 1), labels).otherwise(joined(labels, F.get(labels, p["h"] - 1), F.get(labels, p["v"] - 1)))
-    labels = pairs.select(*PAGE, F.posexplode(F.aggregate("_pairs", F.sequence(F.lit(1), F.col("_n")), step)).alias("_k", "table")).select(*PAGE, (F.col("_k") + 1).alias("h"), "table")
-    cells = cells.join(labels, [*PAGE, "h"]).drop("h")
-    key = [*PAGE, "table"]
-    shape = cells.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("x0", "x1"))))).alias("xs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("y0", "y1"))))).alias("ys"))
-    cells = cells.withColumn("cell", F.row_number().over(Window.partitionBy(*key).orderBy("y0", "x0")))
-    w = _words(words)
-    inside = (((F.col("w.x0") + F.col("w.x1")) / 2).between(F.col("x0"), F.col("x1"))) & (F.col("w.y") >= F.col("y0") - tolerance) & (F.col("w.y") < F.col("y1") - tolerance)
-    texts = cells.join(w, PAGE).filter(inside).groupBy(*key, "cell").agg(F.array_join(F.transform(lines_of(_collected(), _slack(size)), text_of), " ").alias("text"))
-    placed = cells.join(texts, [*key, "cell"], "left").join(shape, key)
-    at = lambda list_, value: (F.array_position(list_, value) - 1).cast("int")
-    start, row = at(F.col("xs"), F.col("x0")), at(F.col("ys"), F.col("y0"))
-    span = at(F.col("xs"), F.col("x1")) - start
-    rows = placed.groupBy(*key, "xs", "ys", row.alias("row")).agg(F.collect_list(F.struct(F.coalesce("text", F.lit("")).alias("text"), start.alias("start"), span.alias("span"))).alias("cells"))
-    rows = rows.filter(F.exists("cells", lambda c: c["text"] != ""))
-    t = rows.groupBy(*key, "xs", "ys").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("_rows")).filter(F.size("_rows") >= 2)
-    columns = F.size("xs") - 1
-    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.get("ys", F.lit(0)), F.get("xs", F.lit(0)), "table"))
-    box = [F.get("xs", F.lit(0)).alias("x0"), F.element_at("xs", -1).alias("x1"), F.get("ys", F.lit(0)).alias("y0"), F.element_at("ys", -1).alias("y1")]
-    return t.select(*PAGE, order.alias("region"), *box, columns.alias("columns"), F.lit(1).alias("head_rows"), grids.grid(F.col("_rows"), columns).alias("rows"))
+    numbers = F.struct(*[F.col(c).cast("double").alias(c) for c in BOX])
+    d = drawings.dropna(subset=BOX).groupBy(*PAGE).agg(F.collect_list(numbers).alias("_d"))
+    w = _words(words.dropna(subset=["x0", "x1", "y"])).groupBy(*PAGE).agg(_collected().alias("_w"))
+    names = [*REGION, *BOX, "columns", "head_rows", "rows"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, columns = box_arrays.tables(batch.column(2), batch.column(3), tolerance, _slack(size))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(page)) for c in batch.columns[:2]), *columns], names)
+
+    kinds = dict(drawings.dtypes)
+    rest = ", ".join(f"{c} double" for c in BOX) + ", columns int, head_rows int, rows array<array<struct<text:string,span:int>>>"
+    return d.join(w, PAGE).select(*PAGE, "_d", "_w").mapInArrow(part, f"doc_id {kinds['doc_id']}, page {kinds['page']}, region int, {rest}")
 
 
 def _apart(boxes: DataFrame, others: DataFrame, *keys: str, before: Column | None = None) -> DataFrame:
