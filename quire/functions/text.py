@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of both engines and the no-break space.
 WS = r"[ \t\n\x0B\f\r\x{00A0}]"
+BLANKS = " \t\n\x0b\f\r\xa0"
 
 #: Prefixes of compounds that keep a hyphen at a line's end.
 COMPOUNDS = (
@@ -20,6 +23,11 @@ COMPOUNDS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
 
@@ -144,20 +152,21 @@ def blank_line_paragraphs(x: Column) -> Column:
 
 def filled_table(rows: Column) -> Column:
     """Rows of cells without the rows and columns that are blank throughout; null unless two rows and two columns are left."""
-    cell = lambda r, k: strip(F.coalesce(F.get(r, k), F.lit("")))
-    width = F.aggregate(rows, F.lit(0), lambda a, r: F.greatest(a, F.size(r)))
-    kept = F.filter(rows, lambda r: F.exists(r, lambda c: strip(F.coalesce(c, F.lit(""))) != ""))
-    columns = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda k: F.exists(kept, lambda r: cell(r, k) != ""))
-    table = F.transform(kept, lambda r: F.transform(columns, lambda k: cell(r, k)))
-    return F.when((F.size(kept) >= 2) & (F.size(columns) >= 2), table)
+    bare = F.transform(rows, lambda r: F.transform(r, lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit(BLANKS))))
+    width = lambda kept: F.coalesce(F.array_max(F.transform(kept, F.size)), F.lit(0))
+    filled = lambda r, k: F.coalesce(F.get(r, k), F.lit("")) != ""
+    columns = lambda kept: F.filter(F.sequence(F.lit(0), F.greatest(width(kept) - 1, F.lit(0))), lambda k: F.exists(kept, lambda r: filled(r, k)))
+    table = lambda kept, ks: F.when((F.size(kept) >= 2) & (F.size(ks) >= 2), F.transform(kept, lambda r: F.transform(ks, lambda k: F.coalesce(F.get(r, k), F.lit("")))))
+    return let(F.filter(bare, lambda r: F.exists(r, lambda c: c != "")), lambda kept: let(columns(kept), lambda ks: table(kept, ks)))
 
 
 def markdown_table(rows: Column) -> Column:
     """filled_table as Markdown, the first row as its head; null where that is null."""
-    table = filled_table(rows)
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(F.regexp_replace(c, r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.get(table, F.lit(0)))))
-    return F.when(table.isNotNull(), F.array_join(F.concat(F.array(line(F.get(table, F.lit(0))), rule), F.transform(F.slice(table, 2, F.size(table)), line)), "\n"))
+    cell = lambda c: F.replace(F.when(c.contains("\n"), F.regexp_replace(c, r"\s*\n\s*", " ")).otherwise(c), F.lit("|"), F.lit("\\|"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))
+    rule = lambda r: F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(r)))
+    whole = lambda table: F.array_join(F.flatten(F.transform(table, lambda r, k: F.when(k == 0, F.array(line(r), rule(r))).otherwise(F.array(line(r))))), "\n")
+    return let(filled_table(rows), whole)
 
 
 def tab_separated(rows: Column) -> Column:

@@ -6,21 +6,15 @@ slots (a, b) from left to right. Everything about a grid works inside the row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.predicates import caption_kind
+from quire.functions.text import let
 
 CELL = "struct<text:string,start:int,span:int>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def slots_of_word(x0: Column, x1: Column, slots: Column) -> Column:
     """first and last slot that a word covers by max(1.5, a quarter of its width); without one, the slot of the nearest centre."""
     least = F.greatest(F.lit(1.5), 0.25 * (x1 - x0))
