@@ -22,15 +22,21 @@ PAGE = ["doc_id", "page"]
 def physical_lines(words: DataFrame, size: float = 10.0) -> DataFrame:
     """doc_id, page, line from 1, y, x0, x1, text: a line ends where y leaves that of its first word by more than max(2, .35 size)."""
     slack = max(2.0, 0.35 * size)
+    w = words.dropna(subset=["y", "x0", "x1"]).select(*PAGE, *[F.col(c).cast("double").alias(c) for c in ("y", "x0", "x1")], F.col("word").cast("long").alias("word"), "t")
+    page = ", ".join(f"{c} {kind}" for c, kind in w.dtypes[:2])
 
-    heights = words.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y")).alias("_ys"))
-    # the heights that begin a line; there are only as many as a page has lines
-    begins = F.aggregate("_ys", F.array().cast("array<double>"), lambda a, y: F.when((F.size(a) == 0) | (y - F.try_element_at(a, F.lit(-1)) > slack), F.concat(a, F.array(y))).otherwise(a))
-    w = words.join(heights.select(*PAGE, begins.alias("_begins")), PAGE)
-    w = w.withColumn("line", F.size(F.filter("_begins", lambda b: b <= F.col("y"))))
-    in_order = F.sort_array(F.collect_list(F.struct("x0", "word", "t")))
-    lines = w.groupBy(*PAGE, "line").agg(F.min_by("y", F.struct("x0", "word")).alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(in_order, lambda x: x["t"]), " ").alias("text"))
-    return lines.select("doc_id", "page", "line", "y", "x0", "x1", "text")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield line_arrays.packed_words(batch)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, columns = line_arrays.page_lines(line_arrays.unpacked_words(batch.column(2)), slack)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own)) for c in batch.columns[:2]), *columns], [*PAGE, "line", "y", "x0", "x1", "text"])
+
+    # the only shuffle of the words, of which a page's stand together in few bytes
+    pages = w.mapInArrow(packed, f"{page}, words binary").groupBy(*PAGE).agg(F.collect_list("words").alias("words"))
+    return pages.mapInArrow(part, f"{page}, line int, y double, x0 double, x1 double, text string")
 
 
 def reading_order(blocks: DataFrame, width: float) -> DataFrame:
@@ -107,9 +113,19 @@ def _grid_rows(batch: pa.RecordBatch, lines: line_arrays.Lines) -> Iterator[pa.R
 
 
 def laid_out(paragraphs: DataFrame, lines: int = 40, char: float = 6.0, leading: float = 12.0) -> DataFrame:
-    """Paragraphs as words at the places that a fixed-width page would give them; a page has so many paragraphs."""
-    w = paragraphs.select("doc_id", "pos", F.posexplode(F.split("text", " ")).alias("word", "t"))
-    before = Window.partitionBy("doc_id", "pos").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
-    x0 = F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0)) * char
-    w = w.withColumn("x0", x0)
-    return w.select("doc_id", (F.floor((F.col("pos") - 1) / lines) + 1).cast("int").alias("page"), (F.col("pos") * 100_000 + F.col("word")).alias("word"), "x0", (F.col("x0") + F.length("t") * char).alias("x1"), (F.pmod(F.col("pos") - 1, F.lit(lines)) * leading).alias("y"), "t")
+    """Paragraphs as words at the places that a fixed-width page would give them; a page has so many paragraphs. Nothing is shuffled."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.split_pattern(batch.column(2), " ")
+            at, t = line_arrays.starts(words), words.flatten()
+            size = pc.utf8_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = line_arrays.owners(at)
+            reach = line_arrays.offsets(size + 1)
+            x0 = (reach[:-1] - reach[at[:-1]][own]) * char
+            word = np.arange(len(own)) - at[:-1][own]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own)) for c in batch.columns[:2]), pa.array(word), pa.array(x0), pa.array(x0 + size * char), t], ["doc_id", "pos", "word", "x0", "x1", "t"])
+
+    p = paragraphs.select("doc_id", F.col("pos").cast("int").alias("pos"), "text")
+    w = p.mapInArrow(part, f"doc_id {dict(p.dtypes)['doc_id']}, pos int, word long, x0 double, x1 double, t string")
+    return w.select("doc_id", (F.floor((F.col("pos") - 1) / lines) + 1).cast("int").alias("page"), (F.col("pos").cast("long") * 100_000 + F.col("word")).alias("word"), "x0", "x1", (F.pmod(F.col("pos") - 1, F.lit(lines)) * leading).alias("y"), "t")
