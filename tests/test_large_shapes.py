@@ -33,3 +33,20 @@ def test_lines_by_place_and_number(spark):
     data = [(1, 1, 3, 50.0, 60.0, 10.0, "c"), (1, 1, 2, 0.0, 9.0, 12.0, "a"), (1, 1, 9, 20.0, 95.0, 13.5, "b2"), (1, 1, 1, 20.0, 30.0, 11.0, "b1"), (1, 1, 4, 0.0, 5.0, 14.0, "d"), (2, 1, 1, 0.0, 5.0, 1.0, None)]
     got = layout.physical_lines(spark.createDataFrame(data, "doc_id long, page int, word int, x0 double, x1 double, y double, t string")).orderBy("doc_id", "line").collect()
     assert [tuple(r) for r in got] == [(1, 1, 1, 12.0, 0.0, 95.0, "a b1 b2 c"), (1, 1, 2, 14.0, 0.0, 5.0, "d"), (2, 1, 1, 1.0, 0.0, 5.0, "")]
+
+
+def test_shortcuts_of_formula_texts(spark):
+    """Plain texts skip the searches; what comes out is as with them."""
+    from quire.functions import mathtext
+
+    texts = ["plain words, and more.", "a+b=c", "α=β+γ", "x / \\in  y", "a  b", "a\tb", "#head", "- #x > y", "1*2_3`4$5", "a<b&c", "back\\slash", "bad\x01", "end\n", "\n#x", "é", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    full = F.col("t")
+    for a, b in mathtext.SLASHED:
+        full = F.regexp_replace(full, a, b)
+    y = mathtext.mark_unrenderable(F.replace(F.col("t"), F.lit("\\"), F.lit("∕")))
+    y = F.regexp_replace(F.regexp_replace(y, r"([*_`$])", r"\\$1"), r"(^|[\n ])([#>])", r"$1\\$2")
+    y = F.replace(F.replace(y, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    t = F.col("t")
+    got = d.select(mathtext.math_chars(t), mathtext.slash_commands(t), mathtext.plain_escape(t)).collect()
+    assert list(map(tuple, got)) == list(map(tuple, d.select(mathtext.count(t, mathtext.MATH_CLASS), full, y).collect()))
